@@ -6,15 +6,7 @@ from importlib import import_module
 
 #: query -> module that has it; a module's ORACLE holds its SQL.
 MODULES = {
-    "op1_decontamination": "decontamination",
-    "op2_token_counts": "token_counts",
     "op3_packing": "packing",
-    "op4_near_dedup": "near_dedup",
-    "op5_quality": "quality",
-    "op6_toxicity": "toxicity",
-    "op7_pseudonyms": "pseudonyms",
-    "op8_html_extraction": "html_extraction",
-    "op9_suffix_dedup": "suffix_dedup",
     "op10_exact_dedup": "exact_dedup",
 }
 
