@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import free_name, small_batches, table
 from .labelled import CUT, SAMPLE_ROWS, fold, labelled_sample, score, threshold
@@ -173,7 +174,7 @@ def with_scores(docs: DataFrame, machine: Machine, column: str = "score") -> Dat
     small_batches(spark)
     kept = spark.sparkContext.broadcast(machine)  # SLOTS * (VECTOR + 1) numbers, whatever the input
     at = docs.columns.index("text")
-    schema = docs.schema.add(column, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, m = Terms(), kept.value
