@@ -6,12 +6,13 @@ import os
 import re
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -74,8 +75,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def word_hash(word: str) -> int:
     """A 64-bit hash of a word, the same in every process."""
-    b = word.encode("utf-8", "surrogatepass")
-    return zlib.crc32(b) | zlib.crc32(b, 0x9E3779B9) << 32
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 class HashCache(dict):
@@ -121,3 +121,21 @@ def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 8192) -> Itera
 
 def _batch(block: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*block), schema)], schema=schema)
+
+
+def components(edges: DataFrame, name: str = "component") -> DataFrame:
+    """(node, label) of the nodes of (a, b): the smallest node that each is connected with.
+
+    Each round takes the least label of all neighbours and then follows labels once, so chains shorten by more than half;
+    every round's labels are written, so that a lost executor costs one round at most.
+    """
+    both = written(edges.selectExpr("a", "b").unionByName(edges.selectExpr("b as a", "a as b")).filter("a <> b").distinct(), name + "-edges")
+    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), name)
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
+        least = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        step = written(least.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")), name)
+        labels = step.select("node", "label")
+        if step.filter("was <> label").isEmpty():
+            return labels
