@@ -4,6 +4,6 @@ from .base import REGISTRY, Plan, plan
 
 
 def all_plans() -> list[Plan]:
-    from . import intervals, relational, text  # noqa: F401
+    from . import intervals, relational, statistics, text  # noqa: F401
 
     return list(REGISTRY.values())
