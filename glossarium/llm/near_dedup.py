@@ -5,9 +5,10 @@ Document frequencies are counted over all documents in a fixed number of hashed
 doesn't grow. Consistent weighted sampling picks one shingle and level per hash function, such that two texts agree with
 the probability of their weighted Jaccard similarity; four picks make a band, and texts that share a band are compared.
 
-Texts with the same words are one node from the start. In a bucket nobody is compared with everybody: all members meet the
-bucket's smallest node, then, where a bucket still holds several components, three more pivots, and at last only the members that are
-still apart meet those of other components, if their total weights allow the similarity at all. Every pair is verified by the weighted Jaccard
+Texts with the same words are one node from the start. In a bucket nobody is compared with everybody: all members meet the bucket's two
+pivots. Where a bucket then still holds several components, the members that are apart from its largest one meet others by an exact prefix
+filter: with shingles ordered from rare to common, two texts can only be similar enough if they share one of the first shingles of both, at
+a place after which both have enough weight left. Every pair is verified by the weighted Jaccard
 similarity of whole texts, and verified pairs are joined to classes by connected components.
 
 Defined cases: texts without words are alike only if equal; a text of fewer than five words is one shingle; a null text is empty;
@@ -31,6 +32,8 @@ from .common import WORD, HashCache, batches, components, free_name, mix64, shin
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 8, 4
 SLOTS = 1 << 16
+#: Slots in which shingles of texts that are still apart are counted, as a power of two.
+COUNT_BITS = 18
 #: Rows of (long, long) that may be broadcast.
 FEW = 500_000
 
@@ -119,6 +122,24 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return (np.log((counts[SLOTS] + 1) / (counts[:SLOTS] + 1)) + 1).astype(np.float32)
 
 
+def shingle_counts(texts: DataFrame, idf: Broadcast) -> Broadcast:
+    """How many shingles fall in each of a fixed number of slots: an order from rare to common, whatever it is, keeps the prefix filter exact."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, counts = Shingler(idf.value), np.zeros(1 << COUNT_BITS, np.int64)
+        for part in parts:
+            for text in part.column(0).to_pylist():
+                slots = shingler.weighted(shingler.words(text))[0] >> np.uint64(64 - COUNT_BITS)
+                np.add.at(counts, slots, 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["slot", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # 2**COUNT_BITS rows at most
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    counts[rows.slot.to_numpy(int)] = rows.n
+    return texts.sparkSession.sparkContext.broadcast(counts)
+
+
 def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
     """(doc_id, tag, same, total, bands) per row: `same` is equal for texts with the same words, tag tells rows of one identifier apart."""
     schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("same", pa.binary()), ("total", pa.float64()), ("bands", pa.list_(pa.int64()))])
@@ -158,34 +179,30 @@ class NearDuplicates:
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
         nodes = self.rows.groupBy("same").agg(first.alias("first"), F.first("total").alias("total"), F.first("bands").alias("bands"))
         self.nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "same", "first.doc_id", "first.tag", "total", "bands"), "near-nodes")
-        self.members = self.nodes.select("node", "total", F.explode("bands").alias("bucket"))
-        self.buckets = written(
-            self.members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"pivot{i}") for i in (1, 2, 3)]).filter("n > 1"), "near-buckets"
-        )
-
-    def candidates(self, pivots: list[str], inside: DataFrame | None = None, buckets: DataFrame | None = None) -> DataFrame:
-        """Distinct (a, b) of a bucket's members with its pivots. inside: a component for nodes; pairs of one component are left out."""
-        rows = self.members.join((buckets or self.buckets).select("bucket", *pivots), "bucket")
-        rows = rows.select("node", "total", F.explode(F.array(*pivots)).alias("pivot")).filter("node <> pivot")
-        if inside is not None:
-            rows = self._apart(rows, inside)
+        self.members = self.nodes.select("node", F.explode("bands").alias("bucket"))
+        sizes = self.members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        shared = written(self.members.join(sizes, "bucket").select("bucket", "node", "n"), "near-shared")
+        central = shared.groupBy("node").agg(F.sum("n").alias("met"))  # a node that meets many is near the middle of its group
+        order = F.struct("met", F.xxhash64("node"))
+        ranked = shared.join(central, "node").groupBy("bucket").agg(F.first("n").alias("n"), F.max_by("node", order).alias("pivot"), F.min("node").alias("pivot1"))
+        self.buckets, self.members = written(ranked, "near-buckets"), shared.select("bucket", "node")
+
+    def candidates(self) -> DataFrame:
+        """Distinct (a, b) of a bucket's members with its pivots."""
+        rows = self.members.join(self.buckets, "bucket")
+        rows = rows.select("node", F.explode(F.array("pivot", "pivot1")).alias("pivot")).filter("node <> pivot")
         return rows.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
-    @staticmethod
-    def _apart(rows: DataFrame, inside: DataFrame) -> DataFrame:
-        for c in ("node", "pivot"):
-            rows = rows.join(inside.select(F.col("node").alias(c), F.col("label").alias("label_" + c)), c, "left").withColumn("label_" + c, F.coalesce("label_" + c, c))
-        return rows.filter("label_node <> label_pivot")
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """(node, text) of distinct nodes, written."""
+        used = written(nodes.join(self.nodes.select("node", "tag"), "node"), "near-used")
+        few = used.limit(FEW + 1).count() <= FEW
+        texts = self.docs.select(tag_of(self.docs), F.coalesce("text", F.lit("")).alias("text"))
+        return written(texts.join(F.broadcast(used) if few else used, "tag").dropDuplicates(["node"]).select("node", "text"), "near-texts")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose whole texts are similar enough, with the similarity."""
-        pairs = written(pairs, "near-pairs")
-        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "doc_id", "tag"), "node")
-        used = written(used, "near-used")
-        few = used.count() <= FEW
-        texts = self.docs.select(tag_of(self.docs), F.coalesce("text", F.lit("")).alias("text"))
-        used = used.select("node", "tag")
-        texts = written(texts.join(F.broadcast(used) if few else used, "tag").dropDuplicates(["node"]).select("node", "text"), "near-texts")
+        """Those of written pairs whose whole texts are similar enough, with the similarity."""
+        texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         both = pairs.join(texts.selectExpr("node as a", "text as text_a"), "a").join(texts.selectExpr("node as b", "text as text_b"), "b")
         idf, least = self.idf, self.least
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
@@ -211,37 +228,61 @@ class NearDuplicates:
 
         return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
-    def mixed(self, labels: DataFrame) -> DataFrame:
-        """Buckets that hold nodes of several components."""
-        rows = self.members.join(self.buckets.select("bucket"), "bucket", "left_semi").join(labels, "node", "left")
-        label = F.coalesce("label", "node")
-        return rows.groupBy("bucket").agg(F.min(label).alias("low"), F.max(label).alias("high")).filter("low <> high").select("bucket")
-
     def links(self) -> tuple[DataFrame, DataFrame]:
         """All verified pairs, and the label of every linked node."""
-        edges = written(self.verified(self.candidates(["pivot"])), "near-edges")
+        edges = written(self.verified(written(self.candidates(), "near-pairs")), "near-edges")
         labels = components(edges)
-        open_buckets = written(self.buckets.filter("n > 2").join(self.mixed(labels), "bucket", "left_semi"), "near-mixed")
-        if open_buckets.isEmpty():
+        pairs = self.remaining(labels)
+        if pairs is None or pairs.isEmpty():
             return edges, labels
-        more = written(self.verified(self.candidates(["pivot1", "pivot2", "pivot3"], labels, open_buckets)), "near-edges")
-        edges = edges.unionByName(more)
-        labels = components(edges)
-        rest = written(self.verified(self.remaining(labels)), "near-edges")
+        rest = written(self.verified(pairs), "near-edges")
         if rest.isEmpty():
             return edges, labels
         edges = edges.unionByName(rest)
         return edges, components(edges)
 
-    def remaining(self, labels: DataFrame) -> DataFrame:
-        """Pairs of a bucket's members in different components, of which one isn't in the bucket's largest component, and whose total weights allow the similarity."""
-        rows = self.members.join(self.mixed(labels), "bucket", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rows = written(rows.select("bucket", "label", "node", "total"), "near-open")
+    def remaining(self, labels: DataFrame) -> DataFrame | None:
+        """Pairs of nodes in different components that may still be similar: of two such members of a bucket, one at least isn't in its largest component."""
+        rows = self.members.join(self.buckets.filter("n > 2").select("bucket"), "bucket", "left_semi").join(labels, "node", "left")
+        rows = written(rows.select("bucket", F.coalesce("label", "node").alias("label"), "node"), "near-open")
         sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-        apart = rows.join(main, "bucket").filter("label <> main").select("bucket", F.col("label").alias("label_a"), F.col("node").alias("a"), F.col("total").alias("total_a"))
-        pairs = apart.join(rows, "bucket").filter("label <> label_a").filter(F.least("total", "total_a") >= self.least * F.greatest("total", "total_a") - 1e-6)
-        return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        mixed = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+        rows = rows.join(mixed, "bucket")
+        open_ = written(rows.groupBy("node").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("apart")), "near-open")
+        if open_.isEmpty():
+            return None
+        texts = self.texts(open_.select("node"))
+        first = written(self.prefixes(texts, shingle_counts(texts, self.idf)).join(open_, "node"), "near-prefixes")
+        spread = lambda df: df.select("node", "label", "total", F.explode(F.arrays_zip("tokens", "left")).alias("t")).select("node", "label", "total", "t.tokens", "t.left")
+        mine = spread(first.filter("apart")).toDF("a", "label_a", "total_a", "token", "left_a")
+        other = spread(first).toDF("b", "label_b", "total_b", "token", "left_b")
+        needed = (F.col("total_a") + F.col("total_b")) * (self.least / (1 + self.least)) - 1e-3
+        may = (F.col("label_a") != F.col("label_b")) & (F.least("left_a", "left_b") >= needed)
+        pairs = mine.join(other, (mine["token"] == other["token"]) & may)
+        return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+
+    def prefixes(self, texts: DataFrame, counts: Broadcast) -> DataFrame:
+        """(node, total, tokens, left): the first shingles of each text, rare ones first, and the weight from each of them on."""
+        idf, least = self.idf, self.least
+        schema = pa.schema([("node", pa.int64()), ("total", pa.float64()), ("tokens", pa.list_(pa.int64())), ("left", pa.list_(pa.float64()))])
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingler = Shingler(idf.value)
+
+            def rows() -> Iterator[tuple]:
+                for part in parts:
+                    for node, text in zip(*(c.to_pylist() for c in part.columns)):
+                        shingles, weights = shingler.weighted(shingler.words(text))
+                        order = np.lexsort((shingles, counts.value[shingles >> np.uint64(64 - COUNT_BITS)]))
+                        w = weights[order].astype(np.float64)
+                        left = w[::-1].cumsum()[::-1]
+                        total = float(w.sum())
+                        n = int((left >= least * total - 1e-3).sum())
+                        yield node, total, shingles[order[:n]].view(np.int64).tolist(), left[:n].tolist()
+
+            yield from batches(rows(), schema, 1024)
+
+        return texts.select("node", "text").mapInArrow(run, "node long, total double, tokens array<long>, left array<double>")
 
     def classes(self) -> DataFrame:
         """Per row of docs: doc_id, tag, class_id (the smallest identifier of its class), class_tag and class_size."""
