@@ -31,7 +31,7 @@ from .labelled import CUT, SAMPLE_ROWS, fold, labelled_sample, score, threshold
 SLOTS = 1 << 18
 VECTOR = 4
 #: A slot's likelihood ratio in the sample from which on it gets a weight.
-EVIDENCE = 20.0
+EVIDENCE = 10.0
 WORD = re.compile(r"[^\W_]+")
 
 
