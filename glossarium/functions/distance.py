@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 def edit_distance(a: Sequence, b: Sequence, mode: str = "standard") -> int:
     """Unit costs. Mode "compat" has all cells of the first row and column 1 (0 for two empty sides) and counts modulo 256."""
     if mode == "standard":
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+        if len(a) < len(b):
+            a, b = b, a
+        number: dict = {}
+        x, y = ([number.setdefault(v, len(number)) for v in s] for s in (a, b))
+        y, place = np.array(y, np.int64), np.arange(len(y) + 1)
+        row = place.copy()
+        for i, u in enumerate(x, 1):
+            new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != u))])
+            row = np.minimum.accumulate(new - place) + place  # insertions: each costs one more than the cell before
+        return int(row[-1])
     t = np.zeros((len(a) + 1, len(b) + 1), np.uint8)
     t[1:, 0], t[0, 1:] = 1, 1
     for i, x in enumerate(a, 1):
