@@ -253,13 +253,15 @@ class NearDuplicates:
             return None
         texts = self.texts(open_.select("node"))
         first = written(self.prefixes(texts, shingle_counts(texts, self.idf)).join(open_, "node"), "near-prefixes")
-        spread = lambda df: df.select("node", "label", "total", F.explode(F.arrays_zip("tokens", "left")).alias("t")).select("node", "label", "total", "t.tokens", "t.left")
-        mine = spread(first.filter("apart")).toDF("a", "label_a", "total_a", "token", "left_a")
-        other = spread(first).toDF("b", "label_b", "total_b", "token", "left_b")
+        rows = first.select("node", "label", "total", "apart", "tokens", F.posexplode(F.arrays_zip("tokens", "left")).alias("at", "t"))
+        rows = rows.select("node", "label", "total", "apart", F.slice("tokens", F.lit(1), F.col("at")).alias("before"), "t.tokens", "t.left")
+        mine = rows.filter("apart").drop("apart").toDF("a", "label_a", "total_a", "before_a", "token", "left_a")
+        other = rows.toDF("b", "label_b", "total_b", "apart_b", "before_b", "token", "left_b")
         needed = (F.col("total_a") + F.col("total_b")) * (self.least / (1 + self.least)) - 1e-3
-        may = (F.col("label_a") != F.col("label_b")) & (F.least("left_a", "left_b") >= needed)
-        pairs = mine.join(other, (mine["token"] == other["token"]) & may)
-        return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+        may = (F.col("label_a") != F.col("label_b")) & (F.least("left_a", "left_b") >= needed) & ~(F.col("apart_b") & (F.col("b") < F.col("a")))
+        # a pair meets at the first shingle that both have, and nowhere else
+        pairs = mine.join(other, (mine["token"] == other["token"]) & may & ~F.arrays_overlap("before_a", "before_b"))
+        return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "near-pairs")
 
     def prefixes(self, texts: DataFrame, counts: Broadcast) -> DataFrame:
         """(node, total, tokens, left): the first shingles of each text, rare ones first, and the weight from each of them on."""
