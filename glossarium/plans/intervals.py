@@ -176,3 +176,42 @@ def lcs_alignment(spark, sf_dir):
         return pd.DataFrame(rows, columns=["conv_id", "turn", "n_common", "n_anchors"])
 
     return I.folded(t, ["conv_id"], align, "conv_id long, turn long, n_common long, n_anchors long")
+
+
+@plan("P15", f"WITH {GAPS} SELECT event_id, event_type AS label FROM g WHERE event_type NOT IN ('', 'sp', 'sil', '<eps>', 'view') AND next_us > us")
+def spoken_intervals(spark, sf_dir):
+    """Intervals with a length whose label isn't silence (here `view` stands for one of the silent labels)."""
+    return gaps(spark, sf_dir).filter(~F.col("event_type").isin("", "sp", "sil", "<eps>", "view") & (F.col("next_us") > F.col("us"))).select("event_id", F.col("event_type").alias("label"))
+
+
+@plan("J13", "SELECT c.c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c.c_custkey) AS largest, (SELECT count(*) FROM orders WHERE o_custkey = c.c_custkey AND o_orderstatus = 'F') AS finished FROM customer c")
+def decorrelated_subqueries(spark, sf_dir):
+    """What would be two queries a row, as one aggregate and one join."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("largest"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("finished"))
+    c = table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return c.select("c_custkey", "largest", F.coalesce("finished", F.lit(0)).alias("finished"))
+
+
+@plan("F37", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, date_trunc('day', ts) AS day FROM events")
+def json_and_dates(spark, sf_dir):
+    """Beyond the inventory: JSON paths and calendar arithmetic in SQL."""
+    e = table(spark, sf_dir, "events")
+    e.createOrReplaceTempView("glossarium_events")
+    return spark.sql("SELECT event_id, cast(get_json_object(props, '$.k') AS BIGINT) AS k, cast(date_trunc('day', ts) AS timestamp_ntz) AS day FROM glossarium_events")
+
+
+@plan("M14 M16")
+def interval_alignment(spark, sf_dir):
+    """Each even user's first intervals against the next user's, aligned by least cost. A user's first 60 intervals are one utterance."""
+    import pandas as pd
+
+    f = gaps(spark, sf_dir).filter("next_us IS NOT NULL")
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
+    f = f.withColumn("i", F.row_number().over(w)).filter("i <= 60").select(F.floor(F.col("user_id") / 2).cast("long").alias("pair"), (F.col("user_id") % 2).alias("side"), "begin", "stop", "event_type")
+
+    def align(pdf):
+        p = pdf.sort_values("begin")
+        a, b = ([(x.begin / 3600, x.stop / 3600, x.event_type) for x in p[p.side == s].itertuples()] for s in (0, 1))
+        return pd.DataFrame([(p.pair.iloc[0], *I.align_intervals(a, b))], columns=["pair", "boundary_error", "error_rate", "n_matched"])
+
+    return I.folded(f, ["pair"], align, "pair long, boundary_error double, error_rate double, n_matched long")
