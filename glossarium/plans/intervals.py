@@ -108,11 +108,11 @@ def overlap_anti(spark, sf_dir):
     return I.without_overlaps(x, w, ["user_id"], 90000.0).select("event_id")
 
 
-@plan("W11", """WITH f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_type FROM events WHERE user_id < 20), s AS (SELECT user_id, i, event_type, CAST(round_even(i * 0.37::DOUBLE * 10, 0) AS BIGINT) AS a, CAST(round_even((i * 0.37::DOUBLE + 0.3::DOUBLE) * 10, 0) AS BIGINT) AS b FROM f),
+@plan("W11", """WITH f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_type FROM events), s AS (SELECT user_id, i, event_type, CAST(round_even(i * 0.37::DOUBLE * 10, 0) AS BIGINT) AS a, CAST(round_even((i * 0.37::DOUBLE + 0.3::DOUBLE) * 10, 0) AS BIGINT) AS b FROM f),
 fr AS (SELECT user_id, unnest(generate_series(0, n - 1)) AS frame FROM (SELECT user_id, count(*) * 4 AS n FROM f GROUP BY user_id)), c AS (SELECT fr.user_id, frame, arg_max(event_type, i) AS label FROM fr JOIN s ON fr.user_id = s.user_id AND frame >= a AND frame < b GROUP BY fr.user_id, frame)
 SELECT fr.user_id, fr.frame, coalesce(label, 'sil') AS label FROM fr LEFT JOIN c USING (user_id, frame)""")
 def frame_rasterise(spark, sf_dir):
-    f = frames(spark, sf_dir).filter("user_id < 20")
+    f = frames(spark, sf_dir)
     s = f.select("user_id", ((F.col("i") + 1) * 0.37).alias("begin"), ((F.col("i") + 1) * 0.37 + 0.3).alias("stop"), F.col("event_type").alias("label"))
     return I.rasterised(s, ["user_id"], "begin", "stop", "label", 10.0, f.groupBy("user_id").agg((F.count("*") * 4).alias("frames")), "sil")
 
@@ -170,7 +170,7 @@ def lcs_alignment(spark, sf_dir):
     def align(pdf):
         rows = []
         for r in pdf.itertuples():
-            pairs = I.lcs_pairs((r.text or "").split()[:400], r.other.split()[:400])
+            pairs = I.lcs_pairs((r.text or "").split(), r.other.split())
             anchors = I.without_plateaus(I.monotone_anchors([(float(a), float(b)) for a, b in pairs]))
             rows.append((r.conv_id, r.turn, len(pairs), len(anchors)))
         return pd.DataFrame(rows, columns=["conv_id", "turn", "n_common", "n_anchors"])
@@ -202,16 +202,16 @@ def json_and_dates(spark, sf_dir):
 
 @plan("M14 M16")
 def interval_alignment(spark, sf_dir):
-    """Each even user's first intervals against the next user's, aligned by least cost. A user's first 60 intervals are one utterance."""
+    """Each even user's intervals against the next user's, aligned by least cost in utterances of 60."""
     import pandas as pd
 
-    f = gaps(spark, sf_dir).filter("next_us IS NOT NULL")
     w = Window.partitionBy("user_id").orderBy("us", "event_id")
-    f = f.withColumn("i", F.row_number().over(w)).filter("i <= 60").select(F.floor(F.col("user_id") / 2).cast("long").alias("pair"), (F.col("user_id") % 2).alias("side"), "begin", "stop", "event_type")
+    f = gaps(spark, sf_dir).filter("next_us IS NOT NULL").withColumn("utterance", F.floor((F.row_number().over(w) - 1) / 60).cast("long"))
+    f = f.select(F.floor(F.col("user_id") / 2).cast("long").alias("pair"), (F.col("user_id") % 2).alias("side"), "utterance", "begin", "stop", "event_type")
 
     def align(pdf):
         p = pdf.sort_values("begin")
         a, b = ([(x.begin / 3600, x.stop / 3600, x.event_type) for x in p[p.side == s].itertuples()] for s in (0, 1))
-        return pd.DataFrame([(p.pair.iloc[0], *I.align_intervals(a, b))], columns=["pair", "boundary_error", "error_rate", "n_matched"])
+        return pd.DataFrame([(p.pair.iloc[0], p.utterance.iloc[0], *I.align_intervals(a, b))], columns=["pair", "utterance", "boundary_error", "error_rate", "n_matched"])
 
-    return I.folded(f, ["pair"], align, "pair long, boundary_error double, error_rate double, n_matched long")
+    return I.folded(f, ["pair", "utterance"], align, "pair long, utterance long, boundary_error double, error_rate double, n_matched long")
