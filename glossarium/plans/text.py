@@ -151,7 +151,7 @@ def wer_cer(spark, sf):
     ship(spark)
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = table(spark, sf, "conversations").withColumn("other", F.lead("text").over(w)).filter("other IS NOT NULL")
-    e = t.select("role", D.error_counter()("text", "other").alias("e")).select("role", "e.*")
+    e = D.counted_errors(t, "text", "other", ["role"])
     return e.groupBy("role").agg(*[F.sum(c).alias(c) for c in ("word_edits", "word_length", "char_edits", "char_length")]).withColumn("wer", F.try_divide("word_edits", "word_length")).withColumn("cer", F.try_divide("char_edits", "char_length"))
 
 
