@@ -130,10 +130,10 @@ def ctm(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).select(p[0].alias("utterance"), p[1].alias("channel"), p[2].cast("double").alias("begin"), p[3].cast("double").alias("duration"), p[4].alias("label"), F.try_element_at(p, F.lit(6)).try_cast("double").alias("confidence"))
 
 
-def scp(spark: SparkSession, path: str) -> DataFrame:
-    """Key and values of each line; brackets go, _MFASPACE_ is a blank."""
+def scp(spark: SparkSession, path: str, blank: str = "_SPACE_") -> DataFrame:
+    """Key and values of each line; brackets go, and the sign for a blank inside a value becomes one."""
     p = F.filter(F.split(F.regexp_replace("line", r"[\[\]]", " "), r"\s+"), lambda x: x != "")
-    clean = F.transform(p, lambda x: F.replace(x, F.lit("_MFASPACE_"), F.lit(" ")))
+    clean = F.transform(p, lambda x: F.replace(x, F.lit(blank), F.lit(" ")))
     return lines(spark, path).select(clean[0].alias("key"), F.slice(clean, F.lit(2), F.size(clean) - 1).alias("values"))
 
 

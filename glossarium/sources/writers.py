@@ -81,9 +81,9 @@ def oov_reports(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return counts.orderBy(F.desc("n"), "word").select(F.col("word").alias("value")), line(counts.orderBy(F.desc("n"), "word"), "word", F.col("n").cast("string")), line(by.orderBy("utterance"), "utterance", "words")
 
 
-def scp_lines(df: DataFrame) -> DataFrame:
-    """Key and values of each line, blanks in keys written out, by key (K8)."""
-    safe = lambda c: F.replace(c, F.lit(" "), F.lit("_MFASPACE_"))
+def scp_lines(df: DataFrame, blank: str = "_SPACE_") -> DataFrame:
+    """Key and values of each line, by key, with a sign for blanks inside them (K8)."""
+    safe = lambda c: F.replace(c, F.lit(" "), F.lit(blank))
     return df.orderBy("key").select(F.concat_ws(" ", safe(F.col("key")), F.array_join(F.transform("values", safe), " ")).alias("value"))
 
 

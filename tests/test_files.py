@@ -40,9 +40,9 @@ def test_corpus_and_sounds(spark, tmp_path):
 def test_line_files(spark, tmp_path):
     c = readers.ctm(spark, put(tmp_path, "a/a.ctm", "u1 1 0.5 0.25 AH 0.9\nu1 1 0.75 0.1 T\n")).orderBy("begin").collect()
     assert [(r.utterance, r.begin, r.label, r.confidence) for r in c] == [("u1", 0.5, "AH", 0.9), ("u1", 0.75, "T", None)]
-    s = readers.scp(spark, put(tmp_path, "b/a.scp", "k_MFASPACE_1 [ 1 2 ]\n")).first()
+    s = readers.scp(spark, put(tmp_path, "b/a.scp", "k_SPACE_1 [ 1 2 ]\n")).first()
     assert (s.key, s["values"]) == ("k 1", ["1", "2"])
-    assert writers.scp_lines(spark.createDataFrame([("k 1", ["1", "2"])], ["key", "values"])).first().value == "k_MFASPACE_1 1 2"
+    assert writers.scp_lines(spark.createDataFrame([("k 1", ["1", "2"])], ["key", "values"])).first().value == "k_SPACE_1 1 2"
     lex = readers.lexicon(spark, put(tmp_path, "c/l.dict", "hello 0.9 0.1 HH AH\nhello HH\nbad\n"))
     rows = sorted((r.word, r.probability, r.silence_after, r.phones, r.error is None) for r in lex.collect() if r.probability)
     assert rows == [("hello", 0.9, 0.1, ["HH", "AH"], True)] and lex.filter("error IS NOT NULL").count() == 1
