@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that a model is fitted on at most, in the order of a hash of their identifiers.
-SAMPLE_ROWS = 15_000
+SAMPLE_ROWS = 8_000
 
 
 def fold(doc_id: str, parts: int, part: int) -> Column:
@@ -20,7 +20,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out)
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).cast("int").alias("label"))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # so it may be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("label", "text").limit(2 * rows)
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("label", "text")
 
 
 def threshold(margin: np.ndarray, label: np.ndarray, measure: str) -> float:

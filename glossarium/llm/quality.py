@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Additi
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "quality", fold("doc_id", 5, 0), rows).mapInArrow(run, "label int, x array<double>").collect()
+    sample = labelled_sample(docs, labels, "quality", fold("doc_id", 5, 0), rows).mapInArrow(run, "label int, x array<double>").limit(2 * rows).collect()
     sample.sort(key=lambda r: (zlib.crc32(repr(r.x).encode()), r.x, r.label))  # the same order in every run
     x, y = np.array([r.x for r in sample]).reshape(-1, len(FEATURES)), np.array([r.label for r in sample], float)
     if not len(y) or y.min() == y.max():

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,10 +93,11 @@ class Machine:
 
 def telling(rows: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     """Slots whose presence in distinct texts goes with the label, by the G statistic of their two-by-two table."""
-    first = {r.tobytes(): i for i, r in reversed(list(enumerate(rows)))}
+    first = {xxhash.xxh3_128_digest(r.tobytes()): i for i, r in reversed(list(enumerate(rows)))}
     rows, label = [rows[i] for i in first.values()], label[list(first.values())]
-    empty = np.zeros(0, np.int32)
-    there = [np.bincount(np.concatenate([*(r for r, y in zip(rows, label) if y == k), empty]), minlength=SLOTS) for k in (0, 1)]
+    there = [np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)]
+    for r, y in zip(rows, label):
+        there[int(y)][r] += 1  # a text's slots are distinct
     n = [int((label == k).sum()) for k in (0, 1)]
     total, df, g = sum(n), there[0] + there[1], np.zeros(SLOTS)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -152,9 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machin
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype("<i4").tobytes() for s in slots], pa.binary())], ["label", "slots"])
 
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "toxic", fold("doc_id", 4, 2), rows).mapInArrow(run, "label int, slots binary").collect()
+    sample = labelled_sample(docs, labels, "toxic", fold("doc_id", 4, 2), rows).mapInArrow(run, "label int, slots binary").limit(2 * rows).collect()
     sample.sort(key=lambda r: (zlib.crc32(r.slots), r.slots, r.label))  # the same order in every run
     slots, label = [np.frombuffer(r.slots, "<i4") for r in sample], np.array([r.label for r in sample], np.float32)
+    del sample
     if not len(label) or label.min() == label.max():
         return Machine(0.0, np.zeros(SLOTS, np.float32), np.zeros((SLOTS, VECTOR), np.float32), 1.0)
     test = np.arange(len(label)) % 5 == 0
