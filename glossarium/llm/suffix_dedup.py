@@ -176,14 +176,16 @@ class RepeatedPassages:
 
     @staticmethod
     def short(paired: DataFrame, good: DataFrame) -> DataFrame:
-        """Heads of suffixes that lie in none of the passages found with their neighbours, if three or more documents begin so."""
+        """Heads of suffixes that lie in none of the passages found with their neighbours, if there are three or more places that begin so."""
         block = 64  # words: passages are looked up by the blocks that they touch
         blocks = F.sequence(F.floor(F.col("start") / block), F.floor(F.col("stop") / block))
         done = good.select("tag", "first_tag", "start", "stop", F.explode(blocks).alias("block")).alias("d")
         other = paired.filter("tag <> first_tag").withColumn("block", F.floor(F.col("at") / block)).alias("p")
         same = [F.col(f"p.{c}") == F.col(f"d.{c}") for c in ("tag", "first_tag", "block")]
         left = other.join(done, [*same, F.col("at") >= F.col("start"), F.col("at") < F.col("stop")], "left_anti").select("head").distinct()
-        several = paired.filter("tag <> first_tag").groupBy("head").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).filter("low <> high")
+        # besides the first place, which may be one of several in its document
+        others = paired.filter("tag <> first_tag or at <> first_at").groupBy("head")
+        several = others.agg(*(f(c).alias(f"{n}_{c}") for c in ("tag", "at") for n, f in (("low", F.min), ("high", F.max)))).filter("low_tag <> high_tag or low_at <> high_at")
         return left.join(several.select("head"), "head")
 
     def windows(self, members: DataFrame) -> DataFrame:

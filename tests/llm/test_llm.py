@@ -222,6 +222,23 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.repeated_passages(odd_rows(spark)).filter("n_words < 50").count() == 0
 
 
+def lost_pairs(spark, pairs):
+    """Numbers of the pairs of texts of which a document isn't found."""
+    rows = [(2 * i + k, " ".join(words)) for i, pair in enumerate(pairs) for k, words in enumerate(pair)]
+    got = {r.doc_id for r in suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return [i for i in range(len(pairs)) if not {2 * i, 2 * i + 1} <= got]
+
+
+def test_suffix_dedup_of_a_notice_twice_in_the_first_document(spark):
+    """The second document has the notice with what follows its second place in the first one."""
+    pairs = []
+    for i in range(60):
+        n, own = (45, 10) if i % 2 else (40, 15), [prose(10_000 + 10 * i + k, 60) for k in range(5)]
+        notice, tail = prose(20_000 + i, n[0]), prose(30_000 + i, n[1])
+        pairs.append(([*own[0], *notice, *own[1], *notice, *tail, *own[2]], [*own[3], *notice, *tail, *own[4]]))
+    assert lost_pairs(spark, pairs) == []
+
+
 # decontamination
 
 
