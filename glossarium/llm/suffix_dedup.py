@@ -5,7 +5,9 @@ words is the least of a span of such hashes, so that texts which share a passage
 Suffixes are ordered by their heads; each is compared with the first of those that begin alike (the neighbour that stays), and
 suffixes of two documents at a constant distance form one run. A run is then extended word by word, left and right, over whole texts, which
 also verifies it, and is reported if it has LEAST words. Where a suffix's run with its neighbour stays shorter, it may still share a passage with another
-suffix that begins like it: all suffixes of that head are then ordered again by each of the windows of LEAST words around them.
+suffix that begins like it: all suffixes of that head are then ordered again by each of the windows of LEAST words around them. Of a
+stretch that repeats itself (a line over and over) only the first and the last suffix of each head are kept, and so of its windows; the windows are
+made around all places of the head.
 
 Nothing is paired within a group: each suffix meets one neighbour, so a passage that a third of all documents share costs one
 row for each of its suffixes, or for each of its windows.
@@ -71,15 +73,30 @@ def heads(words: np.ndarray, powers: Powers, head: int = HEAD) -> np.ndarray:
         return mix64((sums[head:] - sums[:-head]) * down[:n])
 
 
+def thinned(at: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
+    """The positions without those inside a chain: of equal hashes less than `width` apart, one after another, the first and the last stay."""
+    order = np.lexsort((at, h[at]))
+    at = at[order]
+    close = np.zeros(len(at) + 1, bool)
+    close[1:-1] = (np.diff(h[at].view(np.int64)) == 0) & (np.diff(at) < width)
+    return np.sort(at[~(close[:-1] & close[1:])])
+
+
 def minimisers(h: np.ndarray, span: int = LEAST - HEAD + 1) -> np.ndarray:
-    """Positions of the least hash of each span of positions, the leftmost if there are several; equal hashes less than HEAD apart count once."""
+    """Positions of the least hash of each span of positions, the leftmost if there are several; of a stretch that repeats itself, the first and the last."""
     if len(h) < span:
         return np.zeros(0, np.int64)
-    at = np.unique(sliding_window_view(h, span).argmin(1) + np.arange(len(h) - span + 1))
-    order = np.lexsort((at, h[at]))
-    close = np.zeros(len(at), bool)
-    close[1:] = (np.diff(h[at][order].view(np.int64)) == 0) & (np.diff(at[order]) < HEAD)
-    return np.sort(at[order][~close])
+    return thinned(np.unique(sliding_window_view(h, span).argmin(1) + np.arange(len(h) - span + 1)), h, HEAD)
+
+
+def around(words: np.ndarray, places: list[int], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of LEAST words, and positions of those that hold a head which begins at one of the places, wherever it occurs."""
+    h, windows = heads(words, powers), heads(words, powers, LEAST)
+    at = np.flatnonzero(np.isin(h, h[places]))  # also the places inside a chain
+    held = np.zeros(len(h) + 1, np.int64)
+    np.add.at(held, np.maximum(at - (LEAST - HEAD), 0), 1)
+    np.add.at(held, at + 1, -1)
+    return windows, thinned(np.flatnonzero(np.cumsum(held)[: len(windows)] > 0), windows, LEAST)
 
 
 def tag_of():
@@ -189,7 +206,7 @@ class RepeatedPassages:
         return left.join(several.select("head"), "head")
 
     def windows(self, members: DataFrame) -> DataFrame:
-        """Like suffixes(): each window of LEAST words that holds the head of one of the members."""
+        """Like suffixes(): each window of LEAST words that holds the head of one of the members, at any of its places in the text."""
         places = written(members.groupBy("tag").agg(F.min("rank").alias("rank"), F.collect_set("at").alias("places")), "suffix-members")
         few = places.limit(FEW + 1).count() <= FEW // 10
         texts = self.docs.select(tag_of(), F.coalesce("text", F.lit("")).alias("text"))
@@ -202,10 +219,8 @@ class RepeatedPassages:
             def rows() -> Iterator[tuple]:
                 for part in parts:
                     for rank, tag, text, places in zip(*(c.to_pylist() for c in part.columns)):
-                        h = heads(words(text), powers, LEAST).view(np.int64)
-                        around = np.array(places)[:, None] - np.arange(LEAST - HEAD + 1)
-                        at = np.unique(around[(around >= 0) & (around < len(h))])
-                        yield from zip(h[at].tolist(), [rank] * len(at), [tag] * len(at), at.tolist())
+                        h, at = around(words(text), places, powers)
+                        yield from zip(h[at].view(np.int64).tolist(), [rank] * len(at), [tag] * len(at), at.tolist())
 
             yield from batches(rows(), schema)
 

@@ -239,6 +239,27 @@ def test_suffix_dedup_of_a_notice_twice_in_the_first_document(spark):
     assert lost_pairs(spark, pairs) == []
 
 
+def test_suffix_dedup_of_the_end_of_repeated_lines(spark):
+    """Two documents repeat a line, one more often, and go on alike."""
+    pairs = []
+    for i in range(90):
+        width, more, less, after = ((12, 6, 4, 10), (10, 8, 4, 15), (12, 3, 2, 26))[i % 3]
+        line, tail, own = prose(40_000 + i, width), prose(50_000 + i, after), [prose(60_000 + 10 * i + k, 60) for k in range(4)]
+        pair = [[*own[0], *line * more, *tail, *own[1]], [*own[2], *line * less, *tail, *own[3]]]
+        pairs.append(tuple(pair[:: 1 - 2 * (i // 3 % 2)]))
+    assert lost_pairs(spark, pairs) == []
+
+
+def test_suffix_dedup_of_one_word_over_and_over(spark):
+    """Few windows are made of a stretch that repeats itself."""
+    words, powers = suffix_dedup.Words(), suffix_dedup.Powers()
+    h = words("x " * 5000 + " ".join(prose(1, 100)))
+    at = suffix_dedup.minimisers(suffix_dedup.heads(h, powers))
+    assert len(at) < 20 and {0} <= set(at.tolist())
+    windows, starts = suffix_dedup.around(h, [0], powers)
+    assert set(starts.tolist()) == {0, 4950, *range(4951, 4977)}
+
+
 # decontamination
 
 
