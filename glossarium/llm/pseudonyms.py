@@ -4,7 +4,9 @@ A text is split at the values that one pattern finds; each value is checked for
 text is put together again. Digits stay digits and letters stay letters of the same case, so formats, lengths and layout stay; a value
 always gets the same pseudonym, in every document and run, and under the key the permutation can be undone.
 
-- Card numbers (13 to 19 digits with a valid Luhn digit): all digits but the last are permuted, the last is computed.
+- Card numbers (13 to 19 digits with a valid Luhn digit): all digits but the last are permuted, the last is computed. Of the groups
+  of digits next to each other, from left to right: usual layouts first (unbroken; groups of four; 4, 6 and 4 or 5), else the longest that make up a
+  valid number. A group is not split. Groups without a valid number count as one value found.
 - Account numbers (IBAN, valid modulo 97): digits and letters after the check digits are permuted, the check digits are computed.
 - Dates (1900 to 2099; year-month-day, or day and month first with dots or slashes): the day's number is permuted among all days of these years.
 - Internet addresses (four numbers up to 255): the 32-bit number is permuted.
@@ -35,8 +37,10 @@ PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)"
 DATE = r"(?<![\d.])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?![\d])"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
-ANY = "|".join((SECRET, ACCESS, MAIL, IBAN, PHONE, DATE, SOCIAL, ADDRESS, CARD))
+#: A stretch of groups of digits that may hold card numbers, up to where a value of another kind begins.
+NEXT = f"[ -](?!{'|'.join((MAIL, DATE, SOCIAL, ADDRESS))})"
+DIGITS = rf"(?<!\d)(?=\d(?:(?:{NEXT})?\d){{12}})\d++(?:{NEXT}\d++)*+"
+ANY = "|".join((SECRET, ACCESS, MAIL, IBAN, PHONE, DATE, SOCIAL, ADDRESS, DIGITS))
 
 
 def _quoted(pattern: str) -> str:
@@ -121,9 +125,33 @@ def _kinds(key: str) -> str:
     four = _let("n", "o[0] * 16777216 + o[1] * 65536 + o[2] * 256 + o[3]", _let("w", _pair("n", key + "|address", 65536, 65536), "concat_ws('.', w div 16777216, (w div 65536) % 256, (w div 256) % 256, w % 256)"))
     address = _let("o", octets, f"case when exists(o, x -> x > 255) then m else {four} end")
     digits = _let("v", "substr(d, 1, length(d) - 1)", _let("w", _characters("v", key + "|card"), f"concat(w, cast((10 - {_luhn("concat(w, '0')")} % 10) % 10 as string))"))
-    card = _let("d", plain("m"), f"case when {_luhn('d')} % 10 <> 0 then m else {_let('e', digits, _laid_out('m', 'e'))} end")
-    cases = ((SECRET, secret), (ACCESS, access), (MAIL, mail), (IBAN, iban), (PHONE, country), (DATE, date), (SOCIAL, social), (ADDRESS, address), (CARD, card))
-    return "case " + " ".join(f"when {whole(p)} then {f}" for p, f in cases) + " else m end"
+    card = lambda m: _let("d", plain(m), _let("e", digits, _laid_out(m, "e")))
+    cases = ((SECRET, secret), (ACCESS, access), (MAIL, mail), (IBAN, iban), (PHONE, country), (DATE, date), (SOCIAL, social), (ADDRESS, address))
+    one = _let("w", "case " + " ".join(f"when {whole(p)} then {f}" for p, f in cases) + " end", "named_struct('text', w, 'found', 1, 'replaced', cast(w <> m as int))")
+    return f"case when {' or '.join(whole(p) for p, _ in cases)} then {one} else {_cards(card)} end"
+
+
+def _cards(card) -> str:
+    """The stretch `m` with the valid card numbers among its groups of digits replaced by `card`, from left to right.
+
+    Of those that begin at one group, a usual layout (unbroken, groups of four, or 4, 6 and 4 or 5) goes first, then the longest that holds no usual one.
+    """
+    joined = lambda start, n: f"array_join(slice(g, {start}, {n}), '')"
+    sizes = _quoted(r"^[ -]?(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5})$")
+    valid = lambda n: _let("c", f"regexp_replace({joined('i', n)}, '[^0-9]', '')", f"case when length(c) between 13 and 19 then {_luhn('c')} % 10 = 0 else false end")
+    usual = "case " + " ".join(f"when {joined('i', n)} rlike {sizes} and {valid(n)} then {n}" for n in (1, 3, 4)) + " else 0 end"
+    inside = "exists(slice(u, i + 1, n - 1), x -> x > 0)"
+    longest = f"coalesce(array_max(filter(sequence(1, least(19, size(g) - i + 1)), n -> {valid('n')} and not {inside})), 0)"
+    longest = f"case when u[i - 1] > 0 then u[i - 1] else {longest} end"
+    step = _let("n", longest, "case when n = 0 then z else named_struct('free', i + n, 'at', concat(z.at, array(named_struct('i', i, 'n', n)))) end")
+    start = "named_struct('free', 1, 'at', cast(array() as array<struct<i:int,n:int>>))"
+    places = f"aggregate(sequence(1, size(g)), {start}, (z, i) -> case when i < z.free then z else {step} end, z -> z.at)"
+    # a group holds the separator before it, which stays in front of the number
+    before = "case when x = 0 then 1 else at[x - 1].i + at[x - 1].n end"
+    part = _let("b", before, _let("s", joined("p.i", "p.n"), f"concat({joined('b', 'p.i - b')}, {card('s')})"))
+    rest = _let("b", "case when size(at) = 0 then 1 else at[size(at) - 1].i + at[size(at) - 1].n end", joined("b", "size(g) - b + 1"))
+    made = f"named_struct('text', concat(array_join(transform(at, (p, x) -> {part}), ''), {rest}), 'found', case when size(at) > 0 then size(at) when exists(g, x -> length(x) < 20) then 1 else 0 end, 'replaced', size(filter(at, p -> {_let('s', joined('p.i', 'p.n'), f"{card('s')} <> s")})))"
+    return _let("g", "regexp_extract_all(m, '[ -]?[0-9]+', 0)", _let("u", f"transform(sequence(1, size(g)), i -> {usual})", _let("at", places, made)))
 
 
 def pseudonymised(docs: DataFrame, key: str = "k1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,12 +161,12 @@ def pseudonymised(docs: DataFrame, key: str = "k1", id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     rows = rows.withColumn("found", F.expr(f"regexp_extract_all(body, {_quoted(ANY)}, 0)"))
     rows = rows.withColumn("made", F.expr(f"transform(found, m -> {_kinds(key)})"))
-    joined = f"array_join(zip_with(split(body, {_quoted(ANY)}, -1), made, (p, m) -> concat(p, coalesce(m, ''))), '')"
+    joined = f"array_join(zip_with(split(body, {_quoted(ANY)}, -1), made, (p, m) -> concat(p, coalesce(m.text, ''))), '')"
     return rows.select(
         "doc_id",
         F.expr(f"case when size(found) = 0 then body else {joined} end").alias("text"),
-        F.expr("cast(size(found) as bigint)").alias("n_found"),
-        F.expr("cast(size(filter(arrays_zip(found, made), z -> z.found <> z.made)) as bigint)").alias("n_replaced"),
+        F.expr("aggregate(made, 0L, (s, z) -> s + z.found)").alias("n_found"),
+        F.expr("aggregate(made, 0L, (s, z) -> s + z.replaced)").alias("n_replaced"),
     )
 
 

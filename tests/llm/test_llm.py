@@ -331,6 +331,24 @@ def test_pseudonyms(spark):
     assert S.pseudonymised(odd_rows(spark)).count() == 11 and S.pseudonymised(empty(spark)).count() == 0
 
 
+def test_card_numbers_next_to_other_digits(spark):
+    card, four, eight = "4845168114407329", "4111 1111 1111 1111", "41111111-11111111"
+    texts = [f"{card} 170.106.47.218", f"{four} 12/27", f"order 12 {card}", f"{card} 1987-02-28", f"{card} 078-05-1120", f"{card} 12bob@mail.com", f"12 {four} 123", f"1234 56 7 {eight} 99 88 {eight}", f"{card} {card}", "1 " * 30_000]
+    got = {r.doc_id: r for r in S.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert luhn(card)
+    for i, t in enumerate(texts[:9]):
+        assert not any(v in got[i].text for v in (card, four, eight, "170.106.47.218", "1987-02-28", "078-05-1120", "12bob")), t
+        assert re.sub(r"[a-z0-9]", "", got[i].text) == re.sub(r"[a-z0-9]", "", t) or "." in t
+    assert got[1].text.endswith(" 12/27") and got[2].text.startswith("order 12 ") and got[6].text.startswith("12 ") and got[6].text.endswith(" 123")
+    assert [got[i].n_replaced for i in range(9)] == [2, 1, 1, 2, 2, 2, 1, 2, 2] and got[8].n_found == 2
+    assert len(got[9].text) == 60_000
+    last = next(d for d in "0123456789" if luhn("411111111111111211" + d))
+    broken = [f"4111 1111 1111 1112 11{last}", f"1234 {four}", f"{four} {four}", "411111111111 1111", "1234-" + four.replace(" ", "-"), "4111111111111112 " + card]
+    got = {r.doc_id: r for r in S.pseudonymised(spark.createDataFrame(list(enumerate(broken)), "doc_id long, text string")).collect()}
+    assert [got[i].n_replaced for i in range(6)] == [1, 1, 2, 1, 1, 1]
+    assert got[1].text.startswith("1234 ") and got[4].text.startswith("1234-") and got[5].text.startswith("4111111111111112 ")
+
+
 def test_pseudonyms_are_permutations(spark):
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("1.0."), F.floor(F.col("id") / 256), F.lit("."), F.col("id") % 256, F.lit(" "), F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd")).alias("text"))
     out = [r.text.split(" ") for r in S.pseudonymised(df).collect()]
