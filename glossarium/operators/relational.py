@@ -12,9 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a side up to which it may be broadcast by the operators here.
-SMALL = 200_000
-
 
 def hash_rank(key: str | Column, seed: int) -> Column:
     """A column to order by in place of random()."""
@@ -173,6 +170,23 @@ def greedy_loads(counts: Sequence[tuple[object, int]], jobs: int) -> dict[object
     return out
 
 
+def greedy_runs(runs: Sequence[tuple[int, int]], jobs: int) -> list[tuple[int, int, int, list[int]]]:
+    """greedy_loads by runs of equal counts: (n, number of keys) to (n, first place, last place, jobs dealt in turn), places from 1 by falling counts."""
+    loads, out, place = [0] * jobs, [], 1
+    for n, left in sorted(runs, reverse=True):
+        least = min(loads)
+        level = [(x - least) // n for x in loads]  # a job takes part once the others have caught up with it
+        for at, until in zip(steps := sorted(set(level)), [*steps[1:], None]):
+            turn = sorted((j for j in range(jobs) if level[j] <= at), key=lambda j: ((loads[j] - least) % n, j))
+            dealt = left if until is None else min(left, (until - at) * len(turn))
+            if dealt:
+                out.append((n, place, place + dealt - 1, turn))
+            for k, j in enumerate(turn):
+                loads[j] += n * (dealt // len(turn) + (k < dealt % len(turn)))
+            place, left = place + dealt, left - dealt
+    return out
+
+
 def groups_first_seen(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Values of each key in order, and the place where the key was first seen."""
     return df.groupBy(key).agg(F.min(order).alias("first_seen"), F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("string")), ",").alias("members"))

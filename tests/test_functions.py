@@ -1,3 +1,6 @@
+import collections
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +87,23 @@ def test_replace_and_gaps(spark):
     assert sorted(tuple(r) for r in I.replace_overlaps(df, cuts, ["u"], 1.0).collect()) == [(1, 0.0, 1.0, "a"), (1, 2.5, 2.7, "oov")]
     edges = spark.createDataFrame([(1, 0.0, 4.0)], "u long, first double, last double")
     assert sorted(r.begin for r in I.with_gaps(df, ["u"], "sil", edges).collect()) == [0.0, 1.0, 2.0, 3.0]
+
+
+def test_greedy_runs():
+    rng = random.Random(5)
+    for _ in range(300):
+        counts, jobs = [(k, rng.choice((1, 2, 3, 7, 50, 51))) for k in range(rng.randrange(80))], rng.randrange(1, 6)
+        order = [k for k, _ in sorted(counts, key=lambda x: (-x[1], str(x[0])))]
+        runs = R.greedy_runs(list(collections.Counter(n for _, n in counts).items()), jobs)
+        got = {order[p - 1]: turn[(p - start) % len(turn)] for _, start, stop, turn in runs for p in range(start, stop + 1)}
+        assert got == R.greedy_loads(counts, jobs)
+
+
+def test_greedy_job_packing_is_one_rule_at_every_size(spark, monkeypatch):
+    from conftest import SMALL
+
+    from glossarium.plans.relational import greedy_job_packing
+
+    monkeypatch.setattr(R, "SMALL", 3, raising=False)
+    rows = [tuple(r) for r in greedy_job_packing(spark, SMALL).select("user_id", "job").collect()]
+    assert dict(rows) == R.greedy_loads(list(collections.Counter(u for u, _ in rows).items()), 4)
