@@ -41,6 +41,31 @@ def written(df: DataFrame, name: str, options: dict[str, str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Tables that one run writes to the shared folder, and takes away once what was made from them has been written.
+
+    A task that is run again reads its direct inputs only, so a table whose readers are written isn't needed for recovery.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, []
+
+    def write(self, df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+        """Like written()."""
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.options(**(options or {})).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Deletes those of the tables that this run wrote."""
+        for out, path in [k for k in self.kept if any(k[0] is t for t in tables)]:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.kept = [k for k in self.kept if not any(k[0] is t for t in tables)]
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Makes ready for Python operators: workers get this package, and Arrow batches are small."""
     ship(spark)
@@ -123,19 +148,37 @@ def _batch(block: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*block), schema)], schema=schema)
 
 
-def components(edges: DataFrame, name: str = "component") -> DataFrame:
-    """(node, label) of the nodes of (a, b): the smallest node that each is connected with.
+def components(edges: DataFrame, tables: Tables, name: str = "component") -> DataFrame:
+    """(node, label) of the nodes of (a, b), written: the smallest node that each is connected with.
 
     Each round takes the least label of all neighbours and then follows labels once, so chains shorten by more than half;
     every round's labels are written, so that a lost executor costs one round at most.
     """
-    both = written(edges.selectExpr("a", "b").unionByName(edges.selectExpr("b as a", "a as b")).filter("a <> b").distinct(), name + "-edges")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), name)
+    both = tables.write(edges.selectExpr("a", "b").unionByName(edges.selectExpr("b as a", "a as b")).filter("a <> b").distinct(), name + "-edges")
+    labels = tables.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), name)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
         least = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = written(least.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")), name)
-        labels = step.select("node", "label")
-        if step.filter("was <> label").isEmpty():
-            return labels
+        jump = labels.filter("label < node").select(F.col("node").alias("label"), F.col("label").alias("further"))  # a root leads nowhere
+        step = least.join(jump, "label", "left").select("node", F.coalesce("further", "label").alias("label"), (F.coalesce("further", "label") != F.col("was")).alias("moved"))
+        step = tables.write(step, name)
+        tables.drop(labels)
+        if step.filter("moved").isEmpty():
+            tables.drop(both)
+            return step
+        labels = step
+
+
+def relabelled(labels: DataFrame | None, edges: DataFrame, tables: Tables, name: str = "component") -> DataFrame:
+    """(node, label), written, after further edges between nodes; labels has those of nodes that are connected already (others are their own) and is dropped."""
+    if labels is None:
+        return components(edges, tables, name)
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(c + "_label"))
+    named = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    found = components(named, tables, name)
+    merged = found.select("node", F.col("label").alias("new"))
+    inside = labels.join(merged.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    alone = merged.join(labels, "node", "left_anti").select("node", F.col("new").alias("label"))
+    out = tables.write(inside.unionByName(alone), name)
+    tables.drop(labels, found)
+    return out

@@ -5,11 +5,12 @@ Document frequencies are counted over all documents in a fixed number of hashed
 doesn't grow. Consistent weighted sampling picks one shingle and level per hash function, such that two texts agree with
 the probability of their weighted Jaccard similarity; four picks make a band, and texts that share a band are compared.
 
-Texts with the same words are one node from the start. In a bucket nobody is compared with everybody: all members meet the bucket's two
-pivots. Where a bucket then still holds several components, the members that are apart from its largest one meet others by an exact prefix
-filter: with shingles ordered from rare to common, two texts can only be similar enough if they share one of the first shingles of both, at
-a place after which both have enough weight left. Every pair is verified by the weighted Jaccard
-similarity of whole texts, and verified pairs are joined to classes by connected components.
+Texts with the same words are one node from the start. In a bucket nobody is compared with everybody. First each node meets one pivot, the one that
+it shares most buckets with; then, in each bucket that holds several components, one member of each meets one of the largest. The members that are still
+apart from their bucket's largest component meet others by an exact prefix filter: with shingles ordered from rare to common, two texts can only be
+similar enough if they share one of the first shingles of both, at a place after which both have enough weight left. Every pair is verified by the
+weighted Jaccard similarity of whole texts, and verified pairs are joined to classes by connected components. So no link between members of a bucket
+that could join two classes is lost; texts that share no band aren't compared.
 
 Defined cases: texts without words are alike only if equal; a text of fewer than five words is one shingle; a null text is empty;
 rows with equal identifiers and texts stay or go together; a null identifier counts as larger than others; an empty table
@@ -27,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, HashCache, batches, components, free_name, mix64, shingle_hashes, small_batches, table, word_hash, written
+from .common import WORD, HashCache, Tables, batches, free_name, mix64, relabelled, shingle_hashes, small_batches, table, word_hash, written
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 8, 4
@@ -36,6 +37,10 @@ SLOTS = 1 << 16
 COUNT_BITS = 18
 #: Rows of (long, long) that may be broadcast.
 FEW = 500_000
+#: Partners of a hub that one task compares with it.
+SPLIT = 1024
+#: Tokens in front of a prefix's token that are looked at to see whether a pair has met.
+BEFORE = 8
 
 
 def _gamma2(size: int) -> np.ndarray:
@@ -141,8 +146,8 @@ def shingle_counts(texts: DataFrame, idf: Broadcast) -> Broadcast:
 
 
 def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
-    """(doc_id, tag, same, total, bands) per row: `same` is equal for texts with the same words, tag tells rows of one identifier apart."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("same", pa.binary()), ("total", pa.float64()), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, tag, same, bands) per row: `same` is equal for texts with the same words, tag tells rows of one identifier apart."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, known = Shingler(idf.value), HashCache(20_000)
@@ -153,15 +158,14 @@ def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
                     words = shingler.words(text or "")
                     same = xxhash.xxh3_128_digest(words.tobytes() if len(words) else b"\0" + (text or "").encode("utf-8", "surrogatepass"))
                     if same not in known:
-                        shingles, weights = shingler.weighted(words)
                         if len(known) >= known.size:
                             known.clear()
-                        known[same] = float(weights.sum(dtype=np.float64)), bands(shingles, weights) if len(shingles) else []
-                    yield doc_id, tag, same, *known[same]
+                        known[same] = bands(*shingler.weighted(words)) if len(words) else []
+                    yield doc_id, tag, same, known[same]
 
         yield from batches(rows(), schema, 2048)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of(docs), "text").mapInArrow(run, "doc_id long, tag long, same binary, total double, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of(docs), "text").mapInArrow(run, "doc_id long, tag long, same binary, bands array<long>")
 
 
 def tag_of(docs: DataFrame):
@@ -174,128 +178,159 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, least: float = LEAST):
         self.docs, self.least, spark = docs, least, docs.sparkSession
         small_batches(spark)
+        self.tables = Tables(spark)
         self.idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
-        self.rows = written(signatures(docs, self.idf), "near-rows")
+        self.rows = self.tables.write(signatures(docs, self.idf), "near-rows")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
-        nodes = self.rows.groupBy("same").agg(first.alias("first"), F.first("total").alias("total"), F.first("bands").alias("bands"))
-        self.nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "same", "first.doc_id", "first.tag", "total", "bands"), "near-nodes")
-        self.members = self.nodes.select("node", F.explode("bands").alias("bucket"))
-        sizes = self.members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        shared = written(self.members.join(sizes, "bucket").select("bucket", "node", "n"), "near-shared")
-        central = shared.groupBy("node").agg(F.sum("n").alias("met"))  # a node that meets many is near the middle of its group
-        order = F.struct("met", F.xxhash64("node"))
-        ranked = shared.join(central, "node").groupBy("bucket").agg(F.first("n").alias("n"), F.max_by("node", order).alias("pivot"), F.min("node").alias("pivot1"))
-        self.buckets, self.members = written(ranked, "near-buckets"), shared.select("bucket", "node")
-
-    def candidates(self) -> DataFrame:
-        """Distinct (a, b) of a bucket's members with its pivots."""
-        rows = self.members.join(self.buckets, "bucket")
-        rows = rows.select("node", F.explode(F.array("pivot", "pivot1")).alias("pivot")).filter("node <> pivot")
-        return rows.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-
-    def texts(self, nodes: DataFrame) -> DataFrame:
-        """(node, text) of distinct nodes, written."""
-        used = written(nodes.join(self.nodes.select("node", "tag"), "node"), "near-used")
+        nodes = self.rows.groupBy("same").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+        self.nodes = self.tables.write(nodes.select(F.monotonically_increasing_id().alias("node"), "same", "n", "first.doc_id", "first.tag", "bands"), "near-nodes")
+        members = self.nodes.select("node", F.explode("bands").alias("bucket"))
+        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        self.shared = self.tables.write(members.join(sizes, "bucket").select("bucket", "node", "n"), "near-shared")
+
+    def member_texts(self) -> DataFrame:
+        """(node, text) of the nodes that share a bucket, written; a node of repeated rows may be there as often."""
+        used = self.tables.write(self.shared.select("node").distinct().join(self.nodes.select("node", "tag"), "node"), "near-used")
         few = used.limit(FEW + 1).count() <= FEW
         texts = self.docs.select(tag_of(self.docs), F.coalesce("text", F.lit("")).alias("text"))
-        return written(texts.join(F.broadcast(used) if few else used, "tag").dropDuplicates(["node"]).select("node", "text"), "near-texts")
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of written pairs whose whole texts are similar enough, with the similarity."""
-        texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        both = pairs.join(texts.selectExpr("node as a", "text as text_a"), "a").join(texts.selectExpr("node as b", "text as text_b"), "b")
+        out = self.tables.write(texts.join(F.broadcast(used) if few else used, "tag").select("node", "text"), "near-texts")
+        self.tables.drop(used)
+        return out
+
+    def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Those of (hub, node) whose whole texts are similar enough, as written (a, b).
+
+        A hub's text goes once to each SPLIT of its partners, so a hub of many partners is dealt to many tasks, and each partner's text goes there once.
+        """
+        counts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("parts"))
+        asked = pairs.join(counts, "hub").select("hub", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.lit(1).alias("kind"), "node")
+        hubs = counts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("hub").alias("node"))
+        rows = asked.unionByName(hubs).join(texts, "node").select("hub", "part", "kind", "node", "text")
         idf, least = self.idf, self.least
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shingler, known = Shingler(idf.value), {}
-
-            def shingles(node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-                if node not in known:
-                    if len(known) > 256:
-                        known.clear()
-                    known[node] = shingler.weighted(shingler.words(text))
-                return known[node]
+            shingler = Shingler(idf.value)
 
             def rows() -> Iterator[tuple]:
+                group = mine = last = None
                 for part in parts:
-                    for a, b, x, y in zip(*(c.to_pylist() for c in part.columns)):
-                        s = similarity(shingles(a, x), shingles(b, y))
-                        if s >= least:
-                            yield a, b, s
+                    for hub, number, kind, node, text in zip(*(c.to_pylist() for c in part.columns)):
+                        if (hub, number) != group:
+                            group, mine, last = (hub, number), shingler.weighted(shingler.words(text)), hub
+                        if kind and node != last and similarity(mine, shingler.weighted(shingler.words(text))) >= least:
+                            yield hub, node
+                        last = node
 
             yield from batches(rows(), schema)
 
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
-
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """All verified pairs, and the label of every linked node."""
-        edges = written(self.verified(written(self.candidates(), "near-pairs")), "near-edges")
-        labels = components(edges)
-        pairs = self.remaining(labels)
-        if pairs is None or pairs.isEmpty():
-            return edges, labels
-        rest = written(self.verified(pairs), "near-edges")
-        if rest.isEmpty():
-            return edges, labels
-        edges = edges.unionByName(rest)
-        return edges, components(edges)
-
-    def remaining(self, labels: DataFrame) -> DataFrame | None:
-        """Pairs of nodes in different components that may still be similar: of two such members of a bucket, one at least isn't in its largest component."""
-        rows = self.members.join(self.buckets.filter("n > 2").select("bucket"), "bucket", "left_semi").join(labels, "node", "left")
-        rows = written(rows.select("bucket", F.coalesce("label", "node").alias("label"), "node"), "near-open")
-        sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        rows = rows.join(mixed, "bucket")
-        open_ = written(rows.groupBy("node").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("apart")), "near-open")
+        rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", "node")
+        return self.tables.write(rows.mapInArrow(run, "a long, b long"), "near-edges")
+
+    def labels(self) -> DataFrame:
+        """(node, label) of every linked node."""
+        texts, name = self.member_texts(), "near-labels"
+        pairs = self.tables.write(self.central_pairs(), "near-pairs")
+        edges = self.verified(pairs, texts)
+        labels = relabelled(None, edges, self.tables, name)
+        self.tables.drop(edges)
+        open_ = self.open_rows(labels)
+        more = self.tables.write(self.bucket_pairs(open_).join(pairs, ["hub", "node"], "left_anti"), "near-pairs")
+        edges = self.verified(more, texts)
+        self.tables.drop(pairs, more)
+        if not edges.isEmpty():
+            self.tables.drop(open_)
+            labels = relabelled(labels, edges, self.tables, name)
+            open_ = self.open_rows(labels)
+        self.tables.drop(edges)
+        pairs = self.remaining(open_.filter("n > 2"), texts)  # two members of a bucket have met
+        self.tables.drop(open_, self.shared)
+        if pairs is not None and not pairs.isEmpty():
+            edges = self.verified(pairs, texts)
+            if not edges.isEmpty():
+                labels = relabelled(labels, edges, self.tables, name)
+            self.tables.drop(edges)
+        self.tables.drop(pairs, texts)
+        return labels
+
+    def central_pairs(self) -> DataFrame:
+        """(hub, node): each node with one pivot of its buckets, the one that it shares most buckets with. A bucket's pivot is its member that meets most others."""
+        met = self.shared.groupBy("node").agg(F.sum("n").alias("met"))
+        pivots = self.shared.join(met, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", F.xxhash64("node"))).alias("hub"))
+        shares = self.shared.join(pivots, "bucket").filter("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n"))
+        return shares.groupBy("node").agg(F.max_by("hub", F.struct("times", "n", F.xxhash64("hub"))).alias("hub")).select("hub", "node")
+
+    def open_rows(self, labels: DataFrame) -> DataFrame:
+        """(bucket, n, node, label) with main, the label of most members, for the buckets whose members have several labels; written."""
+        rows = self.shared.join(labels, "node", "left").select("bucket", "n", "node", F.coalesce("label", "node").alias("label"))
+        rows = self.tables.write(rows, "near-labelled")
+        sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("times"))
+        mixed = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("times", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+        out = self.tables.write(rows.join(mixed.select("bucket", "main"), "bucket"), "near-open")
+        self.tables.drop(rows)
+        return out
+
+    def bucket_pairs(self, rows: DataFrame) -> DataFrame:
+        """(hub, node): of each bucket's other labels one member, with a member of its main label; each bucket takes other members."""
+        some = rows.groupBy("bucket", "label", "main").agg(F.min_by("node", F.xxhash64("bucket", "node")).alias("node"))
+        hubs = some.filter("label = main").select("bucket", F.col("node").alias("hub"))
+        return some.filter("label <> main").join(hubs, "bucket").select("hub", "node").distinct()
+
+    def remaining(self, rows: DataFrame, texts: DataFrame) -> DataFrame | None:
+        """(hub, node), written: nodes with different labels that may still be similar; of two such members of a bucket, one at least isn't of its main label."""
+        open_ = self.tables.write(rows.groupBy("node").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("apart")), "near-apart")
         if open_.isEmpty():
+            self.tables.drop(open_)
             return None
-        texts = self.texts(open_.select("node"))
-        first = written(self.prefixes(texts, shingle_counts(texts, self.idf)).join(open_, "node"), "near-prefixes")
-        rows = first.select("node", "label", "total", "apart", "tokens", F.posexplode(F.arrays_zip("tokens", "left")).alias("at", "t"))
-        rows = rows.select("node", "label", "total", "apart", F.slice("tokens", F.lit(1), F.col("at")).alias("before"), "t.tokens", "t.left")
-        mine = rows.filter("apart").drop("apart").toDF("a", "label_a", "total_a", "before_a", "token", "left_a")
-        other = rows.toDF("b", "label_b", "total_b", "apart_b", "before_b", "token", "left_b")
+        texts = texts.join(open_.select("node"), "node", "left_semi")
+        first = self.tables.write(self.prefixes(texts, shingle_counts(texts, self.idf)).join(open_, "node"), "near-prefixes")
+        mine = first.filter("apart").select(*[F.col(c).alias(c + "_a") for c in ("node", "label", "total", "left", "before")], "token")
+        other = first.select(*[F.col(c).alias(c + "_b") for c in ("node", "label", "total", "left", "before", "apart")], "token")
         needed = (F.col("total_a") + F.col("total_b")) * (self.least / (1 + self.least)) - 1e-3
-        may = (F.col("label_a") != F.col("label_b")) & (F.least("left_a", "left_b") >= needed) & ~(F.col("apart_b") & (F.col("b") < F.col("a")))
-        # a pair meets at the first shingle that both have, and nowhere else
+        may = (F.col("label_a") != F.col("label_b")) & (F.least("left_a", "left_b") >= needed) & ~(F.col("apart_b") & (F.col("node_b") < F.col("node_a")))
+        # a pair that shares one of the tokens just before has met there
         pairs = mine.join(other, (mine["token"] == other["token"]) & may & ~F.arrays_overlap("before_a", "before_b"))
-        return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "near-pairs")
+        out = self.tables.write(pairs.select(F.col("node_a").alias("hub"), F.col("node_b").alias("node")).distinct(), "near-pairs")
+        self.tables.drop(first, open_)
+        return out
 
     def prefixes(self, texts: DataFrame, counts: Broadcast) -> DataFrame:
-        """(node, total, tokens, left): the first shingles of each text, rare ones first, and the weight from each of them on."""
+        """(node, total, token, left, before): the first shingles of each text, rare ones first, the weight from each of them on, and the BEFORE ones in front of it."""
         idf, least = self.idf, self.least
-        schema = pa.schema([("node", pa.int64()), ("total", pa.float64()), ("tokens", pa.list_(pa.int64())), ("left", pa.list_(pa.float64()))])
+        schema = pa.schema([("node", pa.int64()), ("total", pa.float64()), ("token", pa.int64()), ("left", pa.float64()), ("before", pa.list_(pa.int64()))])
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingler = Shingler(idf.value)
-
-            def rows() -> Iterator[tuple]:
-                for part in parts:
-                    for node, text in zip(*(c.to_pylist() for c in part.columns)):
-                        shingles, weights = shingler.weighted(shingler.words(text))
-                        order = np.lexsort((shingles, counts.value[shingles >> np.uint64(64 - COUNT_BITS)]))
-                        w = weights[order].astype(np.float64)
-                        left = w[::-1].cumsum()[::-1]
-                        total = float(w.sum())
-                        n = int((left >= least * total - 1e-3).sum())
-                        yield node, total, shingles[order[:n]].view(np.int64).tolist(), left[:n].tolist()
-
-            yield from batches(rows(), schema, 1024)
-
-        return texts.select("node", "text").mapInArrow(run, "node long, total double, tokens array<long>, left array<double>")
+            for part in parts:
+                columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+                for node, text in zip(*(c.to_pylist() for c in part.columns)):
+                    shingles, weights = shingler.weighted(shingler.words(text))
+                    order = np.lexsort((shingles, counts.value[shingles >> np.uint64(64 - COUNT_BITS)]))
+                    w = weights[order].astype(np.float64)
+                    left = w[::-1].cumsum()[::-1]
+                    total = float(w.sum())
+                    n = int((left >= least * total - 1e-3).sum())
+                    tokens, at = shingles[order[:n]].view(np.int64), np.arange(n)
+                    sizes = np.minimum(at, BEFORE)
+                    inside = np.arange(int(sizes.sum())) + np.repeat(at - np.cumsum(sizes), sizes)
+                    for c, x in zip(columns, (np.full(n, node, np.int64), np.full(n, total), tokens, left[:n], sizes, tokens[inside])):
+                        c.append(x)
+                node, total, token, left, sizes, inside = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns)
+                before = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(inside, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(total, pa.float64()), pa.array(token, pa.int64()), pa.array(left, pa.float64()), before], schema=schema)
+
+        return texts.select("node", "text").mapInArrow(run, "node long, total double, token long, left double, before array<long>")
 
     def classes(self) -> DataFrame:
         """Per row of docs: doc_id, tag, class_id (the smallest identifier of its class), class_tag and class_size."""
-        _, labels = self.links()
-        named = self.nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        counts = self.rows.groupBy("same").agg(F.count(F.lit(1)).alias("n"))
+        labels = self.labels()
+        named = self.nodes.join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("label"), "n", "doc_id", "tag")
+        named = self.tables.write(named, "near-named")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
-        named = written(named.join(counts, "same").select("same", "label", "n", "doc_id", "tag"), "near-named")
         groups = named.groupBy("label").agg(first.alias("first"), F.sum("n").alias("class_size"))
         groups = groups.select("label", F.col("first.doc_id").alias("class_id"), F.col("first.tag").alias("class_tag"), "class_size")
-        found = written(named.select("same", "label").join(groups, "label").drop("label"), "near-classes")
+        found = self.tables.write(named.select("same", "label").join(groups, "label").drop("label"), "near-classes")
+        self.tables.drop(named, labels, self.nodes)
         return self.rows.select("doc_id", "tag", "same").join(found, "same").drop("same")
 
 

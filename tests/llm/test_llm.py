@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import re
 import zlib
 
@@ -19,7 +20,7 @@ from glossarium.llm import near_dedup as N
 from glossarium.llm import packing as P
 from glossarium.llm import pseudonyms as S
 from glossarium.llm import quality, suffix_dedup, token_counts, tokens, toxicity
-from glossarium.llm.common import components
+from glossarium.llm.common import Tables, components, relabelled
 
 SF = "/root/testdata/sf0.001"
 WORDS = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in "nrst"]
@@ -150,8 +151,19 @@ def test_ties_keep_the_first_start():
 
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (60, 40)], "a long, b long")
-    got = {r.node: r.label for r in components(edges).collect()}
-    assert got == {**{i: 0 for i in range(31)}, 50: 40, 40: 40, 60: 40}
+    want, tables = {**{i: 0 for i in range(31)}, 50: 40, 40: 40, 60: 40}, Tables(spark)
+    assert {r.node: r.label for r in components(edges, tables).collect()} == want
+    labels = relabelled(None, edges.filter("a % 3 > 0"), tables)
+    assert {r.node: r.label for r in relabelled(labels, edges.filter("a % 3 = 0"), tables).collect()} == want
+    assert components(edges.limit(0), tables).count() == 0
+
+
+def test_tables_are_taken_away(spark):
+    tables = Tables(spark)
+    a, b = tables.write(spark.range(3), "a"), tables.write(spark.range(4), "b")
+    where = {p for _, p in tables.kept}
+    tables.drop(a, None)
+    assert b.count() == 4 and len(tables.kept) == 1 and sum(map(os.path.exists, where)) == 1
 
 
 def near_texts():
@@ -180,6 +192,33 @@ def test_near_dedup_finds_every_class(spark):
     assert [got[i] for i, _ in rows] == label
 
 
+def all_pair_links(run, texts):
+    """Pairs of texts that are similar enough, by comparing all."""
+    sh = N.Shingler(run.idf.value)
+    w = [sh.weighted(sh.words(t)) for t in texts]
+    return [(i, j) for i, j in itertools.combinations(range(len(w)), 2) if len(w[i][0]) and len(w[j][0]) and N.similarity(w[i], w[j]) >= N.LEAST]
+
+
+def test_near_dedup_recall_on_the_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    run = N.NearDuplicates(docs)
+    got, rows = {r.doc_id: r.class_id for r in run.classes().collect()}, docs.select("doc_id", "text").collect()
+    links = [(rows[i].doc_id, rows[j].doc_id) for i, j in all_pair_links(run, [r.text or "" for r in rows])]
+    assert links and sum(got[a] == got[b] for a, b in links) >= 0.97 * len(links)
+    linked = {x for pair in links for x in pair}
+    assert all(got[r.doc_id] == r.doc_id for r in rows if r.doc_id not in linked and N.WORD.search(r.text or ""))
+
+
+def test_near_dedup_of_long_texts_and_hubs(spark, monkeypatch):
+    """Texts of 20 000 words that differ a little, and one hub's partners dealt to several tasks."""
+    monkeypatch.setattr(N, "SPLIT", 4)
+    long, base = prose(70, 20_000), prose(71, 100)
+    rows = [" ".join(long), " ".join([*long[:9000], "other", *long[9000:]]), " ".join(prose(72, 20_000))]
+    rows += [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in range(0, 90, 3)]
+    got = {r.doc_id: r.class_id for r in N.near_classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [0, 0, 2, *[3] * 30]
+
+
 def test_sampling_estimates_similarity():
     sh = N.Shingler(np.ones(N.SLOTS, np.float32))
     a, b = " ".join(prose(1, 300)), " ".join(prose(1, 250) + prose(2, 50))
