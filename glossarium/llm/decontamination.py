@@ -2,16 +2,19 @@
 
 Benchmark items and documents are turned into templates: numbers, names (capitalised words that begin no sentence) and units
 become typed placeholders, all other words are lowered. Windows of five template words are hashed; the items' windows form
-a hash table, and documents probe it with every window they have. A document that holds at least half of an item's
-distinct windows (or a run of RUN of them) is aligned with the item, and its slots are compared: each of the item's values must stand for one
-value of the document throughout, as in a question asked again with other numbers.
+a hash table, and documents probe it with every window they have: a hash join whose smaller side is broadcast. Windows that a document shares
+with an item at one distance form an alignment, and its slots are compared: each of the item's values must stand for one value of the
+document throughout, as in a question asked again with other numbers. An item leaks if an alignment holds at least half of its distinct
+windows (or a run of RUN of them) with consistent slots, or if several do together: those near each other, where words were put in or left out, or
+all of the document. Among several, those that contradict themselves don't count.
 
 The table is broadcast up to BLOCK windows; a larger benchmark is read in blocks of items, each against all documents.
 Nothing about documents is gathered: they are only scanned.
 
-Defined cases: a null or empty text or item matches nothing; an item shorter than a window is one window; windows with fewer than three
-distinct lowered words don't count, so an item made of placeholders alone is not looked for; equal items are all reported; rows with equal identifiers
-are reported each; other columns are ignored or, in `clean_rows`, passed through.
+Defined cases: a null or empty text or item matches nothing; an item shorter than a window is one window of its own width, which only a text of as many
+template words has; windows with fewer than three distinct lowered words don't count, so an item made of placeholders alone is not looked for; equal
+items are all reported, and so are items with equal or null identifiers; rows of documents with equal or null identifiers are reported each; very long
+texts are read whole; an empty table on either side gives an empty result; other columns are ignored or, in `clean_rows`, passed through.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from .common import free_name, mix64, small_batches, table, word_hash
 WIDTH = 5
 #: Least share of an item's distinct windows, or least run of its windows, and least share of consistent slots.
 SHARE, RUN, CONSISTENT = 0.5, 20, 0.75
-#: Windows of the items of one block (16 bytes each in the broadcast table).
+#: Windows of the items of one block: 16 bytes each in the broadcast table, beside the items' words.
 BLOCK = 2_000_000
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*|[.!?\n%$€£°]")
@@ -129,63 +132,97 @@ class Item:
 class Index:
     """Windows of a block of items, sorted by hash."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        make, rows = Templates(), []
+    def __init__(self, items: list[tuple[int | None, str | None]]):
+        make = Templates()
         self.items: list[Item] = []
+        columns: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]]
         for item_id, text in items:
             hashes, kinds, tokens, places = make(text or "")
             w = windows(hashes)
-            good = [telling(hashes, kinds, p) for p in range(len(w))]
-            if any(good):
-                k = len(self.items)
-                self.items.append(Item(item_id, [tokens[p].lower() for p in places], kinds, len(np.unique(w[np.array(good)]))))
-                rows += [(h, k, p) for p, (h, ok) in enumerate(zip(w.tolist(), good)) if ok]
-        rows.sort()
-        self.hash = np.array([r[0] for r in rows], np.uint64)
-        self.item = np.array([r[1] for r in rows], np.int32)
-        self.place = np.array([r[2] for r in rows], np.int32)
-        self.filter = np.zeros(1 << 20, bool)  # by a hash's low bits
-        self.filter[self.hash & np.uint64(0xFFFFF)] = True
-
-    def matches(self, text: str, make: Templates) -> list[tuple[int, float, int, int, float]]:
+            at = np.array([p for p in range(len(w)) if telling(hashes, kinds, p)], np.int32)
+            if len(at):
+                for c, x in zip(columns, (w[at], np.full(len(at), len(self.items), np.int32), at)):
+                    c.append(x)
+                self.items.append(Item(item_id, [tokens[p].lower() for p in places], kinds, len(np.unique(w[at]))))
+        self.hash, self.item, self.place = map(np.concatenate, columns)
+        order = np.lexsort((self.place, self.item, self.hash))
+        self.hash, self.item, self.place = self.hash[order], self.item[order], self.place[order]
+        bits = max(16, (8 * len(self.hash)).bit_length())
+        self.mask = np.uint64((1 << bits) - 1)
+        self.filter = np.zeros(1 << bits, bool)  # by a hash's low bits; at most an eighth is set
+        self.filter[self.hash & self.mask] = True
+
+    def matches(self, text: str, make: Templates) -> list[tuple[int | None, float, int, int, float]]:
         """(item, share of its windows, longest run, slots, share of consistent slots) for each item that the text holds."""
         if not len(self.hash):
             return []
-        hashes, kinds, tokens, places = make(text)
+        hashes, _, tokens, places = make(text)
         w = windows(hashes)
         found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for p in np.flatnonzero(self.filter[w & np.uint64(0xFFFFF)]).tolist():
+        for p in np.flatnonzero(self.filter[w & self.mask]).tolist():
             a, b = int(np.searchsorted(self.hash, w[p], "left")), int(np.searchsorted(self.hash, w[p], "right"))
-            if a < b and telling(hashes, kinds, p):
-                for k in range(a, b):
-                    found[int(self.item[k])].append((p - int(self.place[k]), int(self.place[k]), int(w[p])))
+            for k in range(a, b):
+                found[int(self.item[k])].append((p - int(self.place[k]), int(self.place[k]), int(w[p])))
         out = []
         for k, hits in found.items():
             item = self.items[k]
-            share, run = len({h for _, _, h in hits}) / item.size, _longest_run(hits)
-            if share < SHARE and run < RUN:
-                continue
-            slots, even = self._slots(item, hits, tokens, places)
-            if even >= CONSISTENT:
-                out.append((item.item_id, share, run, slots, even))
+            if _enough(*_extent(item, hits)) and (best := self._best(item, hits, tokens, places)):
+                out.append((item.item_id, *best))
         return out
 
     @staticmethod
-    def _slots(item: Item, hits: list, tokens: list[str], places: np.ndarray) -> tuple[int, float]:
-        """Slots that are compared, and the share that follows one value for each of the item's values; the best of the alignments counts."""
-        best = (0, 0.0)
-        for shift, _ in Counter(d for d, _, _ in hits).most_common(3):
-            pairs: dict[tuple[int, str], Counter] = defaultdict(Counter)
-            covered = {p + i for d, p, _ in hits if d == shift for i in range(min(WIDTH, len(item.values)))}
-            for p in covered:
-                if item.kinds[p] != WORD:
-                    pairs[int(item.kinds[p]), item.values[p]][tokens[places[p + shift]].lower()] += 1
-            slots = sum(sum(c.values()) for c in pairs.values())
-            even = sum(max(c.values()) for c in pairs.values()) / slots if slots else 1.0
-            best = max(best, (slots, even), key=lambda x: (x[1], x[0]))
+    def _best(item: Item, hits: list[tuple[int, int, int]], tokens: list[str], places: np.ndarray) -> tuple[float, int, int, float] | None:
+        """Share, run, slots and consistent share of the best evidence that holds enough of the item and doesn't contradict itself."""
+        by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for hit in hits:
+            by[hit[0]].append(hit)
+        slots = {shift: _slots(item, shift, some, tokens, places) for shift, some in by.items()}
+        sound = sorted(shift for shift in by if _consistent([slots[shift]])[1] >= CONSISTENT)
+        near: list[list[int]] = []
+        for shift in sound:  # one copy's alignments differ by the words put in or left out
+            if near and shift - near[-1][-1] <= len(item.values):
+                near[-1].append(shift)
+            else:
+                near.append([shift])
+        best = None
+        for group in [*([shift] for shift in sound), *(g for g in near if len(g) > 1), *([sound] if len(near) > 1 else [])]:
+            share, run = _extent(item, [hit for shift in group for hit in by[shift]])
+            if _enough(share, run):
+                n, even = _consistent([slots[shift] for shift in group])
+                if even >= CONSISTENT and (best is None or (share, run, n, even) > best):
+                    best = share, run, n, even
         return best
 
 
+def _extent(item: Item, hits: list[tuple[int, int, int]]) -> tuple[float, int]:
+    """Share of the item's distinct windows, and the longest run."""
+    return len({h for _, _, h in hits}) / item.size, _longest_run(hits)
+
+
+def _enough(share: float, run: int) -> bool:
+    return share >= SHARE or run >= RUN
+
+
+def _slots(item: Item, shift: int, hits: list[tuple[int, int, int]], tokens: list[str], places: np.ndarray) -> dict[tuple[int, str], Counter]:
+    """The document's values for each of the item's (kind, value) in one alignment."""
+    out: dict[tuple[int, str], Counter] = defaultdict(Counter)
+    width = min(WIDTH, len(item.values))
+    for p in {p + i for _, p, _ in hits for i in range(width)}:
+        if item.kinds[p] != WORD:
+            out[int(item.kinds[p]), item.values[p]][tokens[places[p + shift]].lower()] += 1
+    return out
+
+
+def _consistent(slots: list[dict[tuple[int, str], Counter]]) -> tuple[int, float]:
+    """How many slots there are together, and the share that follows one value for each of the item's; 1 without slots."""
+    merged: dict[tuple[int, str], Counter] = defaultdict(Counter)
+    for some in slots:
+        for value, counts in some.items():
+            merged[value].update(counts)
+    n = sum(sum(c.values()) for c in merged.values())
+    return n, sum(max(c.values()) for c in merged.values()) / n if n else 1.0
+
+
 def _longest_run(hits: list[tuple[int, int, int]]) -> int:
     most = run = 0
     last = None

@@ -109,7 +109,11 @@ def test_packing(spark):
     docs = docs.select("doc_id", "text").unionByName(extra)
     check_packing(P.pack_sequences(docs).collect(), {r.doc_id: r.text for r in docs.collect()})
     assert P.pack_sequences(empty(spark)).count() == 0
-    assert P.pack_sequences(odd_rows(spark)).agg(F.sum("length")).first()[0] > 0
+    odd, tokenizer = odd_rows(spark), tokens.WordPieces(tokens.tokenizer_path("word_bpe_49k.json")).tokenizer
+    want = sorted((r.doc_id or 0, 1 + len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)) for r in odd.collect())
+    got = P.pack_sequences(odd).collect()
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in got if r.start == 0) == want  # repeated and null identifiers too
+    assert sum(r.length for r in got) == sum(n for _, n in want)
 
 
 def test_tokens_with_small_tables():
@@ -328,6 +332,117 @@ def test_decontamination_against_brute_force(spark):
     assert {r.doc_id for r in D.contaminated(docs, items).collect()} == want
 
 
+VARIANT_WORDS = "the farmer sold some sheep and bought apples before winter came then counted what was left in baskets while children played near old river".split()
+VARIANT_NAMES = "Tom Mary Jim Ann Bob Kim Lea Max Ivy Sam".split()
+
+
+def typed_question(rng):
+    """A question as words and slots: (kind, number) stands for a value."""
+    body = [VARIANT_WORDS[i] for i in rng.integers(len(VARIANT_WORDS), size=30)]
+    out = ["so"]
+    for i, w in enumerate(body):
+        out.append(w)
+        if i % 4 == 1:
+            kind = "name" if rng.random() < 0.5 else "number"
+            out.append((kind, int(rng.integers(2))))
+            if kind == "number" and rng.random() < 0.3:
+                out.append("km")
+    return out
+
+
+def filled(question, rng, even=True):
+    """Text of a question with values; without `even` every slot has a value of its own."""
+    values = {}
+    out = []
+    for x in question:
+        if isinstance(x, tuple):
+            if x not in values or not even:
+                used = set(values.values())
+                new = [n for n in VARIANT_NAMES if n not in used] if x[0] == "name" else [str(n) for n in range(10, 99) if str(n) not in used]
+                values[x if even else (x, len(values))] = new[int(rng.integers(len(new)))] if new else VARIANT_NAMES[int(rng.integers(10))]
+                x = values[x] if even else list(values.values())[-1]
+            else:
+                x = values[x]
+        out.append(x)
+    return " ".join(out)
+
+
+def brute_leaks(text, item):
+    """The module's rule, over strings and all alignments, for texts of one sentence."""
+
+    def template(t):
+        words, kinds = t.split(), []
+        for i, w in enumerate(words):
+            kinds.append("N" if w.isdigit() else "T" if i and w[0].isupper() else "U" if w in D.UNITS and i and words[i - 1].isdigit() else "")
+        return words, [k or w.lower() for k, w in zip(kinds, words)], kinds
+
+    (dw, dt, _), (iw, it, ik) = template(text), template(item)
+    telling = [p for p in range(len(it) - 4) if len({x for x, k in zip(it[p : p + 5], ik[p : p + 5]) if not k}) >= 3]
+    size = len({tuple(it[p : p + 5]) for p in telling})
+    by = collections.defaultdict(set)
+    for p in telling:
+        for q in range(len(dt) - 4):
+            if dt[q : q + 5] == it[p : p + 5]:
+                by[q - p].add(p)
+
+    def even(shifts):
+        pairs = collections.defaultdict(list)
+        for s in shifts:
+            for p in {p + i for p in by[s] for i in range(5)}:
+                if ik[p]:
+                    pairs[ik[p], iw[p].lower()].append(dw[p + s].lower())
+        n = sum(map(len, pairs.values()))
+        return not n or sum(max(map(v.count, v)) for v in pairs.values()) >= D.CONSISTENT * n
+
+    sound = sorted(s for s in by if even([s]))
+    near = [[s for s in sound if any(lo <= s <= hi for lo, hi in [g])] for g in _stretches(sound, len(iw))]
+    for group in [*([s] for s in sound), *near, sound]:
+        if group and even(group):
+            share = len({tuple(it[p : p + 5]) for s in group for p in by[s]}) / size
+            run = max(len(list(g)) for s in group for _, g in itertools.groupby(enumerate(sorted(by[s])), lambda x: x[1] - x[0]))
+            if share >= D.SHARE or run >= D.RUN:
+                return True
+    return False
+
+
+def _stretches(sound, gap):
+    out = []
+    for s in sound:
+        if out and s - out[-1][1] <= gap:
+            out[-1][1] = s
+        else:
+            out.append([s, s])
+    return out
+
+
+def test_decontamination_of_typed_templates_against_brute_force(spark):
+    rng = np.random.default_rng(17)
+    questions = [typed_question(rng) for _ in range(12)]
+    items = [(i, filled(q, rng)) for i, q in enumerate(questions)]
+    docs = []
+    for i, q in enumerate(questions):
+        own = lambda k: " ".join(prose(500 + 20 * i + k, 12))
+        same, odd = filled(q, rng), filled(q, rng, even=False)
+        tail = " ".join(items[i][1].split()[-7:])
+        docs += [f"{own(0)} {same} {own(1)}", f"{own(2)} {odd} {own(3)}", f"{own(4)} {odd} {tail}", f"{odd} {own(5)} {same}"]
+        half = items[i][1].split()
+        docs += [" ".join([*half[:14], "indeed", *half[14:]]), " ".join(half[:12]), " ".join([*half[20:], own(6), *half[:20]])]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(r.doc_id, i) for r in D.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect() for i in r.item_ids}
+    want = {(d, i) for d, t in enumerate(docs) for i, item in items if brute_leaks(t, item)}
+    assert got == want and {(7 * i, i) for i in range(12)} | {(7 * i + 3, i) for i in range(12)} <= want
+    assert len({(7 * i + 1, i) for i in range(12)} & want) <= 3 and len({(7 * i + 2, i) for i in range(12)} & want) <= 3
+
+
+def test_decontamination_isnt_led_astray_by_a_stray_window(spark):
+    q = "A farmer called Tom had 12 sheep and sold 5 of them to Mary before the winter came. How many sheep did Tom keep that year after Mary left?"
+    odd = q.replace("Tom had", "Jim had").replace("Mary left", "Kim left").replace("did Tom", "did Bob")
+    items = spark.createDataFrame([(1, q), (None, "one more " + " ".join(prose(43, 30))), (1, " ".join(prose(44, 30)))], "item_id long, text string")
+    rows = [(1, odd), (2, odd + " and then the winter came how many sheep"), (3, odd + " " + q), (4, "x " + " ".join(prose(43, 30))), (5, " ".join(prose(44, 30))), (None, q), (None, q)]
+    got = D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id or 0, r.item_ids) for r in got) == [(0, [1]), (0, [1]), (3, [1]), (4, [None]), (5, [1])]
+
+
 # pseudonyms
 
 
