@@ -16,11 +16,12 @@ def fold(doc_id: str, parts: int, part: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(label, text) of at most `rows` labelled documents that aren't held out. A document labelled twice has its larger label."""
+    """(label, text) of at most `rows` labelled identifiers that aren't held out, one row each: the larger of its labels and the least of its documents' texts."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out)
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).cast("int").alias("label"))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # so it may be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("label", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return found.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text")).select("label", "text")
 
 
 def threshold(margin: np.ndarray, label: np.ndarray, measure: str) -> float:

@@ -5,8 +5,9 @@ the features in turn and adds a shallow tree over the bins of one feature at a s
 to one lookup table. Then pairs of features that explain most of what is left get tables of their own. A score is a sum of looked-up
 numbers, so each feature's part in it can be read off.
 
-Defined cases: a null text is empty, and an empty text is scored like any other (all its features are 0); without labels of both kinds every
-score is 0.5; repeated rows are scored each; other columns are ignored.
+Defined cases: a null text is empty, and an empty text is scored like any other (all its features are 0); very long texts are read whole; without
+labels of both kinds every score is 0.5; repeated rows are scored each; a null identifier is scored and in no fold; an empty table gives an empty result;
+other columns are ignored. Of a labelled identifier that several documents have, the least text is learnt from.
 """
 
 from __future__ import annotations
@@ -163,14 +164,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Additi
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "quality", fold("doc_id", 5, 0), rows).mapInArrow(run, "label int, x array<double>").limit(2 * rows).collect()
+    sample = labelled_sample(docs, labels, "quality", fold("doc_id", 5, 0), rows).mapInArrow(run, "label int, x array<double>").collect()  # `rows` at most
     sample.sort(key=lambda r: (zlib.crc32(repr(r.x).encode()), r.x, r.label))  # the same order in every run
     x, y = np.array([r.x for r in sample]).reshape(-1, len(FEATURES)), np.array([r.label for r in sample], float)
     if not len(y) or y.min() == y.max():
         none = [np.zeros(0)] * len(FEATURES)
         return AdditiveModel(none, none, cut=float(np.log(CUT / (1 - CUT))))
-    test = np.arange(len(y)) % 5 == 0
-    cut = threshold(fit(x[~test], y[~test]).margin(x[test]), y[test], "accuracy") if 0 < y[~test].mean() < 1 else 0.0
+    test = np.array([zlib.crc32(repr(r.x).encode()) % 5 == 0 for r in sample])  # equal texts stay together
+    cut = threshold(fit(x[~test], y[~test]).margin(x[test]), y[test], "accuracy") if test.any() and 0 < y[~test].mean() < 1 else 0.0
     model = fit(x, y)
     model.cut = cut
     return model

@@ -1,14 +1,16 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's words and their first four and five letters, in lower case and hashed to a fixed number of slots; a
-slot counts once however often it occurs. The machine has a weight and a short vector for each slot, so that two terms
-together may count for more (or less) than each alone. It is fitted by AdaGrad on a bounded sample of labelled documents on the
-driver; only slots whose presence goes with the label beyond chance (a likelihood-ratio test over distinct texts of the sample)
-get weights, so that the many words of a long text don't drown the few that matter. Scoring reads whole texts.
-
-Defined cases: a null or empty text has the machine's constant as its score; without labels of both kinds every score is
-that of the constant 0 and nothing is predicted toxic; repeated rows are scored each; other columns are ignored or, in
-`clean_rows`, passed through.
+slot counts once however often it occurs, and a slot of its own says that several chunks of the text have the term (as with words made from
+one stem). The machine has a weight and a short vector for each slot, so that two terms together may count for more (or less) than each alone. It is
+fitted by AdaGrad on a bounded sample of labelled documents on the driver; slots get weights if their presence goes with the label beyond chance (a
+likelihood-ratio test over distinct texts of the sample), or if that of a pair does so beyond both of its slots, as for two words that are harmless
+one by one; so the many words of a long text don't drown the few that matter. Scoring reads whole texts.
+
+Defined cases: a null or empty text has the machine's constant as its score; very long texts are read whole; without labels of both kinds every score is
+that of the constant 0 and nothing is predicted toxic; repeated rows are scored each; a null identifier is scored and in no fold; an empty table gives
+an empty result; other columns are ignored or, in `clean_rows`, passed through. Of a labelled identifier that several documents have, the least text
+is learnt from.
 """
 
 from __future__ import annotations
@@ -31,8 +33,12 @@ from .labelled import CUT, SAMPLE_ROWS, fold, labelled_sample, score, threshold
 
 SLOTS = 1 << 18
 VECTOR = 4
-#: A slot's likelihood ratio in the sample from which on it gets a weight.
-EVIDENCE = 10.0
+#: A slot's likelihood ratio in the sample from which on it gets a weight; what a pair's must have beyond those of its slots.
+EVIDENCE, PAIR_EVIDENCE = 16.0, 40.0
+#: Slots of which all pairs are looked at: those whose presence varies most over the sample.
+PAIRED = 1024
+#: Leads from a term's slot to that of the term in several chunks.
+SEVERAL = 5_003
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -45,6 +51,11 @@ def terms_of(chunk: str) -> list[int]:
     return out
 
 
+def several(slots: np.ndarray) -> np.ndarray:
+    """Slots that say that several chunks of a text have the term."""
+    return ((slots.astype(np.int64) * SEVERAL + 1) % SLOTS).astype(np.int32)
+
+
 class Terms:
     """Slots of texts; those of a chunk between blanks are kept while there is room."""
 
@@ -72,7 +83,8 @@ class Terms:
             mine = np.unique(codes[a:b])
             n = sizes[mine]
             at = np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(np.unique(flat[at]))
+            slots, times = np.unique(flat[at], return_counts=True)
+            out.append(np.union1d(slots, several(slots[times > 1])))
         return out
 
 
@@ -91,30 +103,59 @@ class Machine:
         return self.constant + float(self.weights[slots].sum()) + 0.5 * float(total @ total - (v * v).sum())
 
 
-def telling(rows: list[np.ndarray], label: np.ndarray) -> np.ndarray:
-    """Slots whose presence in distinct texts goes with the label, by the G statistic of their two-by-two table."""
+def ratio(cells: list[np.ndarray], n: list[int]) -> np.ndarray:
+    """The G statistic of tables of two labels: cells[i][k] counts label k in cell i; n[k] of all texts have label k."""
+    total, g = sum(n), 0.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for cell in cells:
+            most = cell[0] + cell[1]
+            for k in (0, 1):
+                g = g + 2 * np.where(cell[k] > 0, cell[k] * np.log(cell[k] * (total / n[k]) / most), 0)
+    return g
+
+
+def telling(rows: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots whose presence in distinct texts goes with the label, alone or in a pair, and those of them that do so in a pair."""
     first = {xxhash.xxh3_128_digest(r.tobytes()): i for i, r in reversed(list(enumerate(rows)))}
     rows, label = [rows[i] for i in first.values()], label[list(first.values())]
-    there = [np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)]
+    there = [np.zeros(SLOTS), np.zeros(SLOTS)]
     for r, y in zip(rows, label):
         there[int(y)][r] += 1  # a text's slots are distinct
     n = [int((label == k).sum()) for k in (0, 1)]
-    total, df, g = sum(n), there[0] + there[1], np.zeros(SLOTS)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for k in (0, 1):
-            for seen, most in ((there[k], df), (n[k] - there[k], total - df)):
-                g += 2 * np.where(seen > 0, seen * np.log(seen * total / (most * n[k])), 0)
-    return np.flatnonzero((g > EVIDENCE) & (df > 3))
+    df = there[0] + there[1]
+    g = ratio([np.stack(there), np.stack([n[k] - there[k] for k in (0, 1)])], n)
+    alone = np.flatnonzero((g > EVIDENCE) & (df > 3))
+    often = np.flatnonzero(df > 3)
+    often = np.sort(often[np.argsort(-df[often] * (len(rows) - df[often]), kind="stable")[:PAIRED]])
+    place = np.full(SLOTS, -1, np.int32)
+    place[often] = np.arange(len(often))
+    both = [np.zeros((len(often), len(often)), np.float32) for _ in (0, 1)]
+    for k in (0, 1):
+        mine = [place[r] for r, y in zip(rows, label) if y == k]
+        for i in range(0, len(mine), 512):
+            x = np.zeros((len(mine[i : i + 512]), len(often)), np.float32)
+            for row, at in zip(x, mine[i : i + 512]):
+                row[at[at >= 0]] = 1
+            both[k] += x.T @ x
+    each = [there[k][often] for k in (0, 1)]
+    cells = [
+        np.stack(both), np.stack([each[k][:, None] - both[k] for k in (0, 1)]), np.stack([each[k][None, :] - both[k] for k in (0, 1)]),
+        np.stack([n[k] - each[k][:, None] - each[k][None, :] + both[k] for k in (0, 1)]),
+    ]
+    more = np.triu(ratio(cells, n) - g[often][:, None] - g[often][None, :], 1)
+    paired = often[np.unique(np.argwhere(more > PAIR_EVIDENCE))] if len(often) else often
+    return np.union1d(alone, paired), paired
 
 
 def fit(rows: list[np.ndarray], label: np.ndarray, epochs: int = 8, rate: float = 0.08, decay: float = 2e-4, seed: int = 7) -> Machine:
     """A machine by AdaGrad over mini-batches; the rarer label weighs up to four times as much."""
     rng = np.random.default_rng(seed)
-    used = telling(rows, label)
+    used, paired = telling(rows, label)
     place = np.full(SLOTS, -1, np.int32)
     place[used] = np.arange(len(used))
     rows = [p[p >= 0] for p in (place[r] for r in rows)]
     w, v = np.zeros(len(used), np.float32), rng.normal(0, 0.01, (len(used), VECTOR)).astype(np.float32)
+    v[place[paired]] *= 30  # where products matter most they need a slope to start from
     gw, gv = np.full(len(used), 1e-2, np.float32), np.full(v.shape, 1e-2, np.float32)
     share = label.mean()
     constant, weight = float(np.log(share / (1 - share))), np.where(label > 0, min(4.0, (1 - share) / share), 1.0).astype(np.float32)
@@ -154,14 +195,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machin
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype("<i4").tobytes() for s in slots], pa.binary())], ["label", "slots"])
 
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "toxic", fold("doc_id", 4, 2), rows).mapInArrow(run, "label int, slots binary").limit(2 * rows).collect()
+    sample = labelled_sample(docs, labels, "toxic", fold("doc_id", 4, 2), rows).mapInArrow(run, "label int, slots binary").collect()  # `rows` at most
     sample.sort(key=lambda r: (zlib.crc32(r.slots), r.slots, r.label))  # the same order in every run
     slots, label = [np.frombuffer(r.slots, "<i4") for r in sample], np.array([r.label for r in sample], np.float32)
     del sample
     if not len(label) or label.min() == label.max():
         return Machine(0.0, np.zeros(SLOTS, np.float32), np.zeros((SLOTS, VECTOR), np.float32), 1.0)
-    test = np.arange(len(label)) % 5 == 0
-    if 0 < label[~test].mean() < 1:
+    test = np.array([zlib.crc32(s.tobytes()) % 5 == 0 for s in slots])  # equal texts stay together
+    if test.any() and 0 < label[~test].mean() < 1:
         trial = fit([s for s, t in zip(slots, test) if not t], label[~test])
         cut = threshold(np.array([trial.margin(s) for s, t in zip(slots, test) if t]), label[test], "f1")
     else:

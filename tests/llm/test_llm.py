@@ -595,6 +595,47 @@ def test_classifiers_on_odd_rows(spark, module):
         assert module.clean_rows(odd, nothing).columns == odd.columns
 
 
+def test_machine_learns_what_only_pairs_tell():
+    """Toxic is a text with an insult and a group, or with neither: each term alone says nothing."""
+    rng, words = np.random.default_rng(0), prose(80, 400)
+    texts, label = [], []
+    for _ in range(2000):
+        insult, group = map(int, rng.random(2) < 0.5)
+        texts.append(" ".join([*(words[k] for k in rng.integers(400, size=20)), *["zinsult"] * insult, *["zgroup"] * group]))
+        label.append(float(insult == group))
+    slots, label = toxicity.Terms().encode(texts), np.array(label, np.float32)
+    machine = toxicity.fit(slots[:1500], label[:1500])
+    assert np.mean([(machine.margin(s) > 0) == (y > 0) for s, y in zip(slots[1500:], label[1500:])]) > 0.95
+
+
+def test_margins_by_direct_sums():
+    rng = np.random.default_rng(4)
+    m = toxicity.Machine(0.3, rng.normal(size=toxicity.SLOTS), rng.normal(size=(toxicity.SLOTS, toxicity.VECTOR)))
+    slots = np.unique(rng.integers(toxicity.SLOTS, size=12))
+    pairs = sum(sum(a * b for a, b in zip(m.vectors[i], m.vectors[j])) for i, j in itertools.combinations(slots, 2))
+    assert m.margin(slots) == pytest.approx(0.3 + sum(m.weights[i] for i in slots) + pairs)
+    x, y = rng.random((200, len(quality.FEATURES))), (rng.random(200) < 0.5).astype(float)
+    x[:, 3] += y
+    model = quality.fit(x, y, rounds=5, pair_rounds=3)
+    for row, got in zip(x[:20], model.margin(x[:20])):
+        want = model.constant + sum(model.tables[j][sum(v >= e for e in model.edges[j])] for j, v in enumerate(row))
+        want += sum(t[sum(row[i] >= e for e in model.coarse[i]), sum(row[j] >= e for e in model.coarse[j])] for (i, j), t in model.pairs.items())
+        assert got == pytest.approx(want)
+
+
+def test_terms_of_several_chunks():
+    one, two = toxicity.Terms().encode(["achlichver x", "achlichver achlichein x"])
+    stem = toxicity.several(np.array([zlib.crc32(b"5 achli") % toxicity.SLOTS], np.int32))[0]
+    assert stem in two and stem not in one
+
+
+def test_sample_of_repeated_identifiers(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None), (3, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, None), (None, 1), (9, 1)], "doc_id long, toxic int")
+    rows = labelled.labelled_sample(docs, labels, "toxic", F.lit(False)).collect()
+    assert sorted((r.label, r.text or "") for r in rows) == [(1, ""), (1, "a")]
+
+
 def test_threshold():
     assert labelled.threshold(np.array([3.0, 2.0, 1.0]), np.array([1, 1, 0]), "f1") == 1.5
     assert labelled.score(np.array([1.5]), 1.5)[0] == pytest.approx(0.3)
