@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: Rows of an Arrow batch: whole texts are long, so batches stay small.
-ARROW_ROWS = 256
+#: Rows and bytes of an Arrow batch: whole texts are long, so batches stay small.
+ARROW_ROWS, ARROW_BYTES = 256, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +69,8 @@ class Tables:
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Makes ready for Python operators: workers get this package, and Arrow batches are small."""
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    for name, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", ARROW_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
 
 
 def free_name(df: DataFrame, name: str) -> str:

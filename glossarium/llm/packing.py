@@ -136,7 +136,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str | None = None, id_col: str =
 
         yield from batches(rows(), SCHEMA)
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1024)  # the more texts, the fewer times a word is looked up
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(run, DDL)
 
 

@@ -1,10 +1,10 @@
 """Token ids of whole texts by a word-BPE vocabulary file of the `tokenizers` library.
 
 The vocabulary drops white space and never forms a token across it, so a text's ids are those of its blank-separated
-chunks in order, and a chunk's are those of its words. Chunks and words repeat far more than texts do: Arrow's kernels split a
-batch and number its distinct chunks, each new word is encoded once by the library's model and kept in tables of bounded size,
-and the ids of the batch are gathered from there. Chunks of Latin letters are normalised and split here; all others go through
-the library's own normaliser and splitter.
+chunks in order, and a chunk's are those of its words. Words repeat far more than texts do: Arrow's kernels cut a batch into words and number
+its distinct ones, each new word is encoded once by the library's model and kept in tables of bounded size, and the ids of the batch are
+gathered from there. Words of lower-case Latin letters and the marks behind them are cut by Arrow, other chunks of Latin letters by the pattern
+below, and all others go through the library's own normaliser and splitter.
 """
 
 from __future__ import annotations
@@ -17,11 +17,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks (and words) that are kept, and the longest of them.
-KEEP, LONGEST = 400_000, 48
+#: Words and chunks that are kept, and the longest of them.
+KEEP, LONGEST = 500_000, 48
 #: The vocabulary's own rule for words, as it is for lower-case text within the range of LATIN.
 LATIN = re.compile(r"[\x21-ɏ]+")
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\sa-z0-9ªµº²³¹¼½¾ß-öø-ɏ]+")
+#: Letters that lowering and composing leave as they are; a word of them; marks between such a letter and a blank, which are words of their own.
+LETTERS = "a-zß-öø-ÿ"
+ONE_WORD = f"^[{LETTERS}]+$"
+MARKS_BEHIND = rf"([{LETTERS}])([!-&(-/:-@\[-`{{-~]+)(\s|$)"
 
 
 def tokenizer_path(name: str) -> str:
@@ -35,23 +39,28 @@ class Table:
 
     def __init__(self):
         self.at: dict[str, int] = {}
-        self.ids, self.starts, self.used = np.zeros(1 << 16, "<u4"), [0], 0
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.ends = np.zeros(1 << 16, np.int64)  # entry i lies between ends[i] and ends[i + 1]
+        self.entries = 0
 
-    def add(self, keys: list[str], ids: np.ndarray, ends: list[int]) -> None:
+    def add(self, keys: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         """keys' ids are slices of ids that end at ends."""
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.entries + len(keys) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.at.update(zip(keys, range(len(self.starts) - 1, len(self.starts) - 1 + len(keys))))
-        self.starts.extend([self.used + e for e in ends])
+        self.ends[self.entries + 1 : self.entries + 1 + len(keys)] = self.used + np.asarray(ends, np.int64)
+        self.at.update(zip(keys, range(self.entries, self.entries + len(keys))))
+        self.entries += len(keys)
         self.used += len(ids)
 
     def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the entries that are asked for, end to end, and how many each has."""
-        starts = np.array(self.starts)
-        sizes = np.diff(starts)[which]
+        starts = self.ends[which]
+        sizes = self.ends[which + 1] - starts
         ends = np.cumsum(sizes)
-        shift = np.repeat(starts[which] - (ends - sizes), sizes)
+        shift = np.repeat(starts - (ends - sizes), sizes)
         return self.ids[shift + np.arange(len(shift))], sizes
 
 
@@ -70,7 +79,7 @@ class WordPieces:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.keep, self.chunks, self.known = keep, Table(), Table()
+        self.keep, self.known, self.older = keep, Table(), Table()
 
     @classmethod
     def shared(cls, path: str) -> WordPieces:
@@ -82,43 +91,51 @@ class WordPieces:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; ASCII white space separates chunks."""
         array = pa.array(texts, pa.large_string())
-        if not any("<|" in t for t in texts):  # special tokens are read before letters are lowered
-            array = pc.ascii_lower(array)
+        if not pc.any(pc.match_substring(array, "<|")).as_py():  # special tokens are read before letters are lowered
+            array = pc.replace_substring_regex(pc.ascii_lower(array), MARKS_BEHIND, r"\1 \2\3")
         lists = pc.ascii_split_whitespace(array)
         numbered = lists.flatten().dictionary_encode()
-        if len(self.chunks.at) > self.keep or self.chunks.used > 32 * self.keep:
-            self.chunks = Table()
+        if self.known.entries > self.keep or self.known.used > 32 * self.keep:
+            self.known, self.older = Table(), self.known  # what is used again comes back from there
         distinct = numbered.dictionary.to_pylist()
-        at = self.chunks.at
-        self._learn_chunks([w for w in distinct if w not in at])
-        which = np.array([at[w] for w in distinct], np.int64)
-        for w in distinct:
+        at = self.known.at
+        new = [w for w in distinct if w not in at]
+        self._learn(new)
+        which = np.fromiter(map(at.__getitem__, distinct), np.int64, len(distinct))
+        for w in new:
             if len(w) > LONGEST:
                 del at[w]
-        ids, sizes = self.chunks.gather(which[numbered.indices.to_numpy()] if len(distinct) else which)
+        ids, sizes = self.known.gather(which[numbered.indices.to_numpy()] if len(distinct) else which)
         ends = np.concatenate([[0], np.cumsum(sizes)])[lists.offsets.to_numpy()] * 4
         data = ids.tobytes()
         return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
-    def _learn_chunks(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
+        """Puts chunks that aren't known into the table."""
+        old = self.older.at
+        if again := [w for w in new if w in old]:
+            ids, sizes = self.older.gather(np.fromiter(map(old.__getitem__, again), np.int64, len(again)))
+            self.known.add(again, ids, np.cumsum(sizes))
+            new = [w for w in new if w not in old]
+        if not new:
+            return
+        array = pa.array(new, pa.large_string())
+        one = pc.match_substring_regex(array, ONE_WORD)
+        self._learn_words(array.filter(one).to_pylist())
         plain, parts, strange = [], [], []
-        for w in new:
+        for w in array.filter(pc.invert(one)).to_pylist():
             if len(w) <= LONGEST and LATIN.fullmatch(w) and "<|" not in w:
                 plain.append(w)
                 parts.append(WORDS.findall((w if w.isascii() else unicodedata.normalize("NFC", w)).lower()))
-            elif w:
+            else:
                 strange.append(w)
-        if len(self.known.at) > self.keep:
-            self.known = Table()
         at, flat = self.known.at, [p for some in parts for p in some]
         self._learn_words([p for p in dict.fromkeys(flat) if p not in at])
         ids, sizes = self.known.gather(np.array([at[p] for p in flat], np.int64))
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(some) for some in parts], dtype=np.int64)]
-        self.chunks.add(plain, ids, ends.tolist())
-        if "" in new:
-            strange.append("")
+        self.known.add(plain, ids, ends)
         for w, e in zip(strange, self.tokenizer.encode_batch_fast(strange, add_special_tokens=False)):
-            self.chunks.add([w], np.array(e.ids, "<u4"), [len(e.ids)])
+            self.known.add([w], np.array(e.ids, "<u4"), np.array([len(e.ids)]))
 
     def _learn_words(self, words: list[str]) -> None:
         for i in range(0, len(words), 256):
@@ -127,4 +144,4 @@ class WordPieces:
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("the vocabulary doesn't mark the ends of words")
-            self.known.add(some, ids, ends.tolist())
+            self.known.add(some, ids, ends)
