@@ -22,6 +22,8 @@ from .common import table, written
 WHITE = r"[\x20\x09-\x0D]+"
 #: Digests of groups that may be broadcast (16 bytes each in the hash table); more are joined by a shuffle.
 BROADCAST_DIGESTS = 200_000
+#: Numbers of dropped rows that may be broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -109,8 +111,9 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The rows of docs that stay, with all their columns."""
     index = DigestIndex(docs.sparkSession)
     index.insert(docs, id_col, text_col, payload=True)
-    stay = index.resolve().filter("seq = keep_seq").select("seq")
-    return index.runs[0].join(stay, "seq", "left_semi").select("record.*")
+    gone = written(index.resolve().filter("seq <> keep_seq").select("seq"), "lsm-gone")
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # so whole rows needn't be shuffled
+    return index.runs[0].join(F.broadcast(gone) if few else gone, "seq", "left_anti").select("record.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
