@@ -74,11 +74,11 @@ def cutoffs_plain(text: str | Column) -> Column:
 
 
 def speech_text(text: str | Column) -> Column:
-    """Full-width punctuation as plain, and `it's` written out (F10; numbers are left as they are)."""
+    """Full-width punctuation as plain (F10; numbers and contractions are left as they are)."""
     t = _col(text)
     for a, b in SPEECH.items():
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.trim(t), r"(?i)\b(what|where|who|which|how|it|he|she|that|this|there|here|let)'s\b", "$1 is")
+    return F.trim(t)
 
 
 def cjk_tokens(text: str | Column) -> Column:

@@ -73,10 +73,13 @@ def pair_roles(df: DataFrame, key: str, role: str, value: str, roles: Sequence[s
 
 
 def stem_role(path: str | Column) -> tuple[Column, Column]:
-    """Key and role of a file stem that ends in r1 or r2."""
+    """Key and role of a file stem that ends in r1 or r2, after a - or _ or nothing; both empty or null for other stems."""
     p = F.col(path) if isinstance(path, str) else path
-    pattern = r"(?i)^(.*?)(?:[_-]?r([12]))$"
-    return F.regexp_extract(p, pattern, 1), F.nullif(F.concat(F.lit("r"), F.regexp_extract(p, pattern, 2)), F.lit("r"))
+    role = F.lower(F.right(p, F.lit(2)))
+    known = role.isin("r1", "r2")
+    rest = F.left(p, F.length(p) - 2)
+    parted = F.right(rest, F.lit(1)).isin("-", "_")
+    return F.when(known & parted, F.left(rest, F.length(rest) - 1)).when(known, rest).otherwise(""), F.when(known, role)
 
 
 def intersect_keys(frames: Sequence[DataFrame], key: str) -> DataFrame:

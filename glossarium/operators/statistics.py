@@ -209,3 +209,54 @@ def rule_probabilities(rules: DataFrame, bases: DataFrame, least: int = 1) -> Da
 def goodness(frames: DataFrame, by: Sequence[str], actual: str, likelihoods: str) -> DataFrame:
     """Mean over frames of the best likelihood less that of the actual label's place, 0 where it is best."""
     return frames.groupBy(*by).agg(F.avg(F.array_max(likelihoods) - F.element_at(likelihoods, F.col(actual) + 1)).alias("goodness"))
+
+
+def bigram_scores(model: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (history, word) with the probability of the word: its bigram's, or the history's backoff times the word's own; 0 for unknown words (M4).
+
+    model: (n, words, probability, backoff), as the ARPA reader gives it.
+    """
+    one = model.filter("n = 1")
+    two = model.filter("n = 2").select("words", F.col("probability").alias("_bigram"))
+    j = pairs.withColumn("words", F.concat_ws(" ", "history", "word")).join(two, "words", "left").drop("words")
+    j = j.join(one.select(F.col("words").alias("history"), F.coalesce("backoff", F.lit(1.0)).alias("_backoff")), "history", "left")
+    j = j.join(one.select(F.col("words").alias("word"), F.col("probability").alias("_own")), "word", "left")
+    return j.select(*pairs.columns, F.coalesce("_bigram", F.coalesce("_backoff", F.lit(1.0)) * F.coalesce("_own", F.lit(0.0))).alias("probability"))
+
+
+def elbow_of(df: DataFrame, key: str, value: str) -> DataFrame:
+    """elbow() of a column, ranked in ranges instead of on the driver: one row (place, value, gap), the first of equal gaps (M7)."""
+    from .relational import numbered
+
+    rows = numbered(df.select(key, value), [value, key], "place")
+    ends = rows.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.max("place").alias("n"))
+    line = F.try_divide(F.col("place") - 1, F.col("n") - 1) - F.try_divide(F.col(value) - F.col("low"), F.col("high") - F.col("low"))
+    gaps = rows.crossJoin(F.broadcast(ends)).withColumn("gap", F.coalesce(F.round(line, 9), F.lit(0.0)))  # one row
+    return gaps.agg(F.max_by(F.struct("place", value, "gap"), F.struct("gap", -F.col("place"))).alias("e")).select("e.*")
+
+
+def counter(df: DataFrame, keys: Sequence[str], add, merge=F.sum) -> DataFrame:
+    """An aggregate of its own: each task starts from nothing and adds its rows (`add(counts, row)`), and tasks' parts are merged by key.
+
+    A task holds its keys' counts, which it hands on whenever there are 100 000.
+    """
+    import pandas as pd
+
+    from ..session import ship
+
+    ship(df.sparkSession)
+    names = [*keys, "n"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", n long"
+
+    def run(frames):
+        counts: dict = {}
+        for f in frames:
+            for row in f.itertuples(index=False):
+                add(counts, row)
+            if len(counts) > 100_000:
+                yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=names)
+                counts = {}
+        if counts:
+            yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=names)
+
+    return df.mapInPandas(run, schema).groupBy(*keys).agg(merge("n").alias("n"))

@@ -215,3 +215,60 @@ def interval_alignment(spark, sf_dir):
         return pd.DataFrame([(p.pair.iloc[0], p.utterance.iloc[0], *I.align_intervals(a, b))], columns=["pair", "utterance", "boundary_error", "error_rate", "n_matched"])
 
     return I.folded(f, ["pair", "utterance"], align, "pair long, utterance long, boundary_error double, error_rate double, n_matched long")
+
+
+@plan("W13", "SELECT conv_id, turn, CASE WHEN turn = max(turn) OVER w THEN count(*) OVER w - CAST(0.5 AS DOUBLE) * (count(*) OVER w - 1) ELSE CAST(0.5 AS DOUBLE) END AS seconds FROM conversations WINDOW w AS (PARTITION BY conv_id)")
+def utterance_durations(spark, sf):
+    """Durations of a conversation's turns from aligned words, found one after the other; the last one isn't among the words and has what is left."""
+    import pandas as pd
+
+    from ..operators import intervals as I
+
+    def run(pdf):
+        p = pdf.sort_values("turn")
+        words = [(f"{r} {t}".split()[0], float(k), k + 0.5) for k, (r, t) in enumerate(zip(p.role, p.turn))]
+        found = I.utterance_durations(words, [*([w] for w, _, _ in words[:-1]), ["missing"]], float(len(p)))
+        return pd.DataFrame({"conv_id": p.conv_id, "turn": p.turn, "seconds": found})
+
+    return I.folded(table(spark, sf, "conversations").select("conv_id", "turn", "role"), ["conv_id"], run, "conv_id long, turn long, seconds double")
+
+
+@plan(
+    "W14",
+    """
+WITH c AS (SELECT c_nationkey, c_custkey, c_mktsegment AS s, lead(c_mktsegment) OVER w AS next, lag(c_mktsegment) OVER w AS prev, row_number() OVER w - 1 AS i FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey))
+SELECT c_nationkey, 'MH' AS label, CAST(i AS DOUBLE) AS start, CAST(i + 2 AS DOUBLE) AS stop FROM c WHERE s = 'MACHINERY' AND next = 'HOUSEHOLD'
+UNION ALL SELECT c_nationkey, 'B' || h, i + h * CAST(0.5 AS DOUBLE), i + h * CAST(0.5 AS DOUBLE) + CAST(0.5 AS DOUBLE) FROM c, (VALUES (0), (1)) AS t(h) WHERE s = 'BUILDING'
+UNION ALL SELECT c_nationkey, s, CAST(i AS DOUBLE), CAST(i + 1 AS DOUBLE) FROM c
+WHERE s <> 'BUILDING' AND NOT (s = 'MACHINERY' AND coalesce(next, '') = 'HOUSEHOLD') AND NOT (s = 'HOUSEHOLD' AND coalesce(prev, '') = 'MACHINERY')""",
+)
+def phones_remapped(spark, sf):
+    """Labels of each nation's sequence: one becomes two that share its time, two in a row become one."""
+    import pandas as pd
+
+    from ..operators import intervals as I
+
+    def run(pdf):
+        labels = pdf.sort_values("c_custkey").c_mktsegment
+        rows = I.remap_phones([(s, float(i), i + 1.0) for i, s in enumerate(labels)], {"BUILDING": ["B0", "B1"]}, {("MACHINERY", "HOUSEHOLD"): "MH"})
+        return pd.DataFrame([(pdf.c_nationkey.iloc[0], *r) for r in rows], columns=["c_nationkey", "label", "start", "stop"])
+
+    return I.folded(table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_mktsegment"), ["c_nationkey"], run, "c_nationkey int, label string, start double, stop double")
+
+
+@plan(
+    "J12",
+    """
+WITH a AS (SELECT c_nationkey AS k, CAST(c_custkey AS DOUBLE) AS start, c_custkey + CAST(0.75 AS DOUBLE) AS stop, c_name AS label FROM customer),
+b AS (SELECT s_nationkey AS k, s_suppkey * CAST(7.5 AS DOUBLE) AS start, s_suppkey * CAST(7.5 AS DOUBLE) + 3 AS stop FROM supplier)
+SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.k = b.k AND a.stop > b.start AND a.start < b.stop) UNION ALL SELECT k, start, stop, 'oov' FROM b""",
+)
+def overlaps_replaced(spark, sf):
+    """Intervals that touch a cut give way to one interval for it."""
+    from ..operators import intervals as I
+
+    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    a = c.select(F.col("c_nationkey").alias("k"), F.col("c_custkey").cast("double").alias("begin"), (F.col("c_custkey") + F.lit(0.75).cast("double")).alias("stop"), F.col("c_name").alias("label"))
+    at = F.col("s_suppkey") * F.lit(7.5).cast("double")
+    b = s.select(F.col("s_nationkey").alias("k"), at.alias("cut_begin"), (at + 3).alias("cut_stop"))
+    return I.replace_overlaps(a, b, ["k"], 8.0).withColumnRenamed("begin", "start")

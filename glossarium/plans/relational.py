@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
-from ..session import table
+from ..session import shared_folder, table
 from .base import plan
 
 
@@ -65,7 +65,7 @@ def prompt_choice_with_fallback(spark, sf):
     return R.preferred(a, b, on, F.when(same, 0).otherwise(1), ["o_orderkey"], "other")
 
 
-@plan("K11 K18", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders")
+@plan("K11", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders")
 def bulk_update_snapshot(spark, sf):
     """An update from values, explicit nulls included, as a new snapshot."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
@@ -207,14 +207,14 @@ def timing_rollup(spark, sf):
     return table(spark, sf, "events").agg(F.round(F.sum("value"), 6).alias("inference"), F.round(a, 6).alias("audio"), F.when(a == 0, 0.0).otherwise(F.round(F.try_divide(F.sum("value"), a), 6)).alias("rtf"))
 
 
-@plan("A24 U6 W17", "SELECT coalesce(l_returnflag, 'all') AS flag, coalesce(l_linestatus, 'all') AS status, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+@plan("A24", "SELECT coalesce(l_returnflag, 'all') AS flag, coalesce(l_linestatus, 'all') AS status, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def rollup_distinct(spark, sf):
     """Beyond the inventory: grouping sets and distinct aggregates."""
     g = table(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("suppliers"))
     return g.select(F.coalesce("l_returnflag", F.lit("all")).alias("flag"), F.coalesce("l_linestatus", F.lit("all")).alias("status"), "n", "suppliers")
 
 
-@plan("U1 S21", "SELECT 'c' AS kind, c_custkey AS id, c_acctbal AS balance FROM customer UNION ALL SELECT 's', s_suppkey, s_acctbal FROM supplier")
+@plan("U1", "SELECT 'c' AS kind, c_custkey AS id, c_acctbal AS balance FROM customer UNION ALL SELECT 's', s_suppkey, s_acctbal FROM supplier")
 def union_all(spark, sf):
     c = table(spark, sf, "customer").select(F.lit("c").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
     return c.unionByName(table(spark, sf, "supplier").select(F.lit("s").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")))
@@ -240,7 +240,7 @@ def catalogue_union(spark, sf):
 def rule_closure(spark, sf):
     """Rewriting until nothing is new."""
     start = table(spark, sf, "events").select((F.col("user_id") + 200).alias("k")).distinct()
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    spark.sparkContext.setCheckpointDir(shared_folder(spark))
     step = lambda d: d.filter("k > 1").select(F.when(F.col("k") % 2 == 0, (F.col("k") / 2).cast("long")).otherwise(F.col("k") - 1).alias("k"))
     return R.closure(start, step, ["k"])
 
@@ -308,7 +308,7 @@ def cross_repeats(spark, sf):
     return table(spark, sf, "region").select("r_name", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("repeat_idx")).withColumn("sample_key", F.concat_ws("_", "r_name", "repeat_idx"))
 
 
-@plan("P16 S13", "SELECT event_id, coalesce(nullif(trim(event_type), ''), 'none') AS kind, coalesce(TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE), -1) AS k FROM events")
+@plan("P16", "SELECT event_id, coalesce(nullif(trim(event_type), ''), 'none') AS kind, coalesce(TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE), -1) AS k FROM events")
 def first_nonempty(spark, sf):
     e = table(spark, sf, "events").withColumn("digits", F.regexp_extract("props", "([0-9]+)", 1))
     return e.select("event_id", F.coalesce(R.first_filled("event_type"), F.lit("none")).alias("kind"), R.float_or(-1.0, "digits").alias("k"))
@@ -328,3 +328,96 @@ def min_total_words(spark, sf):
 @plan("K17", "SELECT event_id FROM events WHERE false")
 def truncate_intervals(spark, sf):
     return table(spark, sf, "events").select("event_id").limit(0)
+
+
+@plan(
+    "W17",
+    """
+SELECT o_orderkey, rank() OVER w AS place, dense_rank() OVER w AS dense_place, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS quarter,
+  round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS last_three,
+  count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS in_a_month
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)""",
+)
+def window_functions(spark, sf):
+    """Ranks with ties, quarters, and frames by rows and by time within each customer."""
+    o = table(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    by = Window.partitionBy("o_custkey")
+    rank, order = by.orderBy("o_orderpriority"), by.orderBy("o_orderdate", "o_orderkey")
+    month = by.orderBy(F.unix_micros("o_orderdate")).rangeBetween(-30 * 86_400_000_000, 0)
+    return o.select(
+        "o_orderkey", F.rank().over(rank).cast("long").alias("place"), F.dense_rank().over(rank).cast("long").alias("dense_place"), F.ntile(4).over(order).cast("long").alias("quarter"),
+        F.round(F.sum("o_totalprice").over(order.rowsBetween(-2, 0)), 2).alias("last_three"), F.count(F.lit(1)).over(month).alias("in_a_month"),
+    )
+
+
+SETS = """
+SELECT 'union' AS kind, k FROM (SELECT o_custkey AS k FROM orders UNION SELECT s_suppkey FROM supplier) UNION ALL
+SELECT 'intersect', k FROM (SELECT o_custkey AS k FROM orders INTERSECT SELECT s_suppkey FROM supplier) UNION ALL
+SELECT 'except', k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL
+SELECT 'except all', k FROM (SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer) UNION ALL
+SELECT 'intersect all', k FROM (SELECT o_custkey AS k FROM orders INTERSECT ALL SELECT l_suppkey FROM lineitem)"""
+
+
+@plan("U6", SETS)
+def set_operations(spark, sf):
+    """SQL's set operations, with and without repeats."""
+    return spark.sql(SETS.replace("FROM orders", "FROM {orders}").replace("FROM supplier", "FROM {supplier}").replace("FROM customer", "FROM {customer}").replace("FROM lineitem", "FROM {lineitem}"), **{t: table(spark, sf, t) for t in ("orders", "supplier", "customer", "lineitem")})
+
+
+@plan(
+    "J19",
+    """
+SELECT strategy, o_orderpriority, c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey CROSS JOIN (VALUES ('merge'), ('shuffle_hash'), ('broadcast')) AS s(strategy) GROUP BY ALL
+UNION ALL SELECT 'as of', o_orderpriority, event_type, count(*) FROM (
+  SELECT o_orderpriority, (SELECT event_type FROM events WHERE user_id = o_custkey % 100 AND ts <= timestamp '2024-01-01' + to_minutes(o_orderkey % 50000) ORDER BY ts DESC, event_id DESC LIMIT 1) AS event_type
+  FROM orders) GROUP BY ALL""",
+)
+def join_strategies(spark, sf):
+    """One equality join by each named strategy, and an as-of join by time as a running last value over both sides' rows."""
+    o, c, e = (table(spark, sf, t) for t in ("orders", "customer", "events"))
+    few = c.limit(200_001).count() <= 200_000  # a side is broadcast only if it is small; the others need no bound
+    out = []
+    for name in ("merge", "shuffle_hash", "broadcast"):
+        right = c.select("c_custkey", "c_mktsegment").hint(name if few or name != "broadcast" else "merge")
+        out.append(o.join(right, F.col("o_custkey") == F.col("c_custkey")).groupBy("o_orderpriority", "c_mktsegment").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("strategy"), "o_orderpriority", "c_mktsegment", "n"))
+    at = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(mins=(F.col("o_orderkey") % 50000).cast("int"))
+    left = o.select((F.col("o_custkey") % 100).alias("user_id"), at.alias("ts"), F.lit(1).alias("side"), "o_orderkey", "o_orderpriority")
+    R_ = e.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.lit(0).alias("side"), F.col("event_id").alias("o_orderkey"), "event_type")
+    both = left.unionByName(R_, allowMissingColumns=True)
+    last = F.last("event_type", ignorenulls=True).over(Window.partitionBy("user_id").orderBy("ts", "side", "o_orderkey"))
+    seen = both.withColumn("event_type", last).filter("side = 1").groupBy("o_orderpriority", F.col("event_type").alias("c_mktsegment")).agg(F.count(F.lit(1)).alias("n"))
+    out.append(seen.select(F.lit("as of").alias("strategy"), "o_orderpriority", "c_mktsegment", "n"))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@plan("T10", "SELECT p_partkey, length(p_name) - length(replace(p_name, 'e', '')) AS es, unnest(string_split(p_name, ' ')) AS word FROM part")
+def registered_functions(spark, sf):
+    """A function of a column and one that makes rows, registered by name and called from SQL."""
+    import pandas as pd
+
+    @F.pandas_udf("long")
+    def letter_count(s: pd.Series, letter: pd.Series) -> pd.Series:
+        return pd.Series([(a or "").count(b) for a, b in zip(s, letter)])
+
+    @F.udtf(returnType="word string")
+    class NameWords:
+        def eval(self, name: str):
+            for w in (name or "").split(" "):
+                yield (w,)
+
+    spark.udf.register("letter_count", letter_count)
+    spark.udtf.register("name_words", NameWords)
+    return spark.sql("SELECT p_partkey, letter_count(p_name, 'e') AS es, w.word FROM {part}, LATERAL name_words(p_name) w", part=table(spark, sf, "part"))
+
+
+@plan("F34", "SELECT n_name AS name, CASE WHEN n_regionkey = 0 THEN 0.5 ELSE CAST(n_nationkey AS DOUBLE) END AS rate, n_regionkey <> 1 AS flag, 'base' AS kind FROM nation")
+def config_overrides(spark, sf):
+    """A configuration for each nation on top of its region's, which is on top of a base; changes are given as text."""
+    from ..functions import config as C
+
+    rows = table(spark, sf, "nation").collect()  # 25 rows at any size
+    files = {"base": {"model": {"kind": "base", "rate": 1.0}, "flag": True}}
+    files |= {f"r{r}": {"extends": "base"} | ({"flag": False} if r == 1 else {}) for r in {x.n_regionkey for x in rows}}
+    files |= {x.n_name: {"extends": [f"r{x.n_regionkey}"], "model": {"rate": float(x.n_nationkey)}} for x in rows}
+    found = [(x.n_name, C.overridden(C.resolved(x.n_name, files.__getitem__), *(["model.rate=0.5"] if x.n_regionkey == 0 else []))) for x in rows]
+    return spark.createDataFrame([(n, float(c["model"]["rate"]), c["flag"], c["model"]["kind"]) for n, c in found], "name string, rate double, flag boolean, kind string")

@@ -33,7 +33,7 @@ def _clusters(spark, sf):
 CLUSTERS = "k AS (SELECT vec_id, CAST(label AS BIGINT) AS truth, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS cluster FROM embeddings)"
 
 
-@plan("A13 K4", f"WITH {CLUSTERS} SELECT truth, cluster, count(*) AS n FROM k GROUP BY truth, cluster")
+@plan("A13", f"WITH {CLUSTERS} SELECT truth, cluster, count(*) AS n FROM k GROUP BY truth, cluster")
 def confusion_counts(spark, sf):
     return S.confusion(_clusters(spark, sf), "truth", "cluster")
 
@@ -103,13 +103,13 @@ def classify_with_reject(spark, sf):
     return S.classified(e, S.centroids(table(spark, sf, "embeddings"), "label", "embedding"), "label", "embedding", 0.35).select("vec_id", "predicted", F.round("score", 6).alias("score"))
 
 
-@plan("M7 F29", f"WITH {PAIRS}, r AS (SELECT a, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM p) SELECT a AS query, round(1 - score, 5) AS distance FROM r WHERE k = 5")
+@plan("F29", f"WITH {PAIRS}, r AS (SELECT a, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM p) SELECT a AS query, round(1 - score, 5) AS distance FROM r WHERE k = 5")
 def knn_kth_distance(spark, sf):
     e = table(spark, sf, "embeddings")
     return S.neighbours(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 5).filter("rank = 5").select("query", F.round(F.round("distance", 6), 5).alias("distance"))
 
 
-@plan("M10 M6")
+@plan("M10")
 def kmeans_clusters(spark, sf):
     return S.kmeans(table(spark, sf, "embeddings"), "vec_id", "embedding", 10)
 
@@ -120,7 +120,7 @@ def ngram_counts(spark, sf):
     return S.ngrams(table(spark, sf, "conversations"), [], words, 2)
 
 
-@plan("M1 T8", """WITH l AS (SELECT DISTINCT l_returnflag AS word, l_linestatus AS pron FROM lineitem), n AS (SELECT l_returnflag AS word, l_linestatus AS pron, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY 1, 2),
+@plan("M1", """WITH l AS (SELECT DISTINCT l_returnflag AS word, l_linestatus AS pron FROM lineitem), n AS (SELECT l_returnflag AS word, l_linestatus AS pron, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY 1, 2),
 c AS (SELECT l.word, l.pron, coalesce(n, 0) + 1 AS c FROM l LEFT JOIN n ON l.word = n.word AND l.pron = n.pron), t AS (SELECT word, max(c) AS top FROM c GROUP BY word)
 SELECT c.word, pron, CASE WHEN c = top THEN 1.0::DOUBLE ELSE least(greatest(round_even(c / top, 2), 0.01::DOUBLE), 0.99::DOUBLE) END AS probability, c - 1 AS n FROM c JOIN t ON c.word = t.word""")
 def pronunciation_probability(spark, sf):
@@ -165,3 +165,28 @@ def transcript_verification(spark, sf):
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, sf, "conversations").withColumn("n", F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).withColumn("m", F.lead("n").over(w))
     return c.filter("m IS NOT NULL").select("conv_id", "turn", F.abs(F.col("n") - F.col("m")).cast("long").alias("extra"))
+
+
+@plan(
+    "M7",
+    f"""
+WITH {PAIRS}, r AS (SELECT a, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM p), d AS (SELECT a, round(1 - score, 5) AS v FROM r WHERE k = 5),
+n AS (SELECT row_number() OVER (ORDER BY v, a) AS place, v, min(v) OVER () AS low, max(v) OVER () AS high, count(*) OVER () AS n FROM d),
+g AS (SELECT place, v, round((place - 1) / (n - 1) - (v - low) / (high - low), 9) AS gap FROM n) SELECT place, v AS threshold FROM g ORDER BY gap DESC, place LIMIT 1""",
+)
+def knn_elbow(spark, sf):
+    """The distance at which sorted distances to the fifth neighbour bend."""
+    e = table(spark, sf, "embeddings")
+    near = S.neighbours(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 5).filter("rank = 5").select("query", F.round(F.round("distance", 6), 5).alias("v"))
+    return S.elbow_of(near, "query", "v").select("place", F.col("v").alias("threshold"))
+
+
+@plan("T8", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
+def merged_counters(spark, sf):
+    """Counts by a function that starts from nothing, adds rows and merges tasks' parts."""
+
+    def add(counts, row):
+        key = row.user_id, row.event_type
+        counts[key] = counts.get(key, 0) + 1
+
+    return S.counter(table(spark, sf, "events").select("user_id", "event_type"), ["user_id", "event_type"], add)

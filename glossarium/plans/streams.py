@@ -1,11 +1,9 @@
 """The stream plans over the stored events: as a stream that reads all that is there, and as a table."""
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import new_folder, table
 from ..streaming import events as E
 from .base import plan
 
@@ -14,8 +12,7 @@ from .base import plan
 def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly windows by event time, computed as a stream with a watermark."""
     schema = table(spark, sf, "events").schema
-    name = "tumbling_" + uuid.uuid4().hex
-    out = E.run_available(E.tumbling(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf))), name, _checkpoint(spark, name))
+    out = E.run_available(E.tumbling(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf))), new_folder(spark, "tumbling"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -26,21 +23,26 @@ def stream_session(spark, sf):
     return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
 
 
-def _checkpoint(spark: SparkSession, name: str) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/{name}"
-
-
 def _folder(spark: SparkSession, sf: str) -> str:
     """A folder that holds the events alone: a stream reads folders, and the stored table may be a single file."""
-    path = _checkpoint(spark, "events-" + uuid.uuid4().hex)
+    path = new_folder(spark, "events")
     table(spark, sf, "events").write.parquet(path)
     return path
 
 
-@plan("T6 M11 T2 T11")
+@plan("T6 M11")
 def belief_states(spark, sf):
     """A state for each user that is carried from batch to batch, over all batches that are there."""
-    name = "beliefs_" + uuid.uuid4().hex
     schema = table(spark, sf, "events").schema
-    out = E.run_available(E.aligned(spark.readStream.schema(schema).parquet(_folder(spark, sf))), name, _checkpoint(spark, name), "update")
+    out = E.run_available(E.aligned(spark.readStream.schema(schema).parquet(_folder(spark, sf))), new_folder(spark, "beliefs"), "update")
     return out.groupBy("user_id").agg(F.max(F.struct("steps", "state")).alias("m")).select("user_id", "m.steps", "m.state")
+
+
+@plan("T3 T5", "SELECT event_id, user_id, value FROM events")
+def stream_resumed(spark, sf):
+    """New files of a folder as a stream that is stopped and started again: its checkpoint keeps it from reading a file twice."""
+    schema, folder = table(spark, sf, "events").schema, _folder(spark, sf)
+    out, checkpoint = new_folder(spark, "stream-out"), new_folder(spark, "stream-checkpoint")
+    for _ in range(2):
+        E.to_folder(E.source(spark, folder, schema, 1), out, checkpoint).awaitTermination()
+    return spark.read.schema(schema).parquet(out).select("event_id", "user_id", "value")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import distance as D
 from ..functions import numbers as N
 from ..functions import text as X
-from ..session import table
+from ..session import ship, table
 from .base import plan
 
 ASCII = "regexp_replace(translate(text, '‘’“”–—', '''''\"\"--'), '[^\\x00-\\x7F]', '', 'g')"
@@ -37,13 +37,13 @@ def word_counts_per_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.word_count("text").cast("long").alias("n_words"))
 
 
-@plan("A12 K7 A5", "SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(string_split(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' ')) AS word FROM documents) WHERE word <> '' GROUP BY lang, word")
+@plan("A12 A5", "SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(string_split(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' ')) AS word FROM documents) WHERE word <> '' GROUP BY lang, word")
 def word_counts_by_dictionary(spark, sf):
     w = F.explode(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", " ")), " ")).alias("word")
     return table(spark, sf, "documents").select("lang", w).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 
-@plan("A12 K7 F7", """WITH w AS (SELECT doc_id, lang, unnest(string_split(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' ')) AS word FROM documents), k AS (SELECT DISTINCT word FROM w JOIN labels USING (doc_id))
+@plan("A12", """WITH w AS (SELECT doc_id, lang, unnest(string_split(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' ')) AS word FROM documents), k AS (SELECT DISTINCT word FROM w JOIN labels USING (doc_id))
 SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM w WHERE word <> '' AND word NOT IN (SELECT word FROM k) GROUP BY word HAVING count(*) > 1""")
 def oov_counts(spark, sf):
     """Words of no labelled text, by an anti join."""
@@ -93,7 +93,7 @@ def position_suffixes(spark, sf):
     return e.select("event_id", X.without_position("phone").alias("label"), X.position("phone").alias("position"), X.known_graphemes("event_type", "abcdefghijklm")[0].alias("known"))
 
 
-@plan("F36 S1", "SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, length(url) AS n FROM pages")
+@plan("F36", "SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, length(url) AS n FROM pages")
 def path_parts(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.element_at(F.split("url", "/"), -1).alias("name"), F.length("url").cast("long").alias("n"))
 
@@ -117,7 +117,7 @@ def probability_rounding(spark, sf):
     return table(spark, sf, "events").select("event_id", N.probability(F.col("value") / 99.7).alias("p"))
 
 
-@plan("F15 F16", "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS calm, CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS happy FROM events")
+@plan("F15", "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS calm, CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS happy FROM events")
 def emotion_one_hot(spark, sf):
     label = N.canonical("event_type", {"view": "calm", "click": "calm", "purchase": "happy"}, "other")
     v = N.one_hot(label, ["calm", "happy"])
@@ -143,7 +143,7 @@ def standardised_pairs(spark, sf):
     return e.filter("vec_id % 2 = 0").join(b, "vec_id").select("vec_id", F.round(N.standardised_mse("v", "w"), 5).alias("mse"))
 
 
-@plan("F20 F21 A18 K5")
+@plan("F20 F21 A18")
 def wer_cer(spark, sf):
     """Edits of neighbouring turns, and the rates of each role."""
     from ..session import ship
@@ -163,13 +163,13 @@ def character_errors(spark, sf):
     return a.groupBy("role").agg(F.sum(F.levenshtein("a", "b")).cast("long").alias("edits"), F.sum(F.length("a")).cast("long").alias("n"))
 
 
-@plan("F24 M2", "SELECT event_type, regexp_replace(event_type, '([aeiou])(c|k)', '\\1g', 'g') AS rewritten, count(*) AS n FROM events GROUP BY event_type")
+@plan("M2", "SELECT event_type, regexp_replace(event_type, '([aeiou])(c|k)', '\\1g', 'g') AS rewritten, count(*) AS n FROM events GROUP BY event_type")
 def rule_rewrite(spark, sf):
     """A rule in its context as a built-in replacement."""
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", F.regexp_replace("event_type", "([aeiou])(c|k)", "$1g").alias("rewritten"), "n")
 
 
-@plan("F30 F31 W9 W10 F22")
+@plan("F30 F31 W9 W10")
 def warp_path_pchip(spark, sf):
     """Warping paths through each user's anchors, and a resampled channel."""
     import numpy as np
@@ -187,3 +187,58 @@ def warp_path_pchip(spark, sf):
         return pd.DataFrame({"user_id": p.user_id.iloc[0], "frame": np.arange(frames), "source": path, "value": out[:, 0]})
 
     return I.folded(table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value"), ["user_id"], warp, "user_id long, frame long, source double, value double")
+
+
+@plan(
+    "F16",
+    """
+WITH e AS (SELECT event_id, abs(value) / 100.0 AS x FROM events), v AS (SELECT event_id, [x * 0.5, x * 0.25, 0.25] AS v, x * 0.5 + x * 0.25 + 0.25 AS s FROM e)
+SELECT event_id, round(CASE WHEN s > 0.8 THEN v[1] * 0.8 / s ELSE v[1] END, 9) AS first, round(CASE WHEN s > 0.8 THEN v[3] * 0.8 / s ELSE v[3] END, 9) AS third FROM v""",
+)
+def emotion_biased(spark, sf):
+    """A vector times a bias, scaled down where its sum is over the cap."""
+    x = F.abs("value") / 100
+    v = N.biased(F.array(x, x, F.lit(1.0)), [0.5, 0.25, 0.25])
+    return table(spark, sf, "events").select("event_id", v.alias("v")).select("event_id", F.round(F.col("v")[0], 9).alias("first"), F.round(F.col("v")[2], 9).alias("third"))
+
+
+@plan(
+    "F22",
+    """
+WITH p AS (SELECT p_type, p_partkey, p_name FROM part) SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS BIGINT) AS edits, len(string_split(p_name, ' ')) + CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS length FROM p""",
+)
+def label_errors(spark, sf):
+    """Least edits over all pairs of alternative pronunciations, with that gold's length."""
+    import pandas as pd
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for key, name in zip(f.p_partkey, f.p_name):
+                words = name.split(" ")
+                said = [["q1", "q2", *words]] if key % 2 == 0 else [["q3", *words]]
+                out.append((key, *D.label_error([["q1", "q2", *words], ["q1", *words]], said)))
+            yield pd.DataFrame(out, columns=["p_partkey", "edits", "length"])
+
+    p = table(spark, sf, "part").select("p_partkey", "p_name")
+    ship(spark)
+    return p.mapInPandas(run, "p_partkey long, edits long, length long")
+
+
+@plan(
+    "F24",
+    r"""
+SELECT p_partkey, regexp_replace(regexp_replace('s m ' || lower(p_type) || ' t', ' t$', ' d'), '^s m ', 'z m ') AS rewritten FROM part""",
+)
+def phonological_rules(spark, sf):
+    """Rules that are data: a segment in its context, at the word's end and at its beginning."""
+    import pandas as pd
+
+    ship(spark)
+
+    def run(frames):
+        rules = [D.rewriter("t", "", "$", "d"), D.rewriter("s", "^", "m", "z")]
+        for f in frames:
+            yield pd.DataFrame({"p_partkey": f.p_partkey, "rewritten": [rules[1](rules[0](p)) for p in f.phones]})
+
+    return table(spark, sf, "part").select("p_partkey", F.concat(F.lit("s m "), F.lower("p_type"), F.lit(" t")).alias("phones")).mapInPandas(run, "p_partkey long, rewritten string")

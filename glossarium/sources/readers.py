@@ -48,7 +48,7 @@ def whole_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
 
 def transcripts(spark: SparkSession, path: str, durations: DataFrame | None = None) -> DataFrame:
     """One utterance a file from 0 to its duration, -1 without a sound (S3). durations: (stem, duration)."""
-    t = whole_texts(spark, path, "*.{lab,txt}").select(X.stem("path").alias("stem"), F.trim(X.nfkc("body")).alias("text"))
+    t = whole_texts(spark, path, "*.{lab,txt}").select(X.stem("path").alias("stem"), F.btrim(X.nfkc("body"), F.lit(" \t\r\n")).alias("text"))
     if durations is None:
         return t.withColumn("begin", F.lit(0.0)).withColumn("end", F.lit(-1.0))
     return t.join(durations, "stem", "left").select("stem", "text", F.lit(0.0).alias("begin"), F.coalesce("duration", F.lit(-1.0)).alias("end"))

@@ -53,9 +53,25 @@ def textgrids(intervals: DataFrame, short: bool = False) -> DataFrame:
     return snapped(intervals).select("path", "speaker", "kind", "begin", "end", "label", "duration").groupBy("path").applyInPandas(run, "path string, body string")
 
 
-def by_file(df: DataFrame, folder: str) -> None:
-    """Bodies as Parquet partitions by file, from which a copy to single files can be made anywhere."""
-    df.write.mode("overwrite").parquet(folder)
+def saved(df: DataFrame, folder: str) -> int:
+    """Writes each (name, body) as a file of a shared folder, in tasks, and counts them; a task that is run again writes the same files (K1, K2)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        local = re.match(r"^(?:file:/*)?(?=/)|^file:/+", folder)
+        system, root = (fs.LocalFileSystem(), "/" + re.sub(r"^file:", "", folder).lstrip("/")) if local else fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, body in zip(*(c.to_pylist() for c in batch.columns)):
+                system.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{root}/{name}") as out:
+                    out.write(body.encode() if isinstance(body, str) else body)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    return df.select("name", "body").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def report(df: DataFrame, path: str, order: Sequence[Column | str]) -> None:

@@ -35,10 +35,18 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     return g.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "user_id", "n")
 
 
-def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Everything that is there now, as the rows of a memory table."""
-    stream.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(table)
+def run_available(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Everything that is there now: each batch's output as a table of a shared folder, of which the last is the result of a complete mode."""
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")  # a batch that is run again replaces what it wrote
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out")
+    if mode == "complete":
+        rows = rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")
 
 
 def to_folder(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
