@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -101,5 +101,6 @@ def standardised_mse(source: str | Column, other: str | Column) -> Column:
 def padded(df: DataFrame, vector: str, batch: str, name: str = "padded") -> DataFrame:
     """Vectors filled up with zeros to the longest of their batch, and their lengths."""
     size = F.size(vector)
-    most = F.max(size).over(Window.partitionBy(batch))
-    return df.withColumn("length", size.cast("long")).withColumn(name, F.concat(F.col(vector), F.array_repeat(F.lit(0.0), (most - size).cast("int"))))
+    most = df.groupBy(F.col(batch).alias("_batch")).agg(F.max(size).alias("_most"))  # a number a batch: vectors aren't shuffled for it
+    wide = df.join(most, F.col(batch).eqNullSafe(F.col("_batch"))).withColumn("length", size.cast("long"))
+    return wide.withColumn(name, F.concat(F.col(vector), F.array_repeat(F.lit(0.0), (F.col("_most") - size).cast("int")))).drop("_batch", "_most")

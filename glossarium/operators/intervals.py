@@ -66,21 +66,21 @@ def containing(points: DataFrame, intervals: DataFrame, by: Sequence[str], point
     """
     bucket = lambda c: F.floor(c / width).cast("long")
     spans = intervals.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(begin) - slack), bucket(F.col(stop) + slack))))
-    p = points.withColumn("_bucket", bucket(F.col(point))).withColumn("_row", F.monotonically_increasing_id())
-    hit = p.select(*by, "_bucket", point, "_row").join(spans, [*by, "_bucket"]).filter((F.col(point) >= F.col(begin) - slack) & (F.col(point) <= F.col(stop) + slack))
+    at = points.select(*by, point).distinct().withColumn("_bucket", bucket(F.col(point)))  # equal points have the same interval
+    hit = at.join(spans, [*by, "_bucket"]).filter((F.col(point) >= F.col(begin) - slack) & (F.col(point) <= F.col(stop) + slack))
     extra = [c for c in intervals.columns if c not in by]
-    first = hit.groupBy(*by, "_row").agg(F.min(F.struct(begin, stop, *[c for c in extra if c not in (begin, stop)])).alias("_first"))
-    return p.join(first, [*by, "_row"], how).select(*points.columns, *[F.col(f"_first.{c}").alias(c) for c in extra])
+    first = hit.groupBy(*by, point).agg(F.min(F.struct(begin, stop, *[c for c in extra if c not in (begin, stop)])).alias("_first"))
+    return points.join(first, [*by, point], how).select(*points.columns, *[F.col(f"_first.{c}").alias(c) for c in extra])
 
 
 def without_overlaps(df: DataFrame, cuts: DataFrame, by: Sequence[str], width: float) -> DataFrame:
     """Intervals (begin, stop) that touch none of the cuts (cut_begin, cut_stop) of their group."""
     bucket = lambda c: F.floor(c / width).cast("long")
-    a = df.withColumn("_row", F.monotonically_increasing_id())
-    spread = a.select(*by, "begin", "stop", "_row", F.explode(F.sequence(bucket(F.col("begin")), bucket(F.col("stop")))).alias("_bucket"))
+    key = [*by, "begin", "stop"]  # equal intervals touch the same cuts
+    spread = df.select(*key).distinct().withColumn("_bucket", F.explode(F.sequence(bucket(F.col("begin")), bucket(F.col("stop")))))
     spans = cuts.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("cut_begin")), bucket(F.col("cut_stop")))))
-    hit = spread.join(spans, [*by, "_bucket"]).filter((F.col("stop") > F.col("cut_begin")) & (F.col("begin") < F.col("cut_stop"))).select("_row").distinct()
-    return a.join(hit, "_row", "left_anti").drop("_row")
+    hit = spread.join(spans, [*by, "_bucket"]).filter((F.col("stop") > F.col("cut_begin")) & (F.col("begin") < F.col("cut_stop"))).select(*key).distinct()
+    return df.join(hit, key, "left_anti")
 
 
 def replace_overlaps(df: DataFrame, cuts: DataFrame, by: Sequence[str], width: float, label: str = "oov") -> DataFrame:

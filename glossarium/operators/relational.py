@@ -160,7 +160,9 @@ def split(df: DataFrame, key: str, share: float, seed: int, name: str = "split")
 
 def round_robin(df: DataFrame, by: str, order: Sequence[str], n: int, name: str = "pool") -> DataFrame:
     """Rows dealt to n pools within each group."""
-    return ranked(df, [by], order, "_n").withColumn(name, ((F.col("_n") - 1) % n).cast("long")).drop("_n")
+    place = numbered(df, [by, *order], "_n")  # in ranges over all groups, so that a large group is many tasks
+    first = place.groupBy(F.col(by).alias("_by")).agg(F.min("_n").alias("_first"))
+    return place.join(first, F.col(by).eqNullSafe(F.col("_by"))).withColumn(name, ((F.col("_n") - F.col("_first")) % n).cast("long")).drop("_n", "_by", "_first")
 
 
 def greedy_loads(counts: Sequence[tuple[object, int]], jobs: int) -> dict[object, int]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,9 +13,24 @@ from ..functions import numbers as N
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
-    """Count, mean, population deviation, extremes and exact linear quartiles (A4)."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(value).alias("max"))
+    """Count, mean, population deviation, extremes and exact linear quartiles (A4). Quartiles are looked up by rank in ranges, so no task holds all values."""
+    from .relational import numbered
+
+    rows = df.select(value).filter(F.col(value).isNotNull())
+    n, ranks = rows.count(), numbered(rows, [value], "_place")
+    whole = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    places = {q: 1 + (n - 1) * q for q in (0.25, 0.5, 0.75)}
+    at = sorted({int(p) + k for p in places.values() for k in (0, 1)})
+    picked = ranks.filter(F.col("_place").isin(at)).agg(*[F.max(F.when(F.col("_place") == p, F.col(value))).alias(f"_{p}") for p in at])  # six rows at most
+    out = whole.crossJoin(F.broadcast(picked))  # one row each
+    quartile = lambda p: F.col(f"_{int(p)}") + (F.coalesce(F.col(f"_{int(p) + 1}"), F.col(f"_{int(p)}")) - F.col(f"_{int(p)}")) * (p % 1)
+    return out.select("n", "mean", "std", "min", *[quartile(p).alias(f"p{int(100 * q)}") for q, p in places.items()], "max")
+
+
+def in_blocks(df: DataFrame, key: str, most: int = 10_000) -> list[DataFrame]:
+    """df in parts of about `most` rows by a hash of the key, which may be broadcast one after the other."""
+    parts = -(-df.count() // most)
+    return [df] if parts <= 1 else [df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
 
 
 def histogram(df: DataFrame, value: str, width: float = 1.0) -> DataFrame:
@@ -126,12 +142,15 @@ def centred(df: DataFrame, vector: str) -> DataFrame:
 
 def classified(df: DataFrame, centres: DataFrame, label: str, vector: str, threshold: float) -> DataFrame:
     """The label of the centre with the largest cosine, or UNKNOWN below a threshold (M8, F28). Centres are one row a class; their number is checked."""
-    few = centres.limit(100_001).count() <= 100_000
-    c = centres.select(F.col(label).alias("_label"), F.col("centroid").alias("_c"))
-    scored = df.select("*", N.doubles(vector).alias("_v")).crossJoin(F.broadcast(c) if few else c).withColumn("_score", F.round(N.cosine("_v", "_c"), 9))
-    best = scored.groupBy(*df.columns).agg(F.min(F.struct((-F.col("_score")).alias("s"), "_label")).alias("_b"))
+    if centres.limit(100_001).count() > 100_000:
+        raise ValueError("more than 100 000 classes")
+    # all centres as one value, so that the best is found within the row and no vector is shuffled
+    all_ = centres.agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid").alias("c"))).alias("_centres"))
+    scored = df.select("*", N.doubles(vector).alias("_v")).crossJoin(F.broadcast(all_))
+    best = F.array_min(F.transform("_centres", lambda e: F.struct((-F.round(N.cosine("_v", e["c"]), 9)).alias("s"), e["label"].alias("label"))))
+    scored = scored.withColumn("_b", best)
     score = -F.col("_b.s")
-    return best.select(*df.columns, score.alias("score"), F.when(score < threshold, F.lit("UNKNOWN")).otherwise(F.col("_b._label").cast("string")).alias("predicted"))
+    return scored.select(*df.columns, score.alias("score"), F.when(score < threshold, F.lit("UNKNOWN")).otherwise(F.col("_b.label").cast("string")).alias("predicted"))
 
 
 def neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, blocks: int = 8) -> DataFrame:
@@ -139,10 +158,13 @@ def neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, k: in
     query before the blocks are merged, so no task sees all rows of one query."""
     q = queries.select(F.col(key).alias("query"), N.unit(N.doubles(vector)).alias("_q"))
     b = base.select(F.col(key).alias("other"), N.unit(N.doubles(vector)).alias("_b"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-    scored = b.crossJoin(F.broadcast(q)).filter("query <> other").select("query", "block", "other", F.round(1 - N.dot("_q", "_b"), 9).alias("distance"))
-    for by in (["query", "block"], ["query"]):
-        scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("distance", "other")).cast("long")).filter(F.col("rank") <= k)
-    return scored.drop("block")
+    parts = []
+    for some in in_blocks(q, "query"):  # each is broadcast and meets all rows
+        scored = b.crossJoin(F.broadcast(some)).filter("query <> other").select("query", "block", "other", F.round(1 - N.dot("_q", "_b"), 9).alias("distance"))
+        for by in (["query", "block"], ["query"]):
+            scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("distance", "other")).cast("long")).filter(F.col("rank") <= k)
+        parts.append(scored.drop("block"))
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 def elbow(sorted_values: Sequence[float]) -> float:
@@ -166,7 +188,9 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 10, seed:
     near = None
     for _ in range(rounds):
         c = spark.createDataFrame([(i, m) for i, m in means.items()], "cluster long, m array<double>")
-        near = rows.crossJoin(F.broadcast(c)).groupBy(key).agg(F.min(F.struct(F.round(N.euclidean("v", "m"), 9).alias("d"), "cluster")).alias("b"), F.first("v").alias("v")).select(key, "v", F.col("b.cluster").alias("cluster"))
+        c = c.agg(F.collect_list(F.struct("cluster", "m")).alias("means"))  # one row of k means: the nearest is found within each row
+        near = rows.crossJoin(F.broadcast(c)).withColumn("b", F.array_min(F.transform("means", lambda e: F.struct(F.round(N.euclidean("v", e["m"]), 9).alias("d"), e["cluster"].alias("cluster")))))
+        near = near.select(key, "v", F.col("b.cluster").alias("cluster"))
         new = {r.cluster: list(r.centroid) for r in centroids(near, "cluster", "v").collect()}
         if all(max(abs(x - y) for x, y in zip(means[i], m)) < 1e-12 for i, m in new.items()):
             break

@@ -1,5 +1,7 @@
 """Statistics and models over the stored tables."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +69,8 @@ def _pairs(spark, sf):
     """Every twentieth vector against all others."""
     e = table(spark, sf, "embeddings").select("vec_id", "label", N.doubles("embedding").alias("v"))
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.col("v").alias("va"))
-    return e.crossJoin(F.broadcast(q)).filter("a <> vec_id").select("a", F.col("vec_id").alias("b"), (F.col("la") == F.col("label")).alias("same"), F.round(N.cosine("va", "v"), 6).alias("score"))
+    met = [e.crossJoin(F.broadcast(some)).filter("a <> vec_id") for some in S.in_blocks(q, "a")]
+    return reduce(DataFrame.unionByName, [m.select("a", F.col("vec_id").alias("b"), (F.col("la") == F.col("label")).alias("same"), F.round(N.cosine("va", "v"), 6).alias("score")) for m in met])
 
 
 @plan("J15 F28", f"WITH {PAIRS} SELECT a, b, same, score FROM p")
