@@ -5,9 +5,10 @@ classes and ids of all open elements, hashed), by its hashed words and by a few
 written in numpy, reads the whole sequence of a page's blocks, so that each is labelled in sight of all others. It is trained
 on the driver, once a process and with a fixed seed, on pages that are made up here from layouts with known labels.
 
-Defined cases: null or empty html has an empty text; what isn't shown (scripts, styles, templates, comments, the head) is no
-block; a line break inside a block is white space; tags, comments and scripts that don't end reach to the page's end; repeated
-rows are extracted each; other columns are ignored. Nothing is cut off or capped.
+Defined cases: null or empty html has an empty text; what isn't shown (scripts, styles, templates, comments, the head, elements with `hidden` or
+`display: none`) is no block; a line break inside a block is white space; tags, comments and scripts that don't end reach to the page's end; very long and
+deeply nested pages are read whole, in time in proportion to their length; repeated rows and null identifiers are extracted each; an empty table gives
+an empty result; other columns are ignored. Nothing is cut off or capped.
 """
 
 from __future__ import annotations
@@ -35,46 +36,87 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<(/?[a-zA-Z])[^>]*(?:>|\Z)", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 PATHS, WORDS, NUMBERS = 192, 64, 8
 WIDTH = PATHS + WORDS + NUMBERS
 
 
+def _slots(n: int) -> HashCache:
+    return HashCache(200_000, lambda word: zlib.crc32(word.encode("utf-8", "surrogatepass")) % n)
+
+
+PATH_SLOT, WORD_SLOT = _slots(PATHS), _slots(WORDS)
+
+
+class Element:
+    """An open element: its names, those above it as a set of slots, and where the next element that isn't inline lies at or below it on the stack."""
+
+    __slots__ = ("above", "name", "names", "slots", "last", "base", "link", "hidden")
+
+    def __init__(self, above: Element | None, name: str, names: list[str], at: int, hidden: bool):
+        self.above, self.name, self.names = above, name, names
+        self.slots, self.last = (above.slots, above.last) if above else (0, None)
+        for n in names:
+            if n not in INLINE:
+                self.slots |= 1 << PATH_SLOT[n]
+                self.last = n
+        self.base = at if name not in INLINE else above.base if above else -1
+        self.link = name == "a" or (above is not None and above.link)
+        self.hidden = hidden or (above is not None and above.hidden)
+
+
 class Block:
-    __slots__ = ("path", "text", "link")
+    __slots__ = ("element", "text", "link")
+
+    def __init__(self, element: Element | None, text: str, link: int):
+        self.element, self.text, self.link = element, text, link
+
+    @property
+    def path(self) -> list[str]:
+        """Names of all open elements, the outermost first."""
+        out, e = [], self.element
+        while e:
+            out.append(e.names)
+            e = e.above
+        return [n for names in reversed(out) for n in names]
 
-    def __init__(self, path: list[str], text: str, link: int):
-        self.path, self.text, self.link = path, text, link
+
+def unseen(attributes: str) -> bool:
+    """Whether an element's attributes say that it isn't shown."""
+    low = attributes.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    values = {m[1]: (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(low)}
+    return "hidden" in values and values["hidden"] != "until-found" or bool(re.search(r"(?:^|;)\s*display\s*:\s*none", values.get("style", "")))
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks of a page, in page order."""
+    """Leaf blocks of a page, in page order. The work is in proportion to the page: nothing is copied or looked through once per open element."""
     out: list[Block] = []
-    stack: list[tuple[str, list[str]]] = []  # element, its names
+    stack: list[Element] = []
+    places: dict[str, list[int]] = {}  # where the open elements of a name lie on the stack
     run: list[str] = []
-    inside = {"link": 0, "hidden": 0}
     linked = 0
 
     def end() -> None:
         nonlocal linked
         text = " ".join("".join(run).split())
         if text:
-            out.append(Block([n for _, names in stack for n in names], text, linked))
+            out.append(Block(stack[-1] if stack else None, text, linked))
         run.clear()
         linked = 0
 
     def pop(k: int) -> None:
-        for name, _ in stack[k:]:
-            inside["link"] -= name == "a"
-            inside["hidden"] -= name in HIDDEN
-        del stack[k:]
+        while len(stack) > k:
+            places[stack.pop().name].pop()
 
     def put(text: str) -> None:
         nonlocal linked
-        if text and not inside["hidden"]:
+        if text and not (stack and stack[-1].hidden):
             text = html.unescape(text) if "&" in text else text
             run.append(text)
-            if inside["link"]:
+            if stack and stack[-1].link:
                 linked += len(text)
 
     at = 0
@@ -89,24 +131,22 @@ def blocks_of(page: str) -> list[Block]:
         elif name == "br":
             run.append(" ")
         if m[1]:
-            if (k := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)) >= 0:
-                pop(k)
+            if places.get(name):
+                pop(places[name][-1])
             continue
         if name in VOID:
             continue
-        if name not in INLINE:
-            closed = CLOSES.get(name, ())
-            k = len(stack)
-            while k and (stack[k - 1][0] in INLINE or stack[k - 1][0] == "p" or stack[k - 1][0] in closed):
-                k -= 1
-            if any(x == "p" or x in closed for x, _ in stack[k:]):
-                pop(k)
+        if name not in INLINE and stack:
+            closed, k, ends = CLOSES.get(name, ()), stack[-1].base, False
+            while k >= 0 and (stack[k].name == "p" or stack[k].name in closed):
+                k, ends = stack[k - 1].base if k else -1, True
+            if ends:
+                pop(k + 1)
         names = [name]
         for value in NAMED.findall(m[3] or ""):
             names += ["." + p for p in PART.findall(html.unescape("".join(value)).lower())]
-        stack.append((name, names))
-        inside["link"] += name == "a"
-        inside["hidden"] += name in HIDDEN
+        places.setdefault(name, []).append(len(stack))
+        stack.append(Element(stack[-1] if stack else None, name, names, len(stack), name in HIDDEN or unseen(m[3] or "")))
         if name in RAW:  # what is inside isn't markup
             stop = re.compile(rf"</{name}\b", re.I).search(page, at)
             if name == "textarea":
@@ -117,21 +157,16 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def _slots(n: int) -> HashCache:
-    return HashCache(200_000, lambda word: zlib.crc32(word.encode("utf-8", "surrogatepass")) % n)
-
-
-PATH_SLOT, WORD_SLOT = _slots(PATHS), _slots(WORDS)
 DIGIT = re.compile(r"\d")
 
 
 def vectors(blocks: list[Block]) -> np.ndarray:
     """One row for each block."""
     x = np.zeros((len(blocks), WIDTH), np.float32)
+    sets = b"".join((b.element.slots if b.element else 0).to_bytes(PATHS // 8, "little") for b in blocks)
+    x[:, :PATHS] = np.unpackbits(np.frombuffer(sets, np.uint8).reshape(len(blocks), PATHS // 8), axis=1, bitorder="little")
     for i, b in enumerate(blocks):
-        tags = [n for n in b.path if n not in INLINE]
-        for n in {*tags, "last " + tags[-1] if tags else "none"}:
-            x[i, PATH_SLOT[n]] = 1
+        x[i, PATH_SLOT["last " + b.element.last if b.element and b.element.last else "none"]] = 1
         words = b.text.lower().split()
         counts = np.bincount(list(map(WORD_SLOT.__getitem__, words)), minlength=WORDS)
         x[i, PATHS : PATHS + WORDS] = counts / np.sqrt(len(words))

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import os
 import re
+import time
 import zlib
 
 import numpy as np
@@ -520,6 +521,33 @@ def test_blocks():
     assert H.blocks_of("") == [] and [b.text for b in H.blocks_of("a < b &copy &#x41; <i unclosed")] == ["a < b © A"]
 
 
+def test_blocks_of_deep_and_broken_pages():
+    """Nesting, tags that never end and inline elements that never end cost time in proportion to the page."""
+    for page, n in (("<div>a" * 60_000, 60_000), ("<b>" * 60_000 + "<div>x</div>" * 20_000, 20_000), ("<div><p>a</span>" * 30_000, 30_000), ("<div>" * 60_000 + "a" + "</section>" * 60_000, 1), ("<li><i>a" * 30_000, 30_000)):
+        t = time.time()
+        blocks = H.blocks_of(page)
+        assert len(blocks) == n and H.vectors(blocks[-50:]).shape[0] == min(50, n) and time.time() - t < 10
+    deep = H.blocks_of("<main class='post body'><div id=x><p>one <b>two")[0]
+    assert deep.path == ["main", ".post", ".body", "div", ".x", "p", "b"]
+    slots = {H.PATH_SLOT[n] for n in ["main", ".post", ".body", "div", ".x", "p", "last p"]}
+    assert set(np.flatnonzero(H.vectors([deep])[0, : H.PATHS]).tolist()) == slots
+
+
+def test_blocks_that_are_not_shown():
+    page = "<p hidden>a</p><p style='color:red; display : none'>b<p class='hidden none'>c<div hidden=until-found>d</div><div data-x='hidden'>e</div><div hidden><div>f</div></div><p>g"
+    assert [b.text for b in H.blocks_of(page)] == ["c", "d", "e", "g"]
+
+
+def test_extraction_of_odd_rows(spark):
+    long = "<article>" + "<p>word one two</p>" * 3000 + "</article>"
+    rows = [(None, None, None, "x", 1), (1, "u", "", "x", 1), (1, "u", "", "x", 1), (2, "u", "plain", "x", 1), (3, "u", "<" * 5000, "x", 1), (4, "u", long, "x", 1), (5, "u", "<div>" * 5000 + "z", "x", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long").repartition(3)
+    got = H.extract(df).collect()
+    assert sorted(r.page_id or 0 for r in got) == [0, 1, 1, 2, 3, 4, 5] and all(r.n_chars == len(r.text) for r in got)
+    assert {r.page_id: r.text for r in got}[4].count("word one two") == 3000
+    assert H.extract(df.limit(0)).count() == 0
+
+
 def test_html_extraction(spark):
     model = H.trained_labeller()
     wrong = total = 0
