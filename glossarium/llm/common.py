@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import new_folder, ship
 
 #: Rows and bytes of an Arrow batch: whole texts are long, so batches stay small.
 ARROW_ROWS, ARROW_BYTES = 256, 32 << 20
@@ -24,19 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a local one where that is unset (as in tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later steps restart from these files."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,7 +40,7 @@ class Tables:
 
     def write(self, df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
         """Like written()."""
-        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        path = new_folder(self.spark, name)
         df.write.options(**(options or {})).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.kept.append((out, path))

@@ -6,8 +6,8 @@ Rows that hit a digest seen elsewhere are compared byte by byte with the row tha
 are grouped again by their text.
 
 Defined cases: a null text is the empty text; all empty texts are one group; of equal texts the longest original stays,
-then the smallest identifier (null last), then the row written first, so exactly one of repeated rows stays; an empty
-table gives an empty result; columns beyond identifier and text are ignored or, in `kept_rows`, passed through.
+then the smallest identifier (null last), then the row written first, so exactly one of repeated rows stays; very long texts are read and compared whole;
+an empty table gives an empty result; columns beyond identifier and text are ignored or, in `kept_rows`, passed through.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .common import table, written
 WHITE = r"[\x20\x09-\x0D]+"
 #: Digests of groups that may be broadcast (16 bytes each in the hash table); more are joined by a shuffle.
 BROADCAST_DIGESTS = 200_000
+#: Copies that are compared with the row that stays in one task.
+SPLIT = 4096
 #: Numbers of dropped rows that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -76,12 +78,13 @@ class DigestIndex:
 
     def impostors(self, level1: DataFrame) -> DataFrame:
         """Rows whose digest is that of the row that stays, but not their bytes."""
-        shared = level1.filter("n > 1").select("digest", "keep_seq")
+        shared = level1.filter("n > 1").select("digest", "keep_seq", F.ceil(F.col("n") / SPLIT).alias("parts"))
         few = shared.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
         hits = self.level0().select("digest", "seq", "body").join(F.broadcast(shared) if few else shared, "digest")
-        stays = hits.filter("seq = keep_seq").select("digest", normalised(F.col("body")).alias("kept_bytes"))
-        rest = hits.filter("seq <> keep_seq").select("digest", "seq", normalised(F.col("body")).alias("bytes"))
-        return written(rest.join(stays, "digest").filter("bytes <> kept_bytes").select("digest", "seq", "bytes"), "lsm-impostors")
+        # the text that stays goes once to each SPLIT of its copies, so that a text which a third of all rows share is many tasks
+        stays = hits.filter("seq = keep_seq").select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), normalised(F.col("body")).alias("kept_bytes"))
+        rest = hits.filter("seq <> keep_seq").select("digest", F.pmod(F.xxhash64("seq"), "parts").alias("part"), "seq", normalised(F.col("body")).alias("bytes"))
+        return written(rest.join(stays, ["digest", "part"]).filter("bytes <> kept_bytes").select("digest", "seq", "bytes"), "lsm-impostors")
 
     def resolve(self) -> DataFrame:
         """Per row: seq, id, sha, keep_id, keep_seq, group_size."""

@@ -68,8 +68,9 @@ def test_exact_dedup(spark):
     assert E.exact_dedup(empty(spark)).count() == 0
 
 
-def test_exact_dedup_verifies_bytes(spark):
-    """With digests of one character most hits are impostors; the result is the same."""
+def test_exact_dedup_verifies_bytes(spark, monkeypatch):
+    """With digests of one character most hits are impostors; the result is the same, and copies of one text are dealt to several tasks."""
+    monkeypatch.setattr(E, "SPLIT", 3)
     df = spark.createDataFrame([(i, f"text {i % 9} " + " " * (i % 3)) for i in range(60)], "doc_id long, text string")
     key = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     weak = E.exact_dedup(df, digest=lambda sha: F.substr(sha, F.lit(1), F.lit(1)))
