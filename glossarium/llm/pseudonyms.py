@@ -7,14 +7,17 @@ always gets the same pseudonym, in every document and run, and under the key the
 - Card numbers (13 to 19 digits with a valid Luhn digit): all digits but the last are permuted, the last is computed. Of the groups
   of digits next to each other, from left to right: usual layouts first (unbroken; groups of four; 4, 6 and 4 or 5), else the longest that make up a
   valid number. A group is not split. Groups without a valid number count as one value found.
-- Account numbers (IBAN, valid modulo 97): digits and letters after the check digits are permuted, the check digits are computed.
-- Dates (1900 to 2099; year-month-day, or day and month first with dots or slashes): the day's number is permuted among all days of these years.
+- Account numbers (IBAN, valid modulo 97, in capitals or not, unbroken or in groups of four): digits and letters after the check digits are permuted, the
+  check digits are computed. Of groups, the longest row from the first on that makes up a valid number counts.
+- Dates (1900 to 2099; year-month-day, or day and month first with dots or slashes): the day's number is permuted among the days of its decade.
 - Internet addresses (four numbers up to 255): the 32-bit number is permuted.
-- Phone numbers with a country code, social security numbers: all digits after the country code are permuted.
+- Phone numbers with a country code or in the form 555-123-4567 or (555) 123-4567, social security numbers: all digits after the country code are permuted.
 - Mail addresses: the part before the @ is permuted. Access keys, and values of password, token, secret or key: the value is permuted.
 
-Values that fail their check are left as they are. Defined cases: a null text is empty; an empty text stays empty; rows with equal identifiers
-are rewritten each; other columns are ignored. The work on a text is in proportion to its length.
+The key is a parameter without a default, and reaches the plan as a value of a one-row table, so that no plan shows it. Values that fail their check are
+left as they are, and so are kinds not named here (version 6 and hardware addresses among them). Defined cases: a null text is empty; an empty text stays
+empty; rows with equal or null identifiers are rewritten each; very long texts are read whole, with work in proportion to their length; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,22 +28,25 @@ from pyspark.sql import functions as F
 from .common import table
 
 ROUNDS = 6
-#: Days from 1900-01-01 to 2099-12-31: 17 * 4297.
-DAYS = (17, 4297)
+#: Days of a decade, by whether it has three leap years or two: 13 * 281 and 44 * 83.
+DECADES = {3653: (13, 281), 3652: (44, 83)}
+#: The setting that holds the query's key, and the key of a session without it.
+SETTING, EXAMPLE = "spark.glossarium.pseudonymKey", "example key, for data that needs none"
 
 #: Fixed formats, most special first.
 SECRET = r"(?i:\b(?:password|passwd|token|secret|api[_-]?key)\s*[=:]\s*\"?)[A-Za-z0-9+/_-]{8,}+"
 ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,8}\.[A-Za-z]{2,}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?:[A-Za-z0-9]{11,30}|(?: [A-Za-z0-9]{4}){2,7}(?: [A-Za-z0-9]{1,3})?)(?![A-Za-z0-9])"
+LOCAL = r"(?<![\d-])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?![\d-])"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)"
 DATE = r"(?<![\d.])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?![\d])"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 #: A stretch of groups of digits that may hold card numbers, up to where a value of another kind begins.
-NEXT = f"[ -](?!{'|'.join((MAIL, DATE, SOCIAL, ADDRESS))})"
+NEXT = f"[ -](?!{'|'.join((MAIL, LOCAL, DATE, SOCIAL, ADDRESS))})"
 DIGITS = rf"(?<!\d)(?=\d(?:(?:{NEXT})?\d){{12}})\d++(?:{NEXT}\d++)*+"
-ANY = "|".join((SECRET, ACCESS, MAIL, IBAN, PHONE, DATE, SOCIAL, ADDRESS, DIGITS))
+ANY = "|".join((SECRET, ACCESS, MAIL, IBAN, PHONE, LOCAL, DATE, SOCIAL, ADDRESS, DIGITS))
 
 
 def _quoted(pattern: str) -> str:
@@ -53,8 +59,8 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def _number(key: str, *parts: str) -> str:
-    """A keyed number from 0 to 2**60 - 1."""
-    return f"cast(conv(substr(sha2(concat_ws('|', '{key}', {', '.join(parts)}), 256), 1, 15), 16, 10) as bigint)"
+    """A keyed number from 0 to 2**60 - 1. `key` is an expression."""
+    return f"cast(conv(substr(sha2(concat_ws('|', {key}, {', '.join(parts)}), 256), 1, 15), 16, 10) as bigint)"
 
 
 def _shifted(value: str, hexes: str) -> str:
@@ -70,7 +76,7 @@ def _shifted(value: str, hexes: str) -> str:
 def _characters(value: str, key: str) -> str:
     """A permutation of the strings of one format: a Feistel network over their halves. `value` is a name."""
     half = f"cast(length({value}) / 2 as int)"
-    stream = f"sha2(concat_ws('|', '{key}', cast(r as string), cast(length({value}) as string), z.b), 256)"
+    stream = f"sha2(concat_ws('|', {key}, cast(r as string), cast(length({value}) as string), z.b), 256)"
     step = _let("h", stream, _shifted("z.a", "h"))
     return f"""aggregate(sequence(1, {ROUNDS}), named_struct('a', substr({value}, 1, {half}), 'b', substr({value}, {half} + 1)),
         (z, r) -> named_struct('a', z.b, 'b', {step}), z -> concat(z.a, z.b))"""
@@ -92,7 +98,7 @@ def _luhn(digits: str) -> str:
 
 def _mod97(account: str) -> str:
     """An account number's remainder, with its first four characters moved to the end and letters as 10 to 35."""
-    return f"""aggregate(split(concat(substr({account}, 5), substr({account}, 1, 4)), ''), 0, (s, c) ->
+    return f"""aggregate(split(upper(concat(substr({account}, 5), substr({account}, 1, 4))), ''), 0, (s, c) ->
         case when c >= '0' and c <= '9' then (s * 10 + cast(c as int)) % 97 else (s * 100 + ascii(c) - 55) % 97 end)"""
 
 
@@ -103,30 +109,38 @@ def _laid_out(layout: str, digits: str) -> str:
 
 
 def _kinds(key: str) -> str:
-    """The pseudonym of the value `m`."""
+    """The pseudonym of the value `m`; `key` is the name of a column."""
+    use = lambda kind: f"concat({key}, '|{kind}')"
     whole = lambda p: f"m rlike {_quoted('^(?:' + p + ')$')}"
     plain = lambda d: f"regexp_replace({d}, '[^0-9]', '')"
 
     prefix = r"^(?i:(?:password|passwd|token|secret|api[_-]?key)\s*[=:]\s*\"?)"
-    secret = _let("p", f"regexp_extract(m, {_quoted(prefix)}, 0)", _let("v", "substr(m, length(p) + 1)", f"concat(p, {_characters('v', key + '|secret')})"))
-    access = _let("v", "substr(m, 5)", f"concat(substr(m, 1, 4), {_characters('v', key + '|access')})")
-    mail = _let("v", "substring_index(m, '@', 1)", f"concat({_characters('v', key + '|mail')}, substr(m, length(v) + 1))")
-    body = _let("v", "substr(m, 5)", f"concat(substr(m, 1, 2), '00', {_characters('v', key + '|iban')})")
-    iban = _let("w", body, f"concat(substr(w, 1, 2), lpad(cast(98 - {_mod97('w')} as string), 2, '0'), substr(w, 5))")
-    iban = f"case when {_mod97('m')} = 1 then {iban} else m end"
-    country = _let("p", r"regexp_extract(m, '^\\+[0-9]+', 0)", _let("v", plain("substr(m, length(p) + 1)"), _let("w", _characters("v", key + "|phone"), f"concat(p, {_laid_out('substr(m, length(p) + 1)', 'w')})")))
-    social = _let("v", plain("m"), _let("w", _characters("v", key + "|social"), _laid_out("m", "w")))
+    secret = _let("p", f"regexp_extract(m, {_quoted(prefix)}, 0)", _let("v", "substr(m, length(p) + 1)", f"concat(p, {_characters('v', use('secret'))})"))
+    access = _let("v", "substr(m, 5)", f"concat(substr(m, 1, 4), {_characters('v', use('access'))})")
+    mail = _let("v", "substring_index(m, '@', 1)", f"concat({_characters('v', use('mail'))}, substr(m, length(v) + 1))")
+    body = _let("v", "substr(e, 5)", f"concat(substr(e, 1, 2), '00', {_characters('v', use('iban'))})")
+    iban = _let("e", "regexp_replace(array_join(slice(g, 1, n), ''), ' ', '')", _let("w", body, f"concat(substr(w, 1, 2), lpad(cast(98 - {_mod97('w')} as string), 2, '0'), substr(w, 5))"))
+    valid = _let("c", "regexp_replace(array_join(slice(g, 1, n), ''), ' ', '')", f"case when length(c) between 15 and 34 then {_mod97('c')} = 1 else false end")
+    longest = f"coalesce(array_max(filter(sequence(1, size(g)), n -> {valid})), 0)"
+    spaced = "concat(regexp_replace(i, '(.{4})(?=.)', case when n > 1 then '$1 ' else '$1' end), array_join(slice(g, n + 1, size(g) - n), ''))"
+    iban = _let("g", "regexp_extract_all(m, ' ?[A-Za-z0-9]+', 0)", _let("n", longest, f"case when n = 0 then m else {_let('i', iban, spaced)} end"))
+    country = _let("p", r"regexp_extract(m, '^\\+[0-9]+', 0)", _let("v", plain("substr(m, length(p) + 1)"), _let("w", _characters("v", use("phone")), f"concat(p, {_laid_out('substr(m, length(p) + 1)', 'w')})")))
+    local = _let("v", plain("m"), _let("w", _characters("v", use("phone")), _laid_out("m", "w")))
+    social = _let("v", plain("m"), _let("w", _characters("v", use("social")), _laid_out("m", "w")))
     day = "coalesce(try_to_timestamp(m, 'yyyy-MM-dd'), try_to_timestamp(translate(m, './', '--'), 'dd-MM-yyyy'), try_to_timestamp(translate(m, './', '--'), 'MM-dd-yyyy'))"
-    new = _let("n", "cast(datediff(cast(t as date), date'1900-01-01') as bigint)", f"date_add(date'1900-01-01', cast({_pair('n', key + '|date', *DAYS)} as int))")
+    start = "make_date(cast(floor(year(t) / 10) * 10 as int), 1, 1)"
+    days = "datediff(add_months(s, 120), s)"
+    among = "case " + " ".join(f"when {days} = {size} then {_pair('n', f'concat({use("date")}, year(s))', *sides)}" for size, sides in DECADES.items()) + " end"
+    new = _let("s", start, _let("n", "cast(datediff(cast(t as date), s) as bigint)", f"date_add(s, cast({among} as int))"))
     form = "case when m like '____-%' then 'yyyy-MM-dd' when try_to_timestamp(translate(m, './', '--'), 'dd-MM-yyyy') is not null then concat('dd', substr(m, 3, 1), 'MM', substr(m, 6, 1), 'yyyy') else concat('MM', substr(m, 3, 1), 'dd', substr(m, 6, 1), 'yyyy') end"
     # a date that can be read both ways is read day first
     date = _let("t", day, f"case when t is null then m else {_let('d', new, f'date_format(d, {form})')} end")
     octets = "transform(split(m, '[.]'), x -> cast(x as bigint))"
-    four = _let("n", "o[0] * 16777216 + o[1] * 65536 + o[2] * 256 + o[3]", _let("w", _pair("n", key + "|address", 65536, 65536), "concat_ws('.', w div 16777216, (w div 65536) % 256, (w div 256) % 256, w % 256)"))
+    four = _let("n", "o[0] * 16777216 + o[1] * 65536 + o[2] * 256 + o[3]", _let("w", _pair("n", use("address"), 65536, 65536), "concat_ws('.', w div 16777216, (w div 65536) % 256, (w div 256) % 256, w % 256)"))
     address = _let("o", octets, f"case when exists(o, x -> x > 255) then m else {four} end")
-    digits = _let("v", "substr(d, 1, length(d) - 1)", _let("w", _characters("v", key + "|card"), f"concat(w, cast((10 - {_luhn("concat(w, '0')")} % 10) % 10 as string))"))
+    digits = _let("v", "substr(d, 1, length(d) - 1)", _let("w", _characters("v", use("card")), f"concat(w, cast((10 - {_luhn("concat(w, '0')")} % 10) % 10 as string))"))
     card = lambda m: _let("d", plain(m), _let("e", digits, _laid_out(m, "e")))
-    cases = ((SECRET, secret), (ACCESS, access), (MAIL, mail), (IBAN, iban), (PHONE, country), (DATE, date), (SOCIAL, social), (ADDRESS, address))
+    cases = ((SECRET, secret), (ACCESS, access), (MAIL, mail), (IBAN, iban), (PHONE, country), (LOCAL, local), (DATE, date), (SOCIAL, social), (ADDRESS, address))
     one = _let("w", "case " + " ".join(f"when {whole(p)} then {f}" for p, f in cases) + " end", "named_struct('text', w, 'found', 1, 'replaced', cast(w <> m as int))")
     return f"case when {' or '.join(whole(p) for p, _ in cases)} then {one} else {_cards(card)} end"
 
@@ -154,13 +168,12 @@ def _cards(card) -> str:
     return _let("g", "regexp_extract_all(m, '[ -]?[0-9]+', 0)", _let("u", f"transform(sequence(1, size(g)), i -> {usual})", _let("at", places, made)))
 
 
-def pseudonymised(docs: DataFrame, key: str = "k1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, text with pseudonyms, n_found (values of a known format) and n_replaced."""
-    if "'" in key or "\\" in key:
-        raise ValueError("the key holds a quote or a backslash")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    secret = docs.sparkSession.createDataFrame([(key,)], "key string").scalar()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), secret.alias("key"))
     rows = rows.withColumn("found", F.expr(f"regexp_extract_all(body, {_quoted(ANY)}, 0)"))
-    rows = rows.withColumn("made", F.expr(f"transform(found, m -> {_kinds(key)})"))
+    rows = rows.withColumn("made", F.expr(f"transform(found, m -> {_kinds("key")})"))
     joined = f"array_join(zip_with(split(body, {_quoted(ANY)}, -1), made, (p, m) -> concat(p, coalesce(m.text, ''))), '')"
     return rows.select(
         "doc_id",
@@ -171,5 +184,5 @@ def pseudonymised(docs: DataFrame, key: str = "k1", id_col: str = "doc_id", text
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of `documents` with its personal data and secrets replaced."""
-    return pseudonymised(table(spark, sf_dir, "documents"))
+    """Every whole text of `documents` with its personal data and secrets replaced. A session that works on real data sets SETTING."""
+    return pseudonymised(table(spark, sf_dir, "documents"), spark.conf.get(SETTING, EXAMPLE))

@@ -472,7 +472,7 @@ def py_characters(v, key):
 def test_pseudonyms(spark):
     card, mail = "4111111111111111", "ann.b42@mail8.example.com"
     texts = [f"card {card}, {mail}!", f"{mail} 4111-1111-1111-1111 and {card}", "4111111111111112 and 300.1.1.1 and 1987-02-30", "born 1987-02-28, 28.02.1987; +1 (017) 555-7713 at 144.137.247.239", "DE89370400440532013000 078-05-1120 password=562cadd56fde", "", None]
-    got = {r.doc_id: r for r in S.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in S.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k1").collect()}
     new = got[0].text.split()[1].strip(",")
     assert new != card and luhn(new) and new[:-1] == py_characters(card[:-1], "k1|card")
     assert got[1].text.split()[-1] == new and got[1].text.split()[1].replace("-", "") == new and got[1].text.split()[1][4] == "-"
@@ -484,13 +484,13 @@ def test_pseudonyms(spark):
     iban = got[4].text.split()[0]
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and iban != "DE89370400440532013000"
     assert got[5].text == got[6].text == ""
-    assert S.pseudonymised(odd_rows(spark)).count() == 11 and S.pseudonymised(empty(spark)).count() == 0
+    assert S.pseudonymised(odd_rows(spark), "k1").count() == 11 and S.pseudonymised(empty(spark), "k1").count() == 0
 
 
 def test_card_numbers_next_to_other_digits(spark):
     card, four, eight = "4845168114407329", "4111 1111 1111 1111", "41111111-11111111"
     texts = [f"{card} 170.106.47.218", f"{four} 12/27", f"order 12 {card}", f"{card} 1987-02-28", f"{card} 078-05-1120", f"{card} 12bob@mail.com", f"12 {four} 123", f"1234 56 7 {eight} 99 88 {eight}", f"{card} {card}", "1 " * 30_000]
-    got = {r.doc_id: r for r in S.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in S.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k1").collect()}
     assert luhn(card)
     for i, t in enumerate(texts[:9]):
         assert not any(v in got[i].text for v in (card, four, eight, "170.106.47.218", "1987-02-28", "078-05-1120", "12bob")), t
@@ -500,17 +500,60 @@ def test_card_numbers_next_to_other_digits(spark):
     assert len(got[9].text) == 60_000
     last = next(d for d in "0123456789" if luhn("411111111111111211" + d))
     broken = [f"4111 1111 1111 1112 11{last}", f"1234 {four}", f"{four} {four}", "411111111111 1111", "1234-" + four.replace(" ", "-"), "4111111111111112 " + card]
-    got = {r.doc_id: r for r in S.pseudonymised(spark.createDataFrame(list(enumerate(broken)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in S.pseudonymised(spark.createDataFrame(list(enumerate(broken)), "doc_id long, text string"), "k1").collect()}
     assert [got[i].n_replaced for i in range(6)] == [1, 1, 2, 1, 1, 1]
     assert got[1].text.startswith("1234 ") and got[4].text.startswith("1234-") and got[5].text.startswith("4111111111111112 ")
 
 
 def test_pseudonyms_are_permutations(spark):
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("1.0."), F.floor(F.col("id") / 256), F.lit("."), F.col("id") % 256, F.lit(" "), F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd")).alias("text"))
-    out = [r.text.split(" ") for r in S.pseudonymised(df).collect()]
+    out = [r.text.split(" ") for r in S.pseudonymised(df, "k1").collect()]
     assert len({a for a, _ in out}) == len({b for _, b in out}) == 2000
-    assert S.pseudonymised(df).filter("n_replaced < 1").count() == 0
-    assert "Python" not in S.pseudonymised(df)._jdf.queryExecution().toString()
+    assert S.pseudonymised(df, "k1").filter("n_replaced < 1").count() == 0
+    assert "Python" not in S.pseudonymised(df, "k1")._jdf.queryExecution().toString()
+
+
+def test_pseudonyms_of_each_kind_are_permutations(spark):
+    """Different values have different pseudonyms of the same format, equal ones equal pseudonyms, and checks still hold."""
+
+    def account(i):
+        body = f"DE00{i:018d}"
+        return f"DE{98 - int(''.join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97:02d}{i:018d}"
+
+    def card(i):
+        return next(f"4{i:014d}{d}" for d in range(10) if luhn(f"4{i:014d}{d}"))
+
+    n = 400
+    kinds = {
+        "card": [card(i) for i in range(n)], "iban": [account(i) for i in range(n)], "phone": [f"+1 555 123 {i:04d}" for i in range(n)], "local": [f"555-123-{i:04d}" for i in range(n)],
+        "area": [f"(555) 123-{i:04d}" for i in range(n)], "social": [f"123-45-{i:04d}" for i in range(n)], "mail": [f"a{i:03d}@b.org" for i in range(n)],
+        "secret": [f"password=abcd{i:04d}" for i in range(n)], "address": [f"10.1.{i // 200}.{i % 200}" for i in range(n)], "date": [str(pd.Timestamp("1990-01-01") + pd.Timedelta(days=i))[:10] for i in range(3652)],
+    }
+    rows = [(k, f"x {v} y") for k, values in kinds.items() for v in [*values, values[7]]]
+    got = collections.defaultdict(list)
+    made = S.pseudonymised(spark.createDataFrame(rows, "doc_id string, text string").repartition(4), "k2").collect()
+    for r in made:
+        got[r.doc_id].append(r.text[2:-2])
+    for kind, values in kinds.items():
+        new = got[kind]
+        assert len(new) == len(values) + 1 and len(set(new)) == len(values), kind
+        shape = lambda v: re.sub(r"[a-z]", "a", re.sub(r"\d+" if kind == "address" else r"\d", "9", v))  # noqa: B023, E731
+        assert set(map(shape, values)) == set(map(shape, new)), kind
+    assert all(luhn(v) for v in got["card"]) and all(int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1 for v in got["iban"])
+    assert set(got["date"]) == set(kinds["date"])
+
+
+def test_spaced_accounts_and_hidden_keys(spark):
+    compact = "DE89370400440532013000"
+    texts = ["DE89 3704 0044 0532 0130 00", compact, compact.lower(), "de89 3704 0044 0532 0130 00.", "DE89 3704 0044 0532 0130 00 1234", "AB12 WORD WORD WORD", "call (555) 123-4567 or 555-123-4567", "born 12/25/1990"]
+    df = S.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "hidden ' key")
+    got = {r.doc_id: r.text for r in df.collect()}
+    assert got[0].replace(" ", "") == got[1] != compact and [len(x) for x in got[0].split()] == [4, 4, 4, 4, 4, 2]
+    assert got[2] != compact.lower() and got[2] == got[2].lower() and got[3].replace(" ", "") == got[2] + "." and got[4] == got[0] + " 1234" and got[5] == texts[5]
+    area, plain = re.fullmatch(r"call (\(\d{3}\) \d{3}-\d{4}) or (\d{3}-\d{3}-\d{4})", got[6]).groups()
+    assert re.sub(r"\D", "", area) == re.sub(r"\D", "", plain) != "5551234567"
+    assert got[7].endswith(tuple(str(y) for y in range(1990, 2000))) and got[7] != texts[7]
+    assert "hidden ' key" not in df._jdf.queryExecution().toString()
 
 
 # pages
