@@ -20,17 +20,20 @@ texts are read whole; an empty table on either side gives an empty result; other
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name, mix64, small_batches, table, word_hash
+from .tokens import LETTERS, MARKS_BEHIND, Table
 
 WIDTH = 5
 #: Least share of an item's distinct windows, or least run of its windows, and least share of consistent slots.
@@ -46,6 +49,7 @@ UNITS = frozenset(
     "dollar dollars euro euros pound pounds cent cents percent usd eur gbp % $ € £ °".split()
 )
 WORD, NUMBER, MARK, TITLE, UNIT = range(5)
+LOWER, CAPITALISED = f"^[{LETTERS}]+$", "^[A-Z][a-z]+$"
 PLACE = {NUMBER: np.uint64(0x1111111111111111), TITLE: np.uint64(0x2222222222222222), UNIT: np.uint64(0x3333333333333333)}
 
 
@@ -60,45 +64,105 @@ def _token(token: str) -> tuple[int, int]:
     return word_hash(low), kind
 
 
-class Templates:
-    """Templates of texts; hashes and kinds of tokens are kept while there is room."""
-
-    def __init__(self, keep: int = 400_000):
-        self.keep = keep
-        self.clear()
+class Codes(dict):
+    """token -> number, with the hash and kind of each; a token that isn't there is added."""
 
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.hashes: list[int] = []
-        self.kinds: list[int] = []
+    def __init__(self):
+        super().__init__()
+        self.hashes, self.kinds = array("Q"), array("b")
         self.arrays = (np.zeros(0, np.uint64), np.zeros(0, np.int8))
 
+    def __missing__(self, token: str) -> int:
+        h, k = _token(token)
+        self.hashes.append(h)
+        self.kinds.append(k)
+        code = self[token] = len(self.hashes) - 1
+        return code
+
+    def extend(self, words: list[str], kind: int | None) -> np.ndarray:
+        """Adds lower-case words without looking whether they are there; kind: what all of them are, or words and units."""
+        n = len(self.hashes)
+        self.hashes.extend(map(word_hash, words))
+        self.kinds.extend([UNIT if w in UNITS else WORD for w in words] if kind is None else [kind] * len(words))
+        return np.arange(n, len(self.hashes), dtype=np.uint32)
+
+    def columns(self) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.arrays[0])
+        if n < len(self.hashes):
+            new = np.array(self.hashes[n:], np.uint64), np.array(self.kinds[n:], np.int8)
+            self.arrays = np.concatenate([self.arrays[0], new[0]]), np.concatenate([self.arrays[1], new[1]])
+        return self.arrays
+
+
+class Templates:
+    """Templates of texts; tokens' numbers are kept while there is room."""
+
+    def __init__(self, keep: int = 1_000_000):
+        self.keep, self.at = keep, Codes()
+
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
         """Hash and kind of each template word, all tokens, and the place of each template word among them."""
         tokens = TOKEN.findall(text)
         if len(self.at) > self.keep:
-            self.clear()
-        at = self.at
-        for t in [t for t in set(tokens) if t not in at]:
-            h, k = _token(t)
-            at[t] = len(self.hashes)
-            self.hashes.append(h)
-            self.kinds.append(k)
-        if len(self.arrays[0]) < len(self.hashes):
-            n = len(self.arrays[0])
-            self.arrays = (np.concatenate([self.arrays[0], np.array(self.hashes[n:], np.uint64)]), np.concatenate([self.arrays[1], np.array(self.kinds[n:], np.int8)]))
-        codes = np.fromiter(map(at.__getitem__, tokens), np.int64, len(tokens))
-        hashes, kinds = self.arrays[0][codes], self.arrays[1][codes]
-        before = np.concatenate([[MARK], kinds[:-1]]) if len(kinds) else kinds
-        kinds = np.where((kinds == TITLE) & (before == MARK), WORD, kinds)  # a sentence's first word is no name
-        kinds = np.where((kinds == UNIT) & (before != NUMBER), WORD, kinds)
-        places = np.flatnonzero(kinds != MARK)
-        hashes, kinds = hashes[places], kinds[places]
-        for kind, h in PLACE.items():
-            hashes[kinds == kind] = h
+            self.at = Codes()
+        codes = np.fromiter(map(self.at.__getitem__, tokens), np.int64, len(tokens))
+        hashes, kinds = (c[codes] for c in self.at.columns())
+        hashes, kinds, places = typed(hashes, kinds)
         return hashes, kinds, tokens, places
 
 
+class Chunks:
+    """Tokens of whole batches as numbers: Arrow cuts texts at blanks and numbers the distinct chunks, each new one is tokenised once."""
+
+    def __init__(self, keep: int = 500_000):
+        self.keep = keep
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.codes = Table(), Codes()
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the texts' tokens, end to end, and where each text's end. A line's end is read as a full stop, which is the same kind of mark."""
+        array = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " . ")
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(array, MARKS_BEHIND, r"\1 \2\3"))
+        numbered = lists.flatten().dictionary_encode()
+        if self.known.entries > self.keep or self.known.used > 16 * self.keep:
+            self.clear()
+        distinct, at = numbered.dictionary.to_pylist(), self.known.at
+        self.learn([w for w in distinct if w not in at])
+        which = np.fromiter(map(at.__getitem__, distinct), np.int64, len(distinct))
+        codes, sizes = self.known.gather(which[numbered.indices.to_numpy()] if len(distinct) else which)
+        return codes, np.concatenate([[0], np.cumsum(sizes)])[lists.offsets.to_numpy()[1:]]
+
+
+    def learn(self, new: list[str]) -> None:
+        """Puts chunks into the table; lower-case and capitalised words of Latin letters, as most are, without looking at each."""
+        array = pa.array(new, pa.large_string())
+        low, title = (pc.match_substring_regex(array, p) for p in (LOWER, CAPITALISED))
+        for kind, some in ((None, array.filter(low)), (TITLE, array.filter(title))):
+            words = some.to_pylist()
+            codes = self.codes.extend(words if kind is None else pc.ascii_lower(some).to_pylist(), kind)
+            self.known.add(words, codes, np.arange(1, len(words) + 1))
+        rest = array.filter(pc.invert(pc.or_(low, title))).to_pylist()
+        parts = [TOKEN.findall(w) for w in rest]
+        flat = [t for some in parts for t in some]
+        codes = np.fromiter(map(self.codes.__getitem__, flat), np.uint32, len(flat))
+        self.known.add(rest, codes, np.cumsum([len(some) for some in parts], dtype=np.int64))
+
+
+def typed(hashes: np.ndarray, kinds: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, kind and place of the template words among tokens; starts: where texts begin."""
+    before = np.roll(kinds, 1)
+    before[starts if starts is not None else slice(0, 1)] = MARK
+    kinds = np.where((kinds == TITLE) & (before == MARK), WORD, kinds)  # a sentence's first word is no name
+    kinds = np.where((kinds == UNIT) & (before != NUMBER), WORD, kinds)
+    places = np.flatnonzero(kinds != MARK)
+    hashes, kinds = hashes[places], kinds[places]
+    for kind, h in PLACE.items():
+        hashes[kinds == kind] = h
+    return hashes, kinds, places
+
+
 def windows(hashes: np.ndarray) -> np.ndarray:
     """Hash of each window."""
     n = len(hashes)
@@ -147,11 +211,25 @@ class Index:
         self.hash, self.item, self.place = map(np.concatenate, columns)
         order = np.lexsort((self.place, self.item, self.hash))
         self.hash, self.item, self.place = self.hash[order], self.item[order], self.place[order]
-        bits = max(16, (8 * len(self.hash)).bit_length())
+        bits = max(20, (8 * len(self.hash)).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.filter = np.zeros(1 << bits, bool)  # by a hash's low bits; at most an eighth is set
         self.filter[self.hash & self.mask] = True
 
+    def holders(self, texts: list[str], chunks: Chunks) -> np.ndarray:
+        """Numbers of the texts that hold one of the windows, or are shorter than a window."""
+        codes, ends = chunks(texts)
+        hashes, kinds = (c[codes] for c in chunks.codes.columns())
+        starts = np.concatenate([[0], ends[:-1]])
+        hashes, _, places = typed(hashes, kinds, starts[starts < len(kinds)])
+        ends = np.searchsorted(places, ends)
+        sizes = np.diff(np.concatenate([[0], ends]))
+        w = windows(hashes) if len(hashes) >= WIDTH else np.zeros(0, np.uint64)
+        some = np.flatnonzero(self.filter[w & self.mask])
+        some = some[np.searchsorted(self.hash, w[some], "left") < np.searchsorted(self.hash, w[some], "right")]
+        text = np.searchsorted(ends, some, "right")
+        return np.union1d(text[some + WIDTH <= ends[text]], np.flatnonzero((sizes > 0) & (sizes < WIDTH)))
+
     def matches(self, text: str, make: Templates) -> list[tuple[int | None, float, int, int, float]]:
         """(item, share of its windows, longest run, slots, share of consistent slots) for each item that the text holds."""
         if not len(self.hash):
@@ -159,8 +237,10 @@ class Index:
         hashes, _, tokens, places = make(text)
         w = windows(hashes)
         found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for p in np.flatnonzero(self.filter[w & self.mask]).tolist():
-            a, b = int(np.searchsorted(self.hash, w[p], "left")), int(np.searchsorted(self.hash, w[p], "right"))
+        some = np.flatnonzero(self.filter[w & self.mask])
+        low, high = (np.searchsorted(self.hash, w[some], side) for side in ("left", "right"))
+        met = low < high
+        for p, a, b in zip(some[met].tolist(), low[met].tolist(), high[met].tolist()):
             for k in range(a, b):
                 found[int(self.item[k])].append((p - int(self.place[k]), int(self.place[k]), int(w[p])))
         out = []
@@ -247,7 +327,7 @@ def _blocks(benchmark: DataFrame, size: int) -> Iterator[Index]:
 def with_matches(docs: DataFrame, benchmark: DataFrame, column: str, block: int = BLOCK) -> DataFrame:
     """docs with the items that each row's whole text holds, empty where none."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1024)  # the more texts, the fewer times a chunk is looked up
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("share", T.DoubleType()), T.StructField("run", T.IntegerType()), T.StructField("slots", T.IntegerType()), T.StructField("consistent", T.DoubleType())]))
     out = docs
     parts = []
@@ -255,9 +335,12 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, column: str, block: int
         kept, at, name = spark.sparkContext.broadcast(index), out.columns.index("text"), free_name(out, f"{column}_{n}")
 
         def run(batches: Iterator[pa.RecordBatch], kept=kept, at=at, name=name) -> Iterator[pa.RecordBatch]:
-            make, arrow = Templates(), pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("run", pa.int32()), ("slots", pa.int32()), ("consistent", pa.float64())]))
+            make, chunks, arrow = Templates(), Chunks(), pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("run", pa.int32()), ("slots", pa.int32()), ("consistent", pa.float64())]))
             for batch in batches:
-                found = [[dict(zip(("item_id", "share", "run", "slots", "consistent"), m)) for m in kept.value.matches(t or "", make)] for t in batch.column(at).to_pylist()]
+                texts = [t or "" for t in batch.column(at).to_pylist()]
+                found: list[list[dict]] = [[] for _ in texts]
+                for k in kept.value.holders(texts, chunks):
+                    found[k] = [dict(zip(("item_id", "share", "run", "slots", "consistent"), m)) for m in kept.value.matches(texts[k], make)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], [*batch.schema.names, name])
 
         out = out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(name, kind)]))
