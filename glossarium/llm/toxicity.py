@@ -103,7 +103,7 @@ class Machine:
         return self.constant + float(self.weights[slots].sum()) + 0.5 * float(total @ total - (v * v).sum())
 
 
-def ratio(cells: list[np.ndarray], n: list[int]) -> np.ndarray:
+def ratio(cells: list[list[np.ndarray]], n: list[int]) -> np.ndarray:
     """The G statistic of tables of two labels: cells[i][k] counts label k in cell i; n[k] of all texts have label k."""
     total, g = sum(n), 0.0
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -123,27 +123,29 @@ def telling(rows: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.n
         there[int(y)][r] += 1  # a text's slots are distinct
     n = [int((label == k).sum()) for k in (0, 1)]
     df = there[0] + there[1]
-    g = ratio([np.stack(there), np.stack([n[k] - there[k] for k in (0, 1)])], n)
+    g = ratio([there, [n[k] - there[k] for k in (0, 1)]], n)
     alone = np.flatnonzero((g > EVIDENCE) & (df > 3))
     often = np.flatnonzero(df > 3)
     often = np.sort(often[np.argsort(-df[often] * (len(rows) - df[often]), kind="stable")[:PAIRED]])
     place = np.full(SLOTS, -1, np.int32)
     place[often] = np.arange(len(often))
-    both = [np.zeros((len(often), len(often)), np.float32) for _ in (0, 1)]
+    packed = []
     for k in (0, 1):
-        mine = [place[r] for r, y in zip(rows, label) if y == k]
-        for i in range(0, len(mine), 512):
-            x = np.zeros((len(mine[i : i + 512]), len(often)), np.float32)
-            for row, at in zip(x, mine[i : i + 512]):
-                row[at[at >= 0]] = 1
-            both[k] += x.T @ x
-    each = [there[k][often] for k in (0, 1)]
-    cells = [
-        np.stack(both), np.stack([each[k][:, None] - both[k] for k in (0, 1)]), np.stack([each[k][None, :] - both[k] for k in (0, 1)]),
-        np.stack([n[k] - each[k][:, None] - each[k][None, :] + both[k] for k in (0, 1)]),
-    ]
-    more = np.triu(ratio(cells, n) - g[often][:, None] - g[often][None, :], 1)
-    paired = often[np.unique(np.argwhere(more > PAIR_EVIDENCE))] if len(often) else often
+        there_k = np.zeros((len(often), -(-n[k] // 64) * 64), bool)  # which texts have a slot, then eight to a byte
+        for i, r in enumerate(r for r, y in zip(rows, label) if y == k):
+            at = place[r]
+            there_k[at[at >= 0], i] = True
+        packed.append(np.packbits(there_k, axis=1).view(np.uint64))
+    each, good = [there[k][often] for k in (0, 1)], np.zeros(len(often), bool)
+    for i in range(0, len(often), 64):
+        j = slice(i, i + 64)
+        both = [np.stack([np.bitwise_count(packed[k] & mine).sum(1) for mine in packed[k][j]]).astype(float) for k in (0, 1)]
+        one, two = [e[j][:, None] for e in each], [e[None, :] for e in each]
+        cells = [both, [one[k] - both[k] for k in (0, 1)], [two[k] - both[k] for k in (0, 1)], [n[k] - one[k] - two[k] + both[k] for k in (0, 1)]]
+        more = ratio(cells, n) - g[often][j][:, None] - g[often][None, :] > PAIR_EVIDENCE
+        more[np.arange(len(more)), np.arange(i, i + len(more))] = False  # a slot is no pair with itself
+        good[j] |= more.any(1)
+    paired = often[good]
     return np.union1d(alone, paired), paired
 
 
@@ -195,10 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machin
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype("<i4").tobytes() for s in slots], pa.binary())], ["label", "slots"])
 
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "toxic", fold("doc_id", 4, 2), rows).mapInArrow(run, "label int, slots binary").collect()  # `rows` at most
-    sample.sort(key=lambda r: (zlib.crc32(r.slots), r.slots, r.label))  # the same order in every run
-    slots, label = [np.frombuffer(r.slots, "<i4") for r in sample], np.array([r.label for r in sample], np.float32)
-    del sample
+    sample = labelled_sample(docs, labels, "toxic", fold("doc_id", 4, 2), rows).mapInArrow(run, "label int, slots binary").toArrow()  # `rows` at most
+    slots, label = [np.frombuffer(x.as_buffer(), "<i4") for x in sample.column("slots")], sample.column("label").to_numpy().astype(np.float32)
+    order = sorted(range(len(slots)), key=lambda i: (zlib.crc32(slots[i]), len(slots[i]), slots[i].tobytes()[:64], label[i]))  # the same in every run
+    slots, label = [slots[i] for i in order], label[order]
     if not len(label) or label.min() == label.max():
         return Machine(0.0, np.zeros(SLOTS, np.float32), np.zeros((SLOTS, VECTOR), np.float32), 1.0)
     test = np.array([zlib.crc32(s.tobytes()) % 5 == 0 for s in slots])  # equal texts stay together
