@@ -250,7 +250,14 @@ def round_robin_pools(spark, sf):
     return R.round_robin(table(spark, sf, "documents").select("doc_id", "lang"), "lang", ["doc_id"], 4)
 
 
-@plan("W15")
+@plan(
+    "W15",
+    """
+WITH RECURSIVE c AS (SELECT user_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, CAST(user_id AS VARCHAR)) AS i FROM events GROUP BY user_id),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS user_id, CAST(-1 AS BIGINT) AS job, CAST([0, 0, 0, 0] AS BIGINT[]) AS l
+  UNION ALL SELECT c.i, c.user_id, CAST(list_position(l, list_min(l)) - 1 AS BIGINT), [CASE WHEN k = list_position(l, list_min(l)) THEN l[k] + c.n ELSE l[k] END FOR k IN [1, 2, 3, 4]] FROM g JOIN c ON c.i = g.i + 1)
+SELECT event_id, e.user_id, job FROM events e JOIN g ON e.user_id = g.user_id""",
+)
 def greedy_job_packing(spark, sf):
     """Users dealt to four jobs by event counts, the largest first, each to the job with the least so far. Users of equal counts are dealt in turns,
     so the driver sees the distinct counts only."""

@@ -179,7 +179,7 @@ def warp_path_pchip(spark, sf):
 
     def warp(pdf):
         p = pdf.sort_values(["ts", "event_id"])
-        anchors = I.monotone_anchors([(float(i), float(v)) for i, v in zip(range(len(p)), np.cumsum(p.value) / 50)])
+        anchors = I.monotone_anchors([(float(i), float(v)) for i, v in zip(range(len(p)), (np.cumsum(p.value) - p.value.iloc[0]) / 50)])  # from the first frame on
         s, t = zip(*anchors)
         frames = int(t[-1]) + 1
         path = D.warp_path(s, t, frames)

@@ -13,4 +13,4 @@ def test_plan(spark, plan):
     if plan.oracle:
         assert_same(df, plan.oracle, SMALL)
     else:
-        assert df.columns and df.count() >= 0
+        assert df.columns and df.count() > 0  # what they hold is checked in test_independent.py
