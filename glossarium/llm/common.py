@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,18 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
 
 
+def tidied(run: Callable) -> Callable:
+    """run over batches; what is free when a task ends goes back to the system, since the worker lives on and the next stage needs its own memory."""
+
+    def wrapped(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(parts)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores in front until no column of df has it in any case."""
     taken = {c.lower() for c in df.columns}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, mix64, small_batches, table, word_hash
+from .common import free_name, mix64, small_batches, table, tidied, word_hash
 from .tokens import LETTERS, MARKS_BEHIND, Table
 
 WIDTH = 5
@@ -97,7 +97,7 @@ class Codes(dict):
 class Templates:
     """Templates of texts; tokens' numbers are kept while there is room."""
 
-    def __init__(self, keep: int = 1_000_000):
+    def __init__(self, keep: int = 200_000):
         self.keep, self.at = keep, Codes()
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
@@ -114,7 +114,7 @@ class Templates:
 class Chunks:
     """Tokens of whole batches as numbers: Arrow cuts texts at blanks and numbers the distinct chunks, each new one is tokenised once."""
 
-    def __init__(self, keep: int = 500_000):
+    def __init__(self, keep: int = 250_000):
         self.keep = keep
         self.clear()
 
@@ -343,7 +343,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, column: str, block: int
                     found[k] = [dict(zip(("item_id", "share", "run", "slots", "consistent"), m)) for m in kept.value.matches(texts[k], make)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], [*batch.schema.names, name])
 
-        out = out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(name, kind)]))
+        out = out.mapInArrow(tidied(run), T.StructType([*out.schema.fields, T.StructField(name, kind)]))
         parts.append(name)
     return out.withColumn(column, F.concat(*parts)).drop(*[p for p in parts if p != column])
 

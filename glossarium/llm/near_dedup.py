@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, HashCache, Tables, batches, free_name, mix64, relabelled, shingle_hashes, small_batches, table, word_hash, written
+from .common import WORD, HashCache, Tables, batches, free_name, mix64, relabelled, shingle_hashes, small_batches, table, tidied, word_hash, written
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 8, 4
@@ -121,7 +121,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["slot", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS + 1 rows at most
+    rows = docs.select("text").mapInArrow(tidied(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS + 1 rows at most
     counts = np.zeros(SLOTS + 1)
     counts[rows.slot.to_numpy(int)] = rows.n
     return (np.log((counts[SLOTS] + 1) / (counts[:SLOTS] + 1)) + 1).astype(np.float32)
@@ -139,7 +139,7 @@ def shingle_counts(texts: DataFrame, idf: Broadcast) -> Broadcast:
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["slot", "n"])
 
-    rows = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # 2**COUNT_BITS rows at most
+    rows = texts.select("text").mapInArrow(tidied(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # 2**COUNT_BITS rows at most
     counts = np.zeros(1 << COUNT_BITS, np.int64)
     counts[rows.slot.to_numpy(int)] = rows.n
     return texts.sparkSession.sparkContext.broadcast(counts)
@@ -165,7 +165,7 @@ def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
 
         yield from batches(rows(), schema, 2048)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of(docs), "text").mapInArrow(run, "doc_id long, tag long, same binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of(docs), "text").mapInArrow(tidied(run), "doc_id long, tag long, same binary, bands array<long>")
 
 
 def tag_of(docs: DataFrame):
@@ -225,7 +225,7 @@ class NearDuplicates:
             yield from batches(rows(), schema)
 
         rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", "node")
-        return self.tables.write(rows.mapInArrow(run, "a long, b long"), "near-edges")
+        return self.tables.write(rows.mapInArrow(tidied(run), "a long, b long"), "near-edges")
 
     def labels(self) -> DataFrame:
         """(node, label) of every linked node."""
@@ -319,7 +319,7 @@ class NearDuplicates:
                 before = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(inside, pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(total, pa.float64()), pa.array(token, pa.int64()), pa.array(left, pa.float64()), before], schema=schema)
 
-        return texts.select("node", "text").mapInArrow(run, "node long, total double, token long, left double, before array<long>")
+        return texts.select("node", "text").mapInArrow(tidied(run), "node long, total double, token long, left double, before array<long>")
 
     def classes(self) -> DataFrame:
         """Per row of docs: doc_id, tag, class_id (the smallest identifier of its class), class_tag and class_size."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batches, small_batches, table, texts_of
+from .common import batches, small_batches, table, texts_of, tidied
 from .tokens import WordPieces, tokenizer_path
 
 TIERS = (4096, 2048, 1024, 512, 256)
@@ -137,7 +137,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str | None = None, id_col: str =
         yield from batches(rows(), SCHEMA)
 
     small_batches(docs.sparkSession, 1024)  # the more texts, the fewer times a word is looked up
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(run, DDL)
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(tidied(run), DDL)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, tidied
 from .labelled import CUT, SAMPLE_ROWS, fold, labelled_sample, score, threshold
 
 FEATURES = (
@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Additi
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "quality", fold("doc_id", 5, 0), rows).mapInArrow(run, "label int, x array<double>").collect()  # `rows` at most
+    sample = labelled_sample(docs, labels, "quality", fold("doc_id", 5, 0), rows).mapInArrow(tidied(run), "label int, x array<double>").collect()  # `rows` at most
     sample.sort(key=lambda r: (zlib.crc32(repr(r.x).encode()), r.x, r.label))  # the same order in every run
     x, y = np.array([r.x for r in sample]).reshape(-1, len(FEATURES)), np.array([r.label for r in sample], float)
     if not len(y) or y.min() == y.max():
@@ -189,7 +189,7 @@ def with_scores(docs: DataFrame, model: AdditiveModel) -> DataFrame:
             x = np.array([features(t or "") for t in part.column(1).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score(m.margin(x), m.cut), pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import HashCache, small_batches, table
+from .common import HashCache, small_batches, table, tidied
 from .tokens import tokenizer_path
 
 SIGN = "▁"
@@ -126,7 +126,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
     small_batches(docs.sparkSession)
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(tidied(run), "doc_id long, n_tokens long")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

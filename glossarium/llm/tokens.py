@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words and chunks that are kept, and the longest of them.
-KEEP, LONGEST = 500_000, 48
+KEEP, LONGEST = 250_000, 48
 #: The vocabulary's own rule for words, as it is for lower-case text within the range of LATIN.
 LATIN = re.compile(r"[\x21-ɏ]+")
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\sa-z0-9ªµº²³¹¼½¾ß-öø-ɏ]+")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, small_batches, table
+from .common import free_name, small_batches, table, tidied
 from .labelled import CUT, SAMPLE_ROWS, fold, labelled_sample, score, threshold
 
 SLOTS = 1 << 18
@@ -197,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machin
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype("<i4").tobytes() for s in slots], pa.binary())], ["label", "slots"])
 
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "toxic", fold("doc_id", 4, 2), rows).mapInArrow(run, "label int, slots binary").toArrow()  # `rows` at most
+    sample = labelled_sample(docs, labels, "toxic", fold("doc_id", 4, 2), rows).mapInArrow(tidied(run), "label int, slots binary").toArrow()  # `rows` at most
     slots, label = [np.frombuffer(x.as_buffer(), "<i4") for x in sample.column("slots")], sample.column("label").to_numpy().astype(np.float32)
     order = sorted(range(len(slots)), key=lambda i: (zlib.crc32(slots[i]), len(slots[i]), slots[i].tobytes()[:64], label[i]))  # the same in every run
     slots, label = [slots[i] for i in order], label[order]
@@ -228,7 +228,7 @@ def with_scores(docs: DataFrame, machine: Machine, column: str = "score") -> Dat
             margins = np.array([m.margin(s) for s in terms.encode([t or "" for t in part.column(at).to_pylist()])], float)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score(margins, m.cut), pa.float64())], [*part.schema.names, column])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def clean_rows(docs: DataFrame, machine: Machine) -> DataFrame:
