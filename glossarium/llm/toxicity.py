@@ -8,7 +8,7 @@ likelihood-ratio test over distinct texts of the sample), or if that of a pair d
 one by one; so the many words of a long text don't drown the few that matter. Scoring reads whole texts.
 
 Defined cases: a null or empty text has the machine's constant as its score; very long texts are read whole; without labels of both kinds every score is
-that of the constant 0 and nothing is predicted toxic; repeated rows are scored each; a null identifier is scored and in no fold; an empty table gives
+that of the constant 0 and nothing is predicted toxic, and neither is a text without any term that got a weight; repeated rows are scored each; a null identifier is scored and in no fold; an empty table gives
 an empty result; other columns are ignored or, in `clean_rows`, passed through. Of a labelled identifier that several documents have, the least text
 is learnt from.
 """
@@ -210,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machin
     else:
         cut = 0.0
     machine = fit(slots, label)
-    machine.cut = cut
+    machine.cut = max(cut, machine.constant + 0.1)  # a text without any telling term isn't called toxic, however few labels there are
     return machine
 
 

@@ -734,3 +734,16 @@ def test_pipeline(spark):
     found = {r.doc_id for r in D.contaminated(frames[3], spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert ids[4] == ids[3] - found
     check_packing(C.pack(spark, frames[4], SF).collect(), {r.doc_id: r.text for r in frames[4].collect()})
+
+
+def test_pipeline_stages_on_odd_and_no_rows(spark):
+    """Every stage takes null, empty, long and repeated rows and an empty table; all but the last keep the columns."""
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = odd_rows(spark).select("doc_id", "text", "lang", "source").withColumn("n_chars", F.length("text").cast("long"))
+    for rows, least in ((docs.limit(0), 0), (odd, 6)):
+        for _, stage in C.STAGES[:-1]:
+            rows = C.written(stage(spark, rows, SF), "pipeline-odd")
+            assert rows.columns == docs.columns and rows.count() >= least
+        assert C.pack(spark, rows, SF).select("doc_id").distinct().count() == rows.select("doc_id").distinct().count()
