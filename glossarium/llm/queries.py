@@ -16,6 +16,7 @@ MODULES = {
     "op8_html_extraction": "html_extraction",
     "op9_suffix_dedup": "suffix_dedup",
     "op10_exact_dedup": "exact_dedup",
+    "op11_license_scan": "license_scan",
 }
 
 
