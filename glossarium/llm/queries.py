@@ -17,6 +17,7 @@ MODULES = {
     "op9_suffix_dedup": "suffix_dedup",
     "op10_exact_dedup": "exact_dedup",
     "op11_license_scan": "license_scan",
+    "op12_collocations": "collocations",
 }
 
 
