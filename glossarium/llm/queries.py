@@ -18,6 +18,7 @@ MODULES = {
     "op10_exact_dedup": "exact_dedup",
     "op11_license_scan": "license_scan",
     "op12_collocations": "collocations",
+    "op13_vector_codes": "vector_codes",
 }
 
 
