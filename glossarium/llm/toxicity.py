@@ -5,7 +5,9 @@ slot counts once however often it occurs, and a slot of its own says that severa
 one stem). The machine has a weight and a short vector for each slot, so that two terms together may count for more (or less) than each alone. It is
 fitted by AdaGrad on a bounded sample of labelled documents on the driver; slots get weights if their presence goes with the label beyond chance (a
 likelihood-ratio test over distinct texts of the sample), or if that of a pair does so beyond both of its slots, as for two words that are harmless
-one by one; so the many words of a long text don't drown the few that matter. Scoring reads whole texts.
+one by one; so the many words of a long text don't drown the few that matter. All pairs are looked at of slots that leave the label open: what is left to be told of
+their texts' labels must be more than what a pair has to tell. A pair counts if the label 1 is more frequent with both than with either, and if each
+slot tells among the texts that have the other; so words that merely go together, as those of a language or of long texts do, aren't pairs. Scoring reads whole texts.
 
 Defined cases: a null or empty text has the machine's constant as its score; very long texts are read whole; without labels of both kinds every score is
 that of the constant 0 and nothing is predicted toxic, and neither is a text without any term that got a weight; repeated rows are scored each; a null identifier is scored and in no fold; an empty table gives
@@ -23,7 +25,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +36,10 @@ SLOTS = 1 << 18
 VECTOR = 4
 #: A slot's likelihood ratio in the sample from which on it gets a weight; what a pair's must have beyond those of its slots.
 EVIDENCE, PAIR_EVIDENCE = 16.0, 40.0
-#: Slots of which all pairs are looked at: those whose presence varies most over the sample.
-PAIRED = 1024
+#: How many times as often as with either slot the label 1 goes with both, and slots whose pairs are counted together.
+BEYOND, TILE = 1.5, 1024
+#: A pair counts if it tells this share of what the best pair of either slot does.
+NEAREST = 0.95
 #: Leads from a term's slot to that of the term in several chunks.
 SEVERAL = 5_003
 WORD = re.compile(r"[^\W_]+")
@@ -114,10 +117,36 @@ def ratio(cells: list[list[np.ndarray]], n: list[int]) -> np.ndarray:
     return g
 
 
+def left(cell: list[np.ndarray]) -> np.ndarray:
+    """What is left to be told of the labels of texts of which cell[k] have label k, on the scale of ratio()."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return sum(2 * np.where(c > 0, c * np.log((cell[0] + cell[1]) / c), 0) for c in cell)
+
+
+def distinct(rows: list[np.ndarray], least: float = 0.5, bands: int = 24, width: int = 4) -> list[int]:
+    """Places of texts that aren't near copies of one before them: a text and its copies are one piece of evidence, whatever their number."""
+    seen: list[dict[bytes, int]] = [{} for _ in range(bands)]
+    factor = (np.random.default_rng(3).integers(1 << 62, size=bands * width, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+    kept = []
+    for i, r in enumerate(rows):
+        if not len(r):
+            keys = [b""] * bands
+        else:
+            with np.errstate(over="ignore"):
+                low = np.concatenate([(factor[:, None] * (r[k : k + 4096].astype(np.uint64) + np.uint64(1))[None, :]).min(1)[:, None] for k in range(0, len(r), 4096)], 1).min(1)
+            keys = [x.tobytes() for x in low.reshape(bands, width)]
+        others = {band[key] for band, key in zip(seen, keys) if key in band}
+        if not any((shared := len(np.intersect1d(r, rows[j], assume_unique=True))) >= least * (len(r) + len(rows[j]) - shared) for j in others):
+            kept.append(i)
+            for band, key in zip(seen, keys):
+                band.setdefault(key, i)
+    return kept
+
+
 def telling(rows: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slots whose presence in distinct texts goes with the label, alone or in a pair, and those of them that do so in a pair."""
-    first = {xxhash.xxh3_128_digest(r.tobytes()): i for i, r in reversed(list(enumerate(rows)))}
-    rows, label = [rows[i] for i in first.values()], label[list(first.values())]
+    kept = distinct(rows)
+    rows, label = [rows[i] for i in kept], label[kept]
     there = [np.zeros(SLOTS), np.zeros(SLOTS)]
     for r, y in zip(rows, label):
         there[int(y)][r] += 1  # a text's slots are distinct
@@ -125,26 +154,39 @@ def telling(rows: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.n
     df = there[0] + there[1]
     g = ratio([there, [n[k] - there[k] for k in (0, 1)]], n)
     alone = np.flatnonzero((g > EVIDENCE) & (df > 3))
-    often = np.flatnonzero(df > 3)
-    often = np.sort(often[np.argsort(-df[often] * (len(rows) - df[often]), kind="stable")[:PAIRED]])
+    open_ = left(there)
+    often = np.flatnonzero((df > 3) & (open_ > PAIR_EVIDENCE))
     place = np.full(SLOTS, -1, np.int32)
     place[often] = np.arange(len(often))
-    packed = []
+    bits = []
     for k in (0, 1):
-        there_k = np.zeros((len(often), -(-n[k] // 64) * 64), bool)  # which texts have a slot, then eight to a byte
+        has = np.zeros((len(often), n[k]), bool)  # which texts have a slot
         for i, r in enumerate(r for r, y in zip(rows, label) if y == k):
             at = place[r]
-            there_k[at[at >= 0], i] = True
-        packed.append(np.packbits(there_k, axis=1).view(np.uint64))
-    each, good = [there[k][often] for k in (0, 1)], np.zeros(len(often), bool)
-    for i in range(0, len(often), 64):
-        j = slice(i, i + 64)
-        both = [np.stack([np.bitwise_count(packed[k] & mine).sum(1) for mine in packed[k][j]]).astype(float) for k in (0, 1)]
-        one, two = [e[j][:, None] for e in each], [e[None, :] for e in each]
-        cells = [both, [one[k] - both[k] for k in (0, 1)], [two[k] - both[k] for k in (0, 1)], [n[k] - one[k] - two[k] + both[k] for k in (0, 1)]]
-        more = ratio(cells, n) - g[often][j][:, None] - g[often][None, :] > PAIR_EVIDENCE
-        more[np.arange(len(more)), np.arange(i, i + len(more))] = False  # a slot is no pair with itself
-        good[j] |= more.any(1)
+            has[at[at >= 0], i] = True
+        bits.append(np.packbits(has, axis=1))
+    tile = lambda k, at: np.unpackbits(bits[k][at : at + TILE], axis=1, count=n[k]).astype(np.float32)
+    each, share, good = [t[often] for t in there], there[1][often] / df[often], np.zeros(len(often), bool)
+    pairs, best = [], np.zeros(len(often))
+    for i in range(0, len(often), TILE):
+        mine = [tile(k, i) for k in (0, 1)]
+        for j in range(i, len(often), TILE):
+            both = [m @ (mine[k] if i == j else tile(k, j)).T for k, m in enumerate(mine)]
+            one, two = share[i : i + TILE, None], share[None, j : j + TILE]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p = both[1] / (both[0] + both[1])
+            x, y = np.nonzero((both[1] > 3) & (p > BEYOND * np.maximum(one, two)))
+            a, b, cell = x + i, y + j, [c[x, y].astype(float) for c in both]
+            only = [[e[at] - c for e, c in zip(each, cell)] for at in (a, b)]
+            gain = ratio([cell, *only, [n[k] - each[k][a] - each[k][b] + cell[k] for k in (0, 1)]], n) - g[often][a] - g[often][b]
+            within = np.minimum(*(open_[often][at] - left(cell) - left(rest) for at, rest in zip((a, b), only)))
+            found = (gain > PAIR_EVIDENCE) & (within > EVIDENCE) & (a != b)
+            pairs.append((a[found], b[found], gain[found]))
+            for at in pairs[-1][:2]:
+                np.maximum.at(best, at, pairs[-1][2])
+    for a, b, gain in pairs:  # of all pairs of a slot those that tell most; a common word goes along with many
+        most = gain >= NEAREST * np.maximum(best[a], best[b])
+        good[a[most]] = good[b[most]] = True
     paired = often[good]
     return np.union1d(alone, paired), paired
 

@@ -680,6 +680,21 @@ def test_machine_learns_what_only_pairs_tell():
     assert np.mean([(machine.margin(s) > 0) == (y > 0) for s, y in zip(slots[1500:], label[1500:])]) > 0.95
 
 
+@pytest.mark.parametrize("n_words, share", [(200, 0.35), (3000, 0.35), (3000, 0.12)])
+def test_machine_finds_pairs_among_many_words(n_words, share):
+    """Toxic is a text with both terms, whatever the number of other words."""
+    rng, words = np.random.default_rng(5), [f"w{i}x{i * 7 % 97}" for i in range(n_words)]
+    texts, label = [], []
+    for _ in range(4000):
+        insult, group = rng.random(2) < share
+        texts.append(" ".join([*rng.choice(words, 20), *["zinsult"] * insult, *["zgroup"] * group]))
+        label.append(float(insult and group))
+    slots, label = toxicity.Terms().encode(texts), np.array(label, np.float32)
+    machine = toxicity.fit(slots[:3000], label[:3000])
+    margins, y = np.array([machine.margin(s) for s in slots[3000:]]), label[3000:] > 0
+    assert (margins[y][:, None] > margins[~y][None, :]).mean() > 0.95
+
+
 def test_margins_by_direct_sums():
     rng = np.random.default_rng(4)
     m = toxicity.Machine(0.3, rng.normal(size=toxicity.SLOTS), rng.normal(size=(toxicity.SLOTS, toxicity.VECTOR)))
