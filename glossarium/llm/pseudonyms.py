@@ -12,9 +12,11 @@ always gets the same pseudonym, in every document and run, and under the key the
 - Dates (1900 to 2099; year-month-day, or day and month first with dots or slashes): the day's number is permuted among the days of its decade.
 - Internet addresses (four numbers up to 255): the 32-bit number is permuted.
 - Phone numbers with a country code or in the form 555-123-4567 or (555) 123-4567, social security numbers: all digits after the country code are permuted.
-- Mail addresses: the part before the @ is permuted. Access keys, and values of password, token, secret or key: the value is permuted.
+- Mail addresses: the part before the @ is permuted, each letter within its alphabet and case (ALPHABETS); a part with other letters is replaced by a keyed
+  hash of 16 hexadecimal digits. Access keys, and values of password, token, secret or key: the value is permuted.
 
-The key is a parameter without a default, and reaches the plan as a value of a one-row table, so that no plan shows it. Values that fail their check are
+The key is a parameter without a default, and reaches the plan as a value of a one-row table, so that no plan shows it; the query takes it from a setting, without which
+only a local session gets an example key, and a cluster an error. Values that fail their check are
 left as they are, and so are kinds not named here (version 6 and hardware addresses among them). Defined cases: a null text is empty; an empty text stays
 empty; rows with equal or null identifiers are rewritten each; very long texts are read whole, with work in proportion to their length; an empty table
 gives an empty result; other columns are ignored.
@@ -33,13 +35,25 @@ DECADES = {3653: (13, 281), 3652: (44, 83)}
 #: The setting that holds the query's key, and the key of a session without it.
 SETTING, EXAMPLE = "spark.glossarium.pseudonymKey", "example key, for data that needs none"
 
+
+
+def _letters(ranges: str, keep) -> str:
+    """The characters of ranges of code points, as `430-44F`, for which keep holds."""
+    bounds = [[int(x, 16) for x in r.split("-")] for r in ranges.split()]
+    return "".join(c for a, b in bounds for c in map(chr, range(a, b + 1)) if c.isalpha() and keep(c))
+
+
+#: Letters beyond A-Z that mail addresses may have: Latin, Greek and Cyrillic by case, then Hebrew, Arabic, Devanagari, Hiragana and Katakana.
+ALPHABETS = [_letters(r, keep) for r in ("B5-24F", "370-3FF", "400-4FF") for keep in (str.islower, str.isupper)]
+ALPHABETS += [_letters(r, lambda c: True) for r in ("5D0-5EA", "621-64A", "904-939", "3041-3096", "30A1-30FA")]
+
 #: Fixed formats, most special first.
-SECRET = r"(?i:\b(?:password|passwd|token|secret|api[_-]?key)\s*[=:]\s*\"?)[A-Za-z0-9+/_-]{8,}+"
+SECRET = r"(?i:\b(?:password|passwd|token|secret|api[_-]?key)\s*)(?:=\s*\"?[A-Za-z0-9+/_-]{4,}+|:\s*\"?[A-Za-z0-9+/_-]{8,}+)"
 ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,8}\.[A-Za-z]{2,}"
+MAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,8}\.[A-Za-z]{2,}"
 IBAN = r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?:[A-Za-z0-9]{11,30}|(?: [A-Za-z0-9]{4}){2,7}(?: [A-Za-z0-9]{1,3})?)(?![A-Za-z0-9])"
 LOCAL = r"(?<![\d-])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?![\d-])"
-PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)"
+PHONE = r"\+\d{1,3}[ .-]?(?:\(0\) ?)?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)"
 DATE = r"(?<![\d.])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?![\d])"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
@@ -63,21 +77,22 @@ def _number(key: str, *parts: str) -> str:
     return f"cast(conv(substr(sha2(concat_ws('|', {key}, {', '.join(parts)}), 256), 1, 15), 16, 10) as bigint)"
 
 
-def _shifted(value: str, hexes: str) -> str:
+def _shifted(value: str, hexes: str, alphabets: list[str]) -> str:
     """The characters of a value, each moved within its class by a byte of the hexadecimal stream."""
     by = f"cast(conv(substr({hexes}, 2 * (i % 32) + 1, 2), 16, 10) as int)"
+    more = " ".join(f"when locate(c, '{a}') > 0 then substr('{a}', (locate(c, '{a}') - 1 + {by}) % {len(a)} + 1, 1)" for a in alphabets)
     return f"""array_join(transform(split({value}, ''), (c, i) -> case
         when c >= '0' and c <= '9' then chr(48 + (ascii(c) - 48 + {by}) % 10)
         when c >= 'a' and c <= 'z' then chr(97 + (ascii(c) - 97 + {by}) % 26)
         when c >= 'A' and c <= 'Z' then chr(65 + (ascii(c) - 65 + {by}) % 26)
-        else c end), '')"""
+        {more} else c end), '')"""
 
 
-def _characters(value: str, key: str) -> str:
+def _characters(value: str, key: str, alphabets: list[str] | None = None) -> str:
     """A permutation of the strings of one format: a Feistel network over their halves. `value` is a name."""
     half = f"cast(length({value}) / 2 as int)"
     stream = f"sha2(concat_ws('|', {key}, cast(r as string), cast(length({value}) as string), z.b), 256)"
-    step = _let("h", stream, _shifted("z.a", "h"))
+    step = _let("h", stream, _shifted("z.a", "h", alphabets or []))
     return f"""aggregate(sequence(1, {ROUNDS}), named_struct('a', substr({value}, 1, {half}), 'b', substr({value}, {half} + 1)),
         (z, r) -> named_struct('a', z.b, 'b', {step}), z -> concat(z.a, z.b))"""
 
@@ -117,7 +132,9 @@ def _kinds(key: str) -> str:
     prefix = r"^(?i:(?:password|passwd|token|secret|api[_-]?key)\s*[=:]\s*\"?)"
     secret = _let("p", f"regexp_extract(m, {_quoted(prefix)}, 0)", _let("v", "substr(m, length(p) + 1)", f"concat(p, {_characters('v', use('secret'))})"))
     access = _let("v", "substr(m, 5)", f"concat(substr(m, 1, 4), {_characters('v', use('access'))})")
-    mail = _let("v", "substring_index(m, '@', 1)", f"concat({_characters('v', use('mail'))}, substr(m, length(v) + 1))")
+    known = _quoted("^[\\x00-\\x7F" + "".join(ALPHABETS) + "]*$")
+    local_part = f"case when octet_length(v) = length(v) then {_characters('v', use('mail'))} when v rlike {known} then {_characters('v', use('mail'), ALPHABETS)} else substr(sha2(concat_ws('|', {use('mail')}, v), 256), 1, 16) end"
+    mail = _let("v", "substring_index(m, '@', 1)", f"concat({local_part}, substr(m, length(v) + 1))")
     body = _let("v", "substr(e, 5)", f"concat(substr(e, 1, 2), '00', {_characters('v', use('iban'))})")
     iban = _let("e", "regexp_replace(array_join(slice(g, 1, n), ''), ' ', '')", _let("w", body, f"concat(substr(w, 1, 2), lpad(cast(98 - {_mod97('w')} as string), 2, '0'), substr(w, 5))"))
     valid = _let("c", "regexp_replace(array_join(slice(g, 1, n), ''), ' ', '')", f"case when length(c) between 15 and 34 then {_mod97('c')} = 1 else false end")
@@ -183,6 +200,14 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     )
 
 
+def key_of(spark: SparkSession) -> str:
+    """The session's key. Only a local session may go without: pseudonyms under the example key can be undone by anyone."""
+    key = spark.conf.get(SETTING, None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{SETTING} isn't set")
+    return key or EXAMPLE
+
+
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of `documents` with its personal data and secrets replaced. A session that works on real data sets SETTING."""
-    return pseudonymised(table(spark, sf_dir, "documents"), spark.conf.get(SETTING, EXAMPLE))
+    """Every whole text of `documents` with its personal data and secrets replaced, under the key of SETTING."""
+    return pseudonymised(table(spark, sf_dir, "documents"), key_of(spark))

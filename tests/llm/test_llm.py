@@ -556,6 +556,44 @@ def test_spaced_accounts_and_hidden_keys(spark):
     assert "hidden ' key" not in df._jdf.queryExecution().toString()
 
 
+def test_mail_of_any_letters(spark):
+    """No letter of a local part stays where it is by rule, case and script stay, equal addresses are linked and different ones apart."""
+    names = ["иван.петров", "ИВАН", "jürgen.groß", "Ærøskøbing", "μαρία", "ΜΑΡΙΑ", "łukasz_żak", "דוד", "محمد", "さくら", "カナ", "王小明", "김철수", "नमस्ते", "x́y"]
+    names += [a + b for a in "абвгд" for b in "яюэьы"]
+    df = spark.createDataFrame([(i, f"mail {n}@example.com or {n}@example.org.") for i, n in enumerate(names)], "doc_id long, text string")
+    out = [S.pseudonymised(df, key).orderBy("doc_id").collect() for key in ("k1", "k1", "k2", "k3", "k4")]
+    made = [[re.fullmatch(r"mail (\S+)@example\.com or (\S+)@example\.org\.", r.text).groups() for r in rows] for rows in out]
+    assert all(a == b for rows in made for a, b in rows) and made[0] == made[1] and len({a for a, _ in made[0]}) == len(names)
+    for i, name in enumerate(names):
+        new = [rows[i][0] for rows in (made[0], *made[2:])]
+        assert name not in new and len(set(new)) == 4
+        if all(any(c in alphabet for alphabet in S.ALPHABETS) or c.isascii() for c in name):
+            assert all(len(n) == len(name) and [c.isupper() for c in n] == [c.isupper() for c in name] for n in new)
+            for at, c in enumerate(name):
+                assert not c.isalpha() or {n[at] for n in new} != {c}
+    assert all(r.n_found == r.n_replaced == 2 for r in out[0])
+
+
+def test_further_formats(spark):
+    texts = ["password=hunter2", "call +49 (0)30 1234567 now", "secret: then he said", "token: abcdefgh12"]
+    got = {r.doc_id: r for r in S.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k1").collect()}
+    assert got[0].text != texts[0] and re.fullmatch(r"password=[a-z]{6}\d", got[0].text)
+    assert got[1].text != texts[1] and re.fullmatch(r"call \+49 \(\d\)\d\d \d{7} now", got[1].text)
+    assert got[2].text == texts[2] and got[3].text != texts[3]
+
+
+def test_no_key_on_a_cluster(spark):
+    class Context:
+        master = "yarn"
+
+    class Session:
+        sparkContext, conf = Context, {}
+
+    with pytest.raises(ValueError):
+        S.key_of(Session)
+    assert S.key_of(spark) == S.EXAMPLE
+
+
 # pages
 
 
@@ -686,7 +724,7 @@ def test_machine_finds_pairs_among_many_words(n_words, share):
     rng, words = np.random.default_rng(5), [f"w{i}x{i * 7 % 97}" for i in range(n_words)]
     texts, label = [], []
     for _ in range(4000):
-        insult, group = rng.random(2) < share
+        insult, group = map(int, rng.random(2) < share)
         texts.append(" ".join([*rng.choice(words, 20), *["zinsult"] * insult, *["zgroup"] * group]))
         label.append(float(insult and group))
     slots, label = toxicity.Terms().encode(texts), np.array(label, np.float32)
