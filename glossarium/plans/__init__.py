@@ -4,6 +4,6 @@ from .base import REGISTRY, Plan, plan
 
 
 def all_plans() -> list[Plan]:
-    from . import files, intervals, relational, statistics, streams, text, vectors  # noqa: F401
+    from . import files, intervals, models, relational, statistics, streams, text, vectors  # noqa: F401
 
     return list(REGISTRY.values())
