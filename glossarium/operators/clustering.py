@@ -122,3 +122,76 @@ def dbscan(df: DataFrame, key: str, vector: str, radius: float, least: int, cosi
     rows = df.select(F.col(key).cast("long").alias(key), v.alias("v")).filter(F.col(key).isNotNull() & F.col("v").isNotNull())
     stages.drop(points, counts, links)
     return rows.join(found, "v").select(key, "n_near", "core", "cluster")
+
+
+def nearest_merges(dealt: DataFrame, threshold: float) -> DataFrame:
+    """(key, other, distance): each cluster's nearest one by Ward's distance up to a threshold, if there is one; of equal ones the pair of smallest keys."""
+
+    def begin(residents):
+        n = residents.num_rows
+        return {"v": _matrix(residents), "key": _column(residents, "key"), "weight": _column(residents, "weight").astype(float), "best": [None] * n}
+
+    def pass_by(state, rows):
+        v, keys, weight = C.vectors(rows, "v"), _column(rows, "key"), _column(rows, "weight").astype(float)
+        i, j = np.nonzero(C.within(state["v"], v, threshold))
+        a, b = state["weight"][i], weight[j]
+        d = np.round(np.sqrt(2 * a * b / (a + b) * ((state["v"][i] - v[j]) ** 2).sum(1)), C.DIGITS)
+        good = (d <= threshold) & (state["key"][i] != keys[j])
+        i, j, d = i[good], j[good], d[good]
+        low, high = np.minimum(state["key"][i], keys[j]), np.maximum(state["key"][i], keys[j])
+        order = np.lexsort((high, low, d, i))
+        first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+        for at, *new in zip(i[first].tolist(), d[first].tolist(), low[first].tolist(), high[first].tolist(), keys[j[first]].tolist()):
+            if state["best"][at] is None or new < state["best"][at]:
+                state["best"][at] = new
+        return ()
+
+    def end(state):
+        found = [(k, b[3], b[0]) for k, b in zip(state["key"].tolist(), state["best"]) if b is not None]
+        if found:
+            key, other, d = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(other, pa.int64()), pa.array(d, pa.float64())], ["key", "other", "distance"])
+
+    return C.meet(dealt, "key long, other long, distance double", begin, pass_by, end)
+
+
+def agglomerative(df: DataFrame, key: str, vector: str, threshold: float, cosine: bool = False) -> DataFrame:
+    """Clusters by Ward's linkage up to a distance: (key, cluster), a cluster named by its smallest key.
+
+    In each round all pairs of clusters that are each other's nearest are merged; by Ward's distance such merges never change what is near to other pairs, so the result is that of
+    merging the nearest pair again and again. Clusters that are merged lie no farther apart than the threshold, so cells around pivots hold all candidates. Distances are
+    rounded to nine digits, and equal ones go by the smaller keys. Equal vectors are one cluster from the start (their distance is 0). Rows without a key or vector are left out.
+    """
+    stages = Stages(df.sparkSession)
+    points = stages.write(distinct_points(df, key, vector, cosine), "ward-points")
+    clusters, merges = points, None
+    n = points.count()
+    while n > 1:
+        pivots = C.pivots_of(clusters, n)
+        where = stages.write(C.placed(clusters, pivots, threshold), "ward-cells")
+        residents = where.filter("home").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        near = stages.write(nearest_merges(C.sliced(where, residents), threshold), "ward-near")
+        back = near.select(F.col("key").alias("other"), F.col("other").alias("key"))
+        pairs = stages.write(near.join(back, ["key", "other"]).filter("key < other").select("key", "other"), "ward-pairs")  # each other's nearest
+        merged = pairs.count()
+        stages.drop(where, near)
+        if not merged:
+            break
+        gone = pairs.select(F.col("other").alias("key"), F.col("key").alias("to"))
+        named = clusters.join(gone, "key", "left").select(F.coalesce("to", "key").alias("into"), "key", "v", "weight")
+        one, two = F.min(F.struct("key", "v", "weight")), F.max(F.struct("key", "v", "weight"))
+        both = named.groupBy("into").agg(one.alias("a"), two.alias("b"), F.count(F.lit(1)).alias("n"))
+        weight = F.when(F.col("n") == 1, F.col("a.weight")).otherwise(F.col("a.weight") + F.col("b.weight"))
+        mean = F.zip_with("a.v", "b.v", lambda x, y: (x * F.col("a.weight") + y * F.col("b.weight")) / (F.col("a.weight") + F.col("b.weight")))
+        new = stages.write(both.select(F.col("into").alias("key"), F.when(F.col("n") == 1, F.col("a.v")).otherwise(mean).alias("v"), weight.alias("weight")), "ward-clusters")
+        if clusters is not points:
+            stages.drop(clusters)
+        clusters, n = new, n - merged
+        steps = pairs.select(F.col("key").alias("a"), F.col("other").alias("b"))
+        merges = steps if merges is None else merges.unionByName(steps)
+    own = points.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    labels = connected(own if merges is None else own.unionByName(merges), stages)
+    found = points.join(labels.withColumnRenamed("node", "key"), "key").select("v", F.col("label").alias("cluster"))
+    v = N.unit(N.doubles(vector)) if cosine else N.doubles(vector)
+    rows = df.select(F.col(key).cast("long").alias(key), v.alias("v")).filter(F.col(key).isNotNull() & F.col("v").isNotNull())
+    return rows.join(found, "v").select(key, "cluster")

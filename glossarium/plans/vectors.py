@@ -50,3 +50,9 @@ def residual_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Codes of all vectors by three stages, and what each stage leaves over."""
     q = B.ResidualQuantiser(table(spark, sf, "embeddings"), "vec_id", "embedding")
     return q.encoded().select(F.col("key").alias("vec_id"), F.array_join("codes", ",").alias("codes"), *[F.round(F.col("errors")[i], 5).alias(f"error_{i + 1}") for i in range(3)])
+
+
+@plan("M6")
+def ward_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of all vectors by direction, merged up to a distance by Ward's linkage."""
+    return K.agglomerative(table(spark, sf, "embeddings"), "vec_id", "embedding", 1.25, cosine=True)

@@ -137,3 +137,37 @@ def test_codebooks_of_odd_rows(spark):
     q = B.ResidualQuantiser(df, "k", "v", size=4, stages=2)
     assert [r.key for r in q.encoded().collect()] == [1, 1] and all(abs(x) < 1e-3 for r in q.encoded().collect() for x in r.errors)
     assert B.ResidualQuantiser(df.limit(0), "k", "v").encoded().count() == 0
+
+
+def naive_ward(rows, threshold):
+    """The nearest pair is merged again and again."""
+    clusters = {k: (np.array(v, float), 1, [k]) for k, v in rows}
+    while True:
+        best = None
+        for a in sorted(clusters):
+            for b in sorted(clusters):
+                if a < b:
+                    (x, n, _), (y, m, _) = clusters[a], clusters[b]
+                    d = round(float(np.sqrt(2 * n * m / (n + m) * ((x - y) ** 2).sum())), 9)
+                    best = min(best or (d, a, b), (d, a, b))
+        if best is None or best[0] > threshold:
+            return {k: min(c[2]) for c in clusters.values() for k in c[2]}
+        _, a, b = best
+        (x, n, i), (y, m, j) = clusters.pop(a), clusters.pop(b)
+        clusters[min(a, b)] = ((x * n + y * m) / (n + m), n + m, i + j)
+
+
+def test_ward_clusters(spark, small_cells):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(c, 0.3, (18, 3)) for c in ((0, 0, 0), (2, 0, 0), (0, 3, 0))])
+    v[50:] = v[0]
+    rows = [(int(k), x.tolist()) for k, x in zip(rng.permutation(len(v)) + 3, v)]
+    df = spark.createDataFrame(rows, "k long, v array<double>").repartition(3)
+    for threshold in (0.4, 1.5):
+        assert {r.k: r.cluster for r in K.agglomerative(df, "k", "v", threshold).collect()} == naive_ward(rows, threshold)
+
+
+def test_ward_clusters_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0], 5), (1, [0.0, 0.0], 6), (2, None, 7), (None, [0.0, 0.0], 8), (3, [9.0, 9.0], 9)], "k long, v array<double>, cluster long")
+    assert sorted((r.k, r.cluster) for r in K.agglomerative(df, "k", "v", 1.0).collect()) == [(1, 1), (1, 1), (3, 3)]
+    assert K.agglomerative(df.limit(0), "k", "v", 1.0).count() == 0
