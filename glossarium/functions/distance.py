@@ -7,10 +7,12 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..session import ship
+
 CODED = StructType([StructField(n, StringType()) for n in ("words_a", "words_b", "letters_a", "letters_b")])
 
 
@@ -57,6 +59,7 @@ def _coded(gold: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
 
 def counted_errors(df: DataFrame, gold: str, hypothesis: str, keep: Sequence[str] = ()) -> DataFrame:
     """errors() for two texts of each row (F21): words are recoded in Arrow batches, the distances are the engine's own."""
+    ship(df.sparkSession)
     c = df.select(*keep, _coded(gold, hypothesis).alias("c")).select(*keep, "c.*")
     edits = lambda a, b: F.levenshtein(a, b).cast("long")
     return c.select(
@@ -69,26 +72,43 @@ def label_error(golds: Sequence[Sequence[str]], hypotheses: Sequence[Sequence[st
     return min((edit_distance(g, h, mode), len(g)) for g in golds for h in hypotheses)
 
 
-def rewriter(segment: str, preceding: str, following: str, replacement: str) -> Callable[[str], str]:
-    """A phonological rule over blank-separated phones: the segment in its context is replaced; ^ and $ stand for the word's edges."""
+def least_errors(df: DataFrame, golds: str, hypothesis: str, key: str) -> DataFrame:
+    """(key, edits, length): label_error() of rows (key, golds, hypothesis), where golds is an array of alternative texts (F22). Keys are distinct; the shorter gold of equal ones counts."""
+    rows = df.select(key, F.explode(golds).alias("_gold"), F.col(hypothesis).alias("_said"))
+    found = counted_errors(rows, "_gold", "_said", [key])
+    return found.groupBy(key).agg(F.min(F.struct("word_edits", "word_length")).alias("e")).select(key, F.col("e.word_edits").alias("edits"), F.col("e.word_length").alias("length"))
+
+
+def _rule(segment: str, preceding: str, following: str) -> str:
+    """A pattern with what stands before a segment, the segment, and what stands behind it as groups."""
 
     def side(context: str, before: bool) -> str:
         initial, final = context.startswith("^"), context.endswith("$")
         inner = context.strip("^$").strip()
         body = r"\s+".join(re.escape(p) if re.fullmatch(r"\w+", p) else p for p in inner.split())
         if before:
-            return (r"(?P<pre>^" if initial else r"(?P<pre>(?:^|(?<=\s))") + (body + r"\s+" if body else "") + ")"
-        return r"(?P<post>" + (r"\s+" + body if body else "") + (r"$" if final else r"(?=\s|$)") + ")"
+            return ("(^" if initial else r"((?:^|(?<=\s))") + (body + r"\s+" if body else "") + ")"
+        return "(" + (r"\s+" + body if body else "") + ("$" if final else r"(?=\s|$)") + ")"
+
+    return side(preceding, True) + "(" + r"\s+".join(segment.split()) + ")" + side(following, False)
 
-    middle = r"\s+".join(segment.split())
-    pattern = re.compile(side(preceding, True) + (f"(?P<seg>{middle})" if middle else "(?P<seg>)") + side(following, False))
+
+def rewriter(segment: str, preceding: str, following: str, replacement: str) -> Callable[[str], str]:
+    """A phonological rule over blank-separated phones: the segment in its context is replaced; ^ and $ stand for the word's edges. Contexts have no groups of their own."""
+    pattern = re.compile(_rule(segment, preceding, following))
 
     def apply(pronunciation: str) -> str:
-        return " ".join(pattern.sub(lambda m: f"{m['pre']}{replacement}{m['post']}", pronunciation).split())
+        return " ".join(pattern.sub(lambda m: f"{m[1]}{replacement}{m[3]}", pronunciation).split())
 
     return apply
 
 
+def rewritten(pronunciation: Column, segment: str, preceding: str, following: str, replacement: str) -> Column:
+    """rewriter() of a column."""
+    plain = replacement.replace("\\", "\\\\").replace("$", "\\$")
+    return F.trim(F.regexp_replace(F.regexp_replace(pronunciation, _rule(segment, preceding, following), f"$1{plain}$3"), r"\s+", " "))
+
+
 def pchip(x: Sequence[float], y: Sequence[float], at: Sequence[float]) -> np.ndarray:
     """Monotone cubic interpolation by Fritsch and Carlson's slopes."""
     x, y, at = (np.asarray(v, float) for v in (x, y, at))

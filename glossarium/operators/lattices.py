@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,3 +140,43 @@ class JointModel:
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
         return df.mapInArrow(run, f"{kinds}, alignment string, likelihood double")
+
+
+#: What an edit costs beside the microseconds of a word that is put in, so that of the alignments with fewest edits one with the least extra time counts.
+EDIT = 1 << 40
+
+
+def word_edits(reference: Sequence[str], words: Sequence[str], micros: Sequence[int]) -> tuple[int, int]:
+    """Fewest edits from reference to words, and of such alignments the least time of words that are put in. Row by row, in memory of one side."""
+    number: dict[str, int] = {}
+    w = np.array([number.setdefault(x, len(number)) for x in words], np.int64)
+    put = np.concatenate([[0], np.cumsum(EDIT + np.asarray(micros, np.int64))])
+    row = put.copy()
+    for r in reference:
+        new = row + EDIT
+        new[1:] = np.minimum(new[1:], row[:-1] + np.where(w == number.get(r, -1), 0, EDIT))
+        row = put + np.minimum.accumulate(new - put)
+    return int(row[-1]) >> 40, int(row[-1]) & (EDIT - 1)
+
+
+def transcript_errors(df: DataFrame, reference: str, words: str, keep: Sequence[str], silence: Sequence[str] = ("", "sil", "sp", "<eps>"), shortest: float = 0.03) -> DataFrame:
+    """(keep, n_words, edits, word_error, extra_duration, transcript) of utterances from their aligned words.
+
+    reference: an array of words; words: an array of (label, begin, stop). Silence and words up to `shortest` seconds don't count. The word error is edits by words
+    of the reference, and extra duration the seconds of words that are put in; null without words in the reference. Utterances without aligned words, or with a null side, are left out.
+    """
+    ship(df.sparkSession)
+    lasting = F.filter(words, lambda w: ~w["label"].isin(list(silence)) & (F.round(w["stop"] - w["begin"], 6) > shortest))
+    rows = df.select(*keep, F.col(reference).alias("_r"), F.array_sort(F.transform(lasting, lambda w: F.struct(w["begin"].alias("begin"), w["stop"].alias("stop"), w["label"].alias("label")))).alias("_w")).filter("_r IS NOT NULL AND size(_w) > 0")
+    rows = rows.select(*keep, "_r", F.col("_w.label").alias("_l"), F.transform("_w", lambda w: F.round((w["stop"] - w["begin"]) * 1e6).cast("long")).alias("_m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            r, l, m = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_r", "_l", "_m"))
+            found = [word_edits(*x) for x in zip(r, l, m)]
+            own = [b.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(map(len, r), pa.int64()), pa.array([e for e, _ in found], pa.int64()), pa.array([t / 1e6 for _, t in found], pa.float64()), pa.array([" ".join(x) for x in l], pa.string())], [*keep, "n_words", "edits", "extra_duration", "transcript"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+    out = rows.mapInArrow(run, f"{kinds}, n_words long, edits long, extra_duration double, transcript string")
+    return out.select(*keep, "n_words", "edits", F.try_divide("edits", "n_words").alias("word_error"), "extra_duration", "transcript")

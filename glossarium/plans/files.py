@@ -24,26 +24,30 @@ def _lines(spark: SparkSession, df: DataFrame, name: str) -> str:
     return folder
 
 
+#: A file for each nation and thousand of keys, so that no file grows with the table.
+NATION_FILE = "concat('n', c_nationkey, 'b', c_custkey div 1000)"
+
+
 def _grids(spark: SparkSession, sf: str) -> str:
-    """A TextGrid for each nation: its customers as intervals, a speaker for each segment, every tenth one 5 ms long."""
-    c = table(spark, sf, "customer").withColumn("begin", F.col("c_custkey").cast("double"))
-    ends = c.groupBy("c_nationkey").agg((F.max("begin") + 1).alias("duration"))
-    rows = c.join(ends, "c_nationkey").select(
-        F.concat(F.lit("n"), "c_nationkey").alias("path"), F.col("c_mktsegment").alias("speaker"), F.when(F.col("c_custkey") % 2 == 0, "words").otherwise("phones").alias("kind"), "begin",
+    """A TextGrid for each nation's customers of a thousand keys: they are the intervals, a speaker for each segment, every tenth one 5 ms long."""
+    c = table(spark, sf, "customer").withColumn("begin", F.col("c_custkey").cast("double")).withColumn("path", F.expr(NATION_FILE))
+    ends = c.groupBy("path").agg((F.max("begin") + 1).alias("duration"))
+    rows = c.join(ends, "path").select(
+        "path", F.col("c_mktsegment").alias("speaker"), F.when(F.col("c_custkey") % 2 == 0, "words").otherwise("phones").alias("kind"), "begin",
         (F.col("begin") + F.when(F.col("c_custkey") % 5 == 0, 0.005).otherwise(0.5)).alias("end"), F.col("c_name").alias("label"), "duration",
     )
     return _bodies(spark, W.textgrids(rows).select(F.concat("path", F.lit(".TextGrid")).alias("name"), "body"), "textgrids")
 
 
 GRIDS = """
-SELECT 'n' || c_nationkey AS file, c_mktsegment AS speaker, CASE WHEN c_custkey % 2 = 0 THEN 'words' ELSE 'phones' END AS kind, CAST(c_custkey AS DOUBLE) AS start,
-  CAST(c_custkey AS DOUBLE) + CASE WHEN c_custkey % 5 = 0 THEN 0.005 ELSE 0.5 END AS stop, c_name AS label, max(CAST(c_custkey AS DOUBLE)) OVER (PARTITION BY c_nationkey) + 1 AS duration
+SELECT 'n' || c_nationkey || 'b' || c_custkey // 1000 AS file, c_mktsegment AS speaker, CASE WHEN c_custkey % 2 = 0 THEN 'words' ELSE 'phones' END AS kind, CAST(c_custkey AS DOUBLE) AS start,
+  CAST(c_custkey AS DOUBLE) + CASE WHEN c_custkey % 5 = 0 THEN 0.005 ELSE 0.5 END AS stop, c_name AS label, max(CAST(c_custkey AS DOUBLE)) OVER (PARTITION BY c_nationkey, c_custkey // 1000) + 1 AS duration
 FROM customer"""
 
 
 @plan("S4 K1", f"SELECT file, speaker, kind, start, round(stop, 4) AS stop, label, duration FROM ({GRIDS})")
 def textgrid_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Intervals written as one annotation file a nation, and read again."""
+    """Intervals written as annotation files, and read again."""
     g = R.textgrids(spark, _grids(spark, sf))
     return g.select(X.stem("path").alias("file"), "speaker", "kind", F.col("begin").alias("start"), F.col("end").alias("stop"), "label", "duration")
 
@@ -261,19 +265,19 @@ def json_array_file(spark, sf):
     return R.json_array(spark, _bodies(spark, body.select(F.lit("n.json").alias("name"), "body"), "json"), "n_nationkey int, n_name string, n_regionkey int")
 
 
-@plan("S19", "SELECT 'n' || c_nationkey AS speaker, c_name AS key, c_mktsegment AS text FROM customer")
+@plan("S19", "SELECT 'n' || c_nationkey || 'b' || c_custkey // 1000 AS speaker, c_name AS key, c_mktsegment AS text FROM customer")
 def tsv_transcripts(spark, sf):
     """Transcripts of a speaker a file; lines without a second column don't count."""
     c = table(spark, sf, "customer").withColumn("line", F.concat_ws("\t", "c_name", "c_mktsegment"))
-    g = c.groupBy("c_nationkey").agg(F.concat(F.lit("no text\n"), F.array_join(F.collect_list("line"), "\n")).alias("body"))  # a group is one file
-    return R.tsv_transcripts(spark, _bodies(spark, g.select(F.concat(F.lit("n"), "c_nationkey", F.lit(".tsv")).alias("name"), "body"), "tsv"))
+    g = c.groupBy(F.expr(NATION_FILE).alias("file")).agg(F.concat(F.lit("no text\n"), F.array_join(F.collect_list("line"), "\n")).alias("body"))  # a group is one file
+    return R.tsv_transcripts(spark, _bodies(spark, g.select(F.concat("file", F.lit(".tsv")).alias("name"), "body"), "tsv"))
 
 
 @plan(
     "S20",
     """
 SELECT 's' || s_suppkey AS stem, CASE WHEN s_suppkey % 9 <> 0 THEN 'WAV' END AS format, CASE WHEN s_suppkey % 9 <> 0 THEN 8000 + s_suppkey % 4 * 1000 END AS sample_rate,
-  CASE WHEN s_suppkey % 9 <> 0 THEN CAST(s_suppkey * 10 AS DOUBLE) / (8000 + s_suppkey % 4 * 1000) END AS seconds, CASE WHEN s_suppkey % 9 <> 0 THEN 1 + s_suppkey % 2 END AS channels FROM supplier""",
+  CASE WHEN s_suppkey % 9 <> 0 THEN CAST(s_suppkey % 1000 * 10 AS DOUBLE) / (8000 + s_suppkey % 4 * 1000) END AS seconds, CASE WHEN s_suppkey % 9 <> 0 THEN 1 + s_suppkey % 2 END AS channels FROM supplier""",
 )
 def sound_headers(spark, sf):
     """Rates, seconds and channels of sound files, nulls for a file that is none."""
@@ -289,7 +293,7 @@ def sound_headers(spark, sf):
             for k in batch.column(0).to_pylist():
                 out = io.BytesIO()
                 with wave.open(out, "wb") as w:
-                    w.setnchannels(1 + k % 2), w.setsampwidth(1), w.setframerate(8000 + k % 4 * 1000), w.writeframes(bytes(k * 10 * (1 + k % 2)))
+                    w.setnchannels(1 + k % 2), w.setsampwidth(1), w.setframerate(8000 + k % 4 * 1000), w.writeframes(bytes(k % 1000 * 10 * (1 + k % 2)))
                 bodies.append(b"x" if k % 9 == 0 else out.getvalue())
             yield pa.RecordBatch.from_arrays([pa.array([f"s{k}.wav" for k in batch.column(0).to_pylist()]), pa.array(bodies, pa.binary())], ["name", "body"])
 

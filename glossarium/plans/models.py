@@ -79,3 +79,26 @@ def joint_alignment(spark: SparkSession, sf: str) -> DataFrame:
     pairs = words.select("word", "n", F.split("word", "").alias("letters"), F.split(said, "").alias("phones")).filter("size(phones) > 0 AND phones[0] <> ''")
     model = A.JointModel(pairs, "letters", "phones", "n", rounds=8)
     return model.aligned(pairs.select("word", "letters", "phones"), "letters", "phones").select("word", "alignment", F.round("likelihood", 9).alias("likelihood"))
+
+
+@plan(
+    "M16",
+    f"""
+WITH w AS (SELECT conv_id, turn, list_filter({WORDS}, lambda x: x NOT IN ('uhh', 'zz')) AS w FROM conversations),
+n AS (SELECT conv_id, turn, len(w) AS n, CASE WHEN turn % 2 = 0 THEN (len(w) + 3) // 4 ELSE len(w) // 5 END AS edits FROM w)
+SELECT conv_id, turn, n AS n_words, edits, round(edits / n, 6) AS word_error, CASE WHEN turn % 2 = 0 THEN round(edits * 0.25::DOUBLE, 6) ELSE 0 END AS extra_duration FROM n WHERE n > 0""",
+)
+def transcript_word_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns against aligned words: even turns have a word of a quarter second put in behind every fourth, odd ones lack every fifth; silence and very short words don't count."""
+    own = F.filter(_words(), lambda x: ~x.isin("uhh", "zz"))
+
+    def said(w: Column, i: Column) -> Column:
+        at = i * 1.0
+        word = lambda label, begin, stop: F.struct(F.lit(label).alias("label") if isinstance(label, str) else label.alias("label"), (at + begin).alias("begin"), (at + stop).alias("stop"))
+        rest = [F.when(i % 4 == 0, F.when(F.col("turn") % 2 == 0, word("uhh", 0.5, 0.75))), F.when(i % 7 == 0, word("zz", 0.8, 0.82)), word("sil", 0.85, 1.0)]
+        return F.array_compact(F.array(F.when((F.col("turn") % 2 == 0) | (i % 5 != 4), word(w, 0.0, 0.5)), *rest))
+
+    t = table(spark, sf, "conversations").select("conv_id", "turn", own.alias("reference"))
+    t = t.withColumn("words", F.flatten(F.transform("reference", said)))
+    e = A.transcript_errors(t, "reference", "words", ["conv_id", "turn"])
+    return e.select("conv_id", "turn", "n_words", "edits", F.round("word_error", 6).alias("word_error"), F.round("extra_duration", 6).alias("extra_duration"))

@@ -209,20 +209,10 @@ WITH p AS (SELECT p_type, p_partkey, p_name FROM part) SELECT p_partkey, CAST(CA
 )
 def label_errors(spark, sf):
     """Least edits over all pairs of alternative pronunciations, with that gold's length."""
-    import pandas as pd
-
-    def run(frames):
-        for f in frames:
-            out = []
-            for key, name in zip(f.p_partkey, f.p_name):
-                words = name.split(" ")
-                said = [["q1", "q2", *words]] if key % 2 == 0 else [["q3", *words]]
-                out.append((key, *D.label_error([["q1", "q2", *words], ["q1", *words]], said)))
-            yield pd.DataFrame(out, columns=["p_partkey", "edits", "length"])
-
-    p = table(spark, sf, "part").select("p_partkey", "p_name")
-    ship(spark)
-    return p.mapInPandas(run, "p_partkey long, edits long, length long")
+    name, even = F.col("p_name"), F.col("p_partkey") % 2 == 0
+    golds = F.array(F.concat(F.lit("q1 q2 "), name), F.concat(F.lit("q1 "), name))
+    p = table(spark, sf, "part").select("p_partkey", golds.alias("golds"), F.concat(F.when(even, "q1 q2 ").otherwise("q3 "), name).alias("said"))
+    return D.least_errors(p, "golds", "said", "p_partkey")
 
 
 @plan(
@@ -232,13 +222,7 @@ SELECT p_partkey, regexp_replace(regexp_replace('s m ' || lower(p_type) || ' t',
 )
 def phonological_rules(spark, sf):
     """Rules that are data: a segment in its context, at the word's end and at its beginning."""
-    import pandas as pd
-
-    ship(spark)
-
-    def run(frames):
-        rules = [D.rewriter("t", "", "$", "d"), D.rewriter("s", "^", "m", "z")]
-        for f in frames:
-            yield pd.DataFrame({"p_partkey": f.p_partkey, "rewritten": [rules[1](rules[0](p)) for p in f.phones]})
-
-    return table(spark, sf, "part").select("p_partkey", F.concat(F.lit("s m "), F.lower("p_type"), F.lit(" t")).alias("phones")).mapInPandas(run, "p_partkey long, rewritten string")
+    phones = F.concat(F.lit("s m "), F.lower("p_type"), F.lit(" t"))
+    for rule in (("t", "", "$", "d"), ("s", "^", "m", "z")):
+        phones = D.rewritten(phones, *rule)
+    return table(spark, sf, "part").select("p_partkey", phones.alias("rewritten"))

@@ -74,9 +74,15 @@ def saved(df: DataFrame, folder: str) -> int:
     return df.select("name", "body").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+#: Rows of a report that one task writes.
+ONE_FILE = 100_000
+
+
 def report(df: DataFrame, path: str, order: Sequence[Column | str]) -> None:
-    """A sorted csv in one file: reports are aggregates of few rows (K3, K4, K5, K9)."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """A sorted csv (K3, K4, K5, K9): one file if its rows are few, else files of ranges in order."""
+    rows = df.orderBy(*order)
+    few = df.limit(ONE_FILE + 1).count() <= ONE_FILE
+    (rows.coalesce(1) if few else rows).write.mode("overwrite").csv(path, header=True)
 
 
 def alignment_report(df: DataFrame, path: str) -> None:

@@ -107,3 +107,21 @@ def test_greedy_job_packing_is_one_rule_at_every_size(spark, monkeypatch):
     monkeypatch.setattr(R, "SMALL", 3, raising=False)
     rows = [tuple(r) for r in greedy_job_packing(spark, SMALL).select("user_id", "job").collect()]
     assert dict(rows) == R.greedy_loads(list(collections.Counter(u for u, _ in rows).items()), 4)
+
+
+def test_rules_of_columns(spark):
+    from glossarium.functions import distance as D
+
+    words = ["s m a t", "t", "s m", "a s m t t", "", "t a t"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for rule in (("t", "", "$", "d"), ("s", "^", "m", "z"), ("t", "", "", "$1 x"), ("", "a", "", "q"), ("m a", "s", "t", "")):
+        plain = D.rewriter(*rule)
+        assert [r.x for r in df.select(D.rewritten(df.w, *rule).alias("x")).collect()] == [plain(w) for w in words]
+
+
+def test_least_errors(spark):
+    from glossarium.functions import distance as D
+
+    rows = [(1, ["a b c", "a b"], "a b"), (2, ["a b c", "x y"], "a c"), (3, ["a"], ""), (4, ["a b", "a b c d"], "q r")]
+    got = {r.k: (r.edits, r.length) for r in D.least_errors(spark.createDataFrame(rows, "k long, g array<string>, s string"), "g", "s", "k").collect()}
+    assert got == {k: D.label_error([g.split() for g in golds], [s.split()]) for k, golds, s in rows}

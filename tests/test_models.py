@@ -111,3 +111,35 @@ def test_alignment_of_conversations(spark):
     rows = {p.name: p for p in all_plans()}["joint_alignment"].run(spark, SMALL).collect()
     th = [r.alignment for r in rows if "th" in r.word and r.alignment]
     assert rows and sum("t|h}T" in a for a in th) > 0.9 * len(th)
+
+
+def test_word_edits_by_recursion():
+    import functools
+    import random
+
+    rng = random.Random(3)
+    for _ in range(150):
+        r, w = [[rng.choice("abc") for _ in range(rng.randrange(7))] for _ in range(2)]
+        m = [rng.randrange(1, 9) for _ in w]
+
+        @functools.cache
+        def least(i, j):
+            if i == 0 and j == 0:
+                return (0, 0)
+            every = []
+            if i:
+                every.append((least(i - 1, j)[0] + 1, least(i - 1, j)[1]))
+            if j:
+                every.append((least(i, j - 1)[0] + 1, least(i, j - 1)[1] + m[j - 1]))
+            if i and j:
+                every.append((least(i - 1, j - 1)[0] + (r[i - 1] != w[j - 1]), least(i - 1, j - 1)[1]))
+            return min(every)
+
+        assert A.word_edits(r, w, m) == least(len(r), len(w))
+
+
+def test_transcript_errors_of_odd_rows(spark):
+    word = "array<struct<label:string,begin:double,stop:double>>"
+    rows = [(1, ["a", "b"], [("b", 1.0, 1.5), ("a", 0.0, 0.5), ("sil", 0.5, 1.0)]), (2, [], [("x", 0.0, 0.25)]), (3, ["a"], [("a", 0.0, 0.03)]), (4, None, [("a", 0.0, 1.0)]), (5, ["a"], None), (6, ["a"], [])]
+    got = {r.k: (r.edits, r.word_error, r.extra_duration, r.transcript) for r in A.transcript_errors(spark.createDataFrame(rows, f"k long, r array<string>, w {word}"), "r", "w", ["k"]).collect()}
+    assert got == {1: (0, 0.0, 0.0, "a b"), 2: (1, None, 0.25, "x")}
