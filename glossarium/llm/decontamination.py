@@ -4,7 +4,7 @@ Benchmark items and documents are turned into templates: numbers, names (capital
 become typed placeholders, all other words are lowered. Windows of five template words are hashed; the items' windows form
 a hash table, and documents probe it with every window they have: a hash join whose smaller side is broadcast. Windows that a document shares
 with an item at one distance form an alignment, and its slots are compared: each of the item's values must stand for one value of the
-document throughout, as in a question asked again with other numbers. An item leaks if an alignment holds at least half of its distinct
+document throughout, and different values for different ones, as in a question asked again with other numbers. An item leaks if an alignment holds at least half of its distinct
 windows (or a run of RUN of them) with consistent slots, or if several do together: those near each other, where words were put in or left out, or
 all of the document. Among several, those that contradict themselves don't count.
 
@@ -24,15 +24,18 @@ from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, mix64, small_batches, table, tidied, word_hash
+from .common import free_name, mix64, small_batches, table, tidied, word_hash, written
 from .tokens import LETTERS, MARKS_BEHIND, Table
 
 WIDTH = 5
@@ -40,6 +43,8 @@ WIDTH = 5
 SHARE, RUN, CONSISTENT = 0.5, 20, 0.75
 #: Windows of the items of one block: 16 bytes each in the broadcast table, beside the items' words.
 BLOCK = 2_000_000
+#: Texts with matches that may be broadcast.
+FEW = 100_000
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*|[.!?\n%$€£°]")
 #: Units that may follow a number.
@@ -294,13 +299,15 @@ def _slots(item: Item, shift: int, hits: list[tuple[int, int, int]], tokens: lis
 
 
 def _consistent(slots: list[dict[tuple[int, str], Counter]]) -> tuple[int, float]:
-    """How many slots there are together, and the share that follows one value for each of the item's; 1 without slots."""
-    merged: dict[tuple[int, str], Counter] = defaultdict(Counter)
+    """How many slots there are together, and the share that follows one value for each of the item's, or one of the item's for each value if that is less; 1 without slots."""
+    there, back = defaultdict(Counter), defaultdict(Counter)
     for some in slots:
-        for value, counts in some.items():
-            merged[value].update(counts)
-    n = sum(sum(c.values()) for c in merged.values())
-    return n, sum(max(c.values()) for c in merged.values()) / n if n else 1.0
+        for (kind, value), counts in some.items():
+            for new, n in counts.items():
+                there[kind, value][new] += n
+                back[kind, new][value] += n
+    n = sum(sum(c.values()) for c in there.values())
+    return n, min(sum(max(c.values()) for c in way.values()) for way in (there, back)) / n if n else 1.0
 
 
 def _longest_run(hits: list[tuple[int, int, int]]) -> int:
@@ -324,28 +331,52 @@ def _blocks(benchmark: DataFrame, size: int) -> Iterator[Index]:
     yield Index(items)
 
 
+FIGURES = [("item_id", T.LongType()), ("share", T.DoubleType()), ("run", T.IntegerType()), ("slots", T.IntegerType()), ("consistent", T.DoubleType())]
+FOUND = T.ArrayType(T.StructType([T.StructField(*f) for f in FIGURES]))
+
+
+def _probed(docs: DataFrame, index: Broadcast, column: str) -> DataFrame:
+    """docs with the items of one index that each row's whole text holds."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, chunks, names = Templates(), Chunks(), [n for n, _ in FIGURES]
+        arrow = pa.list_(pa.struct(list(zip(names, (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64())))))
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            found: list[list[dict]] = [[] for _ in texts]
+            for k in index.value.holders(texts, chunks):
+                found[k] = [dict(zip(names, m)) for m in index.value.matches(texts[k], make)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], [*batch.schema.names, column])
+
+    return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField(column, FOUND)]))
+
+
 def with_matches(docs: DataFrame, benchmark: DataFrame, column: str, block: int = BLOCK) -> DataFrame:
-    """docs with the items that each row's whole text holds, empty where none."""
+    """docs with the items that each row's whole text holds, empty where none.
+
+    One block is probed in the scan that gives the rows. Of several, each has a scan of its own that writes the texts with matches (by digest), and its table is let go before
+    the next one is sent; so executors hold one block at a time.
+    """
     spark = docs.sparkSession
     small_batches(spark, 1024)  # the more texts, the fewer times a chunk is looked up
-    kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("share", T.DoubleType()), T.StructField("run", T.IntegerType()), T.StructField("slots", T.IntegerType()), T.StructField("consistent", T.DoubleType())]))
-    out = docs
+    blocks = _blocks(benchmark, block)
+    index, more = next(blocks), next(blocks, None)
+    if more is None:
+        return _probed(docs, spark.sparkContext.broadcast(index), column)
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     parts = []
-    for n, index in enumerate(_blocks(benchmark, block)):
-        kept, at, name = spark.sparkContext.broadcast(index), out.columns.index("text"), free_name(out, f"{column}_{n}")
-
-        def run(batches: Iterator[pa.RecordBatch], kept=kept, at=at, name=name) -> Iterator[pa.RecordBatch]:
-            make, chunks, arrow = Templates(), Chunks(), pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("run", pa.int32()), ("slots", pa.int32()), ("consistent", pa.float64())]))
-            for batch in batches:
-                texts = [t or "" for t in batch.column(at).to_pylist()]
-                found: list[list[dict]] = [[] for _ in texts]
-                for k in kept.value.holders(texts, chunks):
-                    found[k] = [dict(zip(("item_id", "share", "run", "slots", "consistent"), m)) for m in kept.value.matches(texts[k], make)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], [*batch.schema.names, name])
-
-        out = out.mapInArrow(tidied(run), T.StructType([*out.schema.fields, T.StructField(name, kind)]))
-        parts.append(name)
-    return out.withColumn(column, F.concat(*parts)).drop(*[p for p in parts if p != column])
+    for some in chain([index, more], blocks):
+        sent = spark.sparkContext.broadcast(some)
+        probed = _probed(docs.select(digest.alias("digest"), "text"), sent, "found").filter(F.size("found") > 0)
+        parts.append(written(probed.groupBy("digest").agg(F.first("found").alias("found")), "leaks"))
+        sent.unpersist()
+    every = reduce(DataFrame.unionByName, parts).groupBy("digest").agg(F.flatten(F.collect_list("found")).alias("found"))
+    key = free_name(docs, "digest")
+    few = every.limit(FEW + 1).count() <= FEW
+    every = every.select(F.col("digest").alias(key), F.col("found").alias(column))
+    out = docs.withColumn(key, digest).join(F.broadcast(every) if few else every, key, "left").drop(key)
+    return out.withColumn(column, F.coalesce(column, F.array().cast(FOUND)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:

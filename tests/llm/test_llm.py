@@ -388,13 +388,14 @@ def brute_leaks(text, item):
                 by[q - p].add(p)
 
     def even(shifts):
-        pairs = collections.defaultdict(list)
+        ways = collections.defaultdict(list), collections.defaultdict(list)
         for s in shifts:
             for p in {p + i for p in by[s] for i in range(5)}:
                 if ik[p]:
-                    pairs[ik[p], iw[p].lower()].append(dw[p + s].lower())
-        n = sum(map(len, pairs.values()))
-        return not n or sum(max(map(v.count, v)) for v in pairs.values()) >= D.CONSISTENT * n
+                    ways[0][ik[p], iw[p].lower()].append(dw[p + s].lower())
+                    ways[1][ik[p], dw[p + s].lower()].append(iw[p].lower())
+        n = sum(map(len, ways[0].values()))
+        return not n or all(sum(max(map(v.count, v)) for v in pairs.values()) >= D.CONSISTENT * n for pairs in ways)
 
     sound = sorted(s for s in by if even([s]))
     near = [[s for s in sound if any(lo <= s <= hi for lo, hi in [g])] for g in _stretches(sound, len(iw))]
@@ -436,6 +437,26 @@ def test_decontamination_of_typed_templates_against_brute_force(spark):
     assert len({(7 * i + 1, i) for i in range(12)} & want) <= 3 and len({(7 * i + 2, i) for i in range(12)} & want) <= 3
 
 
+def test_decontamination_wants_different_values_for_different_ones(spark):
+    q = "so when Anna had 3 boats and then Peter got 5 boats more the two of them Anna and Peter sold 3 or 5 boats that year"
+    merged = q.replace("Peter", "Anna").replace("3", "9").replace("5", "9")
+    rows = [(1, q.replace("Anna", "Lea").replace("Peter", "Max").replace("3", "8").replace("5", "6")), (2, merged), (3, q)]
+    got = D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, q)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3]
+
+
+def test_decontamination_of_many_blocks(spark):
+    """Blocks have scans of their own; what they found is joined, so the last plan holds none of their tables."""
+    items = [(i, " ".join(prose(900 + i, 25))) for i in range(20)] + [(20, " ".join(prose(900, 25)))]
+    rows = [(i, f"own words {text} more words") for i, text in items] + [(50, " ".join(prose(899, 60))), (51, None), (0, f"own words {items[0][1]} more words"), (60, f"{items[3][1]} . {items[17][1]}")]
+    df, b = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted((r.doc_id, tuple(r.item_ids), r.share, r.longest_run) for r in D.contaminated(df, b, block=size).collect()) for size in (10_000, 8))
+    assert one == many and len(one) == 23 and (60, (3, 17), 1.0, 21) in one
+    found = D.with_matches(df, b, "found", 8)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString() and found.columns == [*df.columns, "found"] and found.count() == len(rows)
+    assert sorted(r.doc_id for r in D.clean_rows(df, b, 8).collect()) == [50, 51]
+
+
 def test_decontamination_isnt_led_astray_by_a_stray_window(spark):
     q = "A farmer called Tom had 12 sheep and sold 5 of them to Mary before the winter came. How many sheep did Tom keep that year after Mary left?"
     odd = q.replace("Tom had", "Jim had").replace("Mary left", "Kim left").replace("did Tom", "did Bob")
