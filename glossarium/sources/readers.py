@@ -89,9 +89,24 @@ def textgrid_tiers(body: str) -> tuple[float, list[tuple[str, list[tuple[float,
     return end, tiers
 
 
+def _tiers_or_error(body: str) -> tuple[float, list[tuple[str, list[tuple[float, float, str]]]], str | None]:
+    """textgrid_tiers(), and what is wrong with a body that is none."""
+    try:
+        end, tiers = textgrid_tiers(body)
+        for _, rows in tiers:
+            for begin, stop, label in rows:
+                if not (isinstance(begin, float) and isinstance(stop, float) and isinstance(label, str)):
+                    return 0.0, [], f"no interval: {begin!r}, {stop!r}, {label!r}"
+        return end, tiers, None
+    except StopIteration:
+        return 0.0, [], "it ends too early"
+    except (ValueError, TypeError) as e:
+        return 0.0, [], str(e)
+
+
 def _textgrid(phones_only: bool = False) -> Callable[[str, str], Iterator[tuple]]:
     def parse(path: str, body: str) -> Iterator[tuple]:
-        duration, tiers = textgrid_tiers(body)
+        duration, tiers, _ = _tiers_or_error(body)
         for k, (name, rows) in enumerate(tiers):
             if name.strip().lower() == "notes" or phones_only and "phones" not in name:
                 continue
@@ -108,10 +123,21 @@ INTERVALS = "path string, speaker string, kind string, tier long, begin double,
 
 
 def textgrids(spark: SparkSession, path: str, phones_only: bool = False) -> DataFrame:
-    """One row per labelled interval (S4); reference phones drop those under 10 ms and other tiers."""
+    """One row per labelled interval (S4); reference phones drop those under 10 ms and other tiers (S5). Files that can't be read have none: malformed_textgrids() names them."""
     return parsed(whole_texts(spark, path, "*.TextGrid"), _textgrid(phones_only), INTERVALS)
 
 
+def malformed_textgrids(spark: SparkSession, path: str) -> DataFrame:
+    """(path, error) of the files that textgrids() leaves out; the engine's text reader doesn't see files without a byte."""
+
+    def parse(path: str, body: str) -> Iterator[tuple]:
+        *_, error = _tiers_or_error(body)
+        if error is not None:
+            yield path, error
+
+    return parsed(whole_texts(spark, path, "*.TextGrid"), parse, "path string, error string")
+
+
 def with_channels(intervals: DataFrame, channels: DataFrame) -> DataFrame:
     """Tiers in the second half of a file with two channels are on channel 1 (S4). channels: (path, channels)."""
     n = intervals.groupBy("path").agg((F.max("tier") + 1).alias("_n"))

@@ -170,3 +170,35 @@ def test_stored_alignments_are_among_the_least_ones(run):
             continue
         _, least = best_ways(tuple(a), tuple(b))
         assert any(m == r.n_matched and r.error_rate == pytest.approx(e / max(len(a), len(b), 1)) and r.boundary_error == pytest.approx(t / m if m else 0.0, abs=1e-6) for e, m, t in least)
+
+
+#: (source words, target words, words that both have, stretches of the target that the source doesn't have); times in seconds.
+WARPS = {
+    "silence in the source": ([("left", 0.1, 0.45), ("right", 0.85, 1.3)], [("left", 0.1, 0.4), ("right", 0.45, 0.9)], ["left", "right"], []),
+    "silence in the target": ([("left", 0.1, 0.45), ("right", 0.45, 0.9)], [("left", 0.1, 0.4), ("right", 0.8, 1.3)], ["left", "right"], [(0.4, 0.8)]),
+    "silence in both": ([("left", 0.1, 0.45), ("right", 0.5, 0.9)], [("left", 0.1, 0.4), ("right", 0.8, 1.3)], ["left", "right"], []),
+    "a filler and silence in both": ([("uh", 0.0, 0.2), ("left", 0.3, 0.6), ("right", 0.7, 1.1)], [("left", 0.1, 0.4), ("right", 0.8, 1.2)], ["left", "right"], []),
+    "a filler and silence in the target": ([("uh", 0.0, 0.2), ("left", 0.2, 0.6), ("right", 0.6, 1.1)], [("left", 0.1, 0.4), ("right", 0.8, 1.2)], ["left", "right"], [(0.4, 0.8)]),
+    "words more and fewer": ([("so", 0.0, 0.2), ("go", 0.2, 0.5), ("on", 0.5, 0.8), ("now", 0.8, 1.2)], [("go", 0.1, 0.5), ("right", 0.5, 0.9), ("on", 0.9, 1.1), ("now", 1.1, 1.4)], ["go", "on", "now"], [(0.5, 0.9)]),
+    "the same": ([("go", 0.0, 0.4), ("on", 0.4, 0.8)], [("go", 0.0, 0.4), ("on", 0.4, 0.8)], ["go", "on"], []),
+}
+
+
+@pytest.mark.parametrize("case", WARPS)
+def test_warping_cases(spark, case):
+    """Frames of a shared word come from within that word of the source; stretches that only the target has are told."""
+    source, target, shared, new = WARPS[case]
+    rate = 86.13
+    pairs = I.lcs_pairs([w for w, _, _ in source], [w for w, _, _ in target])
+    assert [source[i][0] for i, _ in pairs] == [target[j][0] for _, j in pairs] == shared
+    anchors = [(s * rate, t * rate) for i, j in pairs for s, t in zip(source[i][1:], target[j][1:])]
+    x, y = zip(*I.monotone_anchors(anchors))
+    path = D.warp_path(x, y, round(target[-1][2] * rate))
+    for i, j in pairs:
+        frames = np.arange(int(np.ceil(target[j][1] * rate)), int(target[j][2] * rate))
+        inside = path[frames[frames < len(path)]]
+        assert (inside >= source[i][1] * rate - 1.5).all() and (inside <= source[i][2] * rate + 1.5).all()
+    assert (np.diff(path[int(np.ceil(y[0])) : int(y[-1])]) >= -1e-9).all()
+    rows = [(1, float(k), s / rate, t / rate) for k, (s, t) in enumerate(anchors)]
+    found = I.inserted_silence(spark.createDataFrame(rows, "f long, place double, source double, target double"), ["f"], "place", "source", "target").collect()
+    assert [(round(r.begin, 6), round(r.stop, 6)) for r in found] == new

@@ -15,6 +15,16 @@ def put(folder, name, body):
     return str(p)
 
 
+def test_malformed_textgrids_are_set_apart(spark, tmp_path):
+    good = writers.textgrid([("ann - words", [(0, 1, "a")])], 2.0)
+    bodies = {"good": good, "blank": "\n", "other": "hello", "short": good[: len(good) // 2], "swapped": good.replace('"a"', "7")}
+    for name, body in bodies.items():
+        put(tmp_path, f"{name}.TextGrid", body)
+    assert [r.label for r in readers.textgrids(spark, str(tmp_path)).collect()] == ["a"]
+    bad = {r.path.rpartition("/")[2]: r.error for r in readers.malformed_textgrids(spark, str(tmp_path)).collect()}
+    assert set(bad) == {f"{n}.TextGrid" for n in bodies if n != "good"} and all(bad.values())
+
+
 @pytest.mark.parametrize("short", [False, True])
 def test_textgrid_round_trip(spark, tmp_path, short):
     rows = [(0.1, 0.5, 'say "hi"'), (0.6, 1.5, "world")]
