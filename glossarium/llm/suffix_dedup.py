@@ -28,10 +28,12 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashCache, batches, mix64, small_batches, table, written
+from .common import HashCache, Tables, batches, mix64, small_batches, table
 
 LEAST, HEAD = 50, 24
 FEW = 500_000
+#: Partners of a text that one task compares with it.
+SPLIT = 1024
 WORD = re.compile(r"\w+")
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -122,45 +124,55 @@ def suffixes(docs: DataFrame) -> DataFrame:
     return docs.select(rank, tag_of(), "text").mapInArrow(run, "head long, rank long, tag long, at int")
 
 
-def runs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Suffixes with the neighbour that stays (first_tag, first_at), and the runs of each pair of documents."""
+def runs(rows: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Suffixes with the neighbour that stays (first_tag, first_at), and the runs of each pair of documents. rows are let go."""
     neighbour = rows.groupBy("head").agg(F.min(F.struct("rank", "tag", "at")).alias("first"), F.min("tag").alias("low"), F.max("tag").alias("high"))
     neighbour = neighbour.filter("low <> high").select("head", F.col("first.tag").alias("first_tag"), F.col("first.at").alias("first_at"))
-    paired = written(rows.join(neighbour, "head"), "suffix-paired")
+    paired = tables.write(rows.join(neighbour, "head"), "suffix-paired")
+    tables.drop(rows)
     by = paired.filter("tag <> first_tag").groupBy("tag", "first_tag", (F.col("at") - F.col("first_at")).alias("shift"))
     places = by.agg(F.sort_array(F.collect_set("at")).alias("places"))  # of one pair of documents: no more than a text's words
-    return paired, written(places, "suffix-runs")
+    return paired, tables.write(places, "suffix-runs")
 
 
-def extend(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Maximal common passages around the runs: tag, start, stop, first_tag, first_start, first_stop in words, of LEAST words or not."""
-    used = written(pairs.select(F.explode(F.array("tag", "first_tag")).alias("tag")).distinct(), "suffix-used")
+def extend(pairs: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
+    """Maximal common passages of LEAST words around the runs, written: tag, start, stop, first_tag, first_start, first_stop in words. pairs are let go.
+
+    The text that stays goes once to each SPLIT of its partners, so that one which many texts share a passage with is dealt to many tasks.
+    """
+    used = tables.write(pairs.select(F.explode(F.array("tag", "first_tag")).alias("tag")).distinct(), "suffix-used")
     few = used.count() <= FEW
     texts = docs.select(tag_of(), F.coalesce("text", F.lit("")).alias("text"))
-    texts = written(texts.join(F.broadcast(used) if few else used, "tag").dropDuplicates(["tag"]), "suffix-texts")
-    grouped = pairs.groupBy("tag", "first_tag").agg(F.collect_list(F.struct("shift", "places")).alias("runs"))
-    both = grouped.join(texts.selectExpr("tag", "text"), "tag").join(texts.selectExpr("tag as first_tag", "text as first_text"), "first_tag")
+    texts = tables.write(texts.join(F.broadcast(used) if few else used, "tag").dropDuplicates(["tag"]), "suffix-texts")
+    grouped = tables.write(pairs.groupBy("tag", "first_tag").agg(F.collect_list(F.struct("shift", "places")).alias("runs")), "suffix-grouped")
+    parts = grouped.groupBy("first_tag").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("parts"))
+    partners = grouped.join(parts, "first_tag").select("first_tag", F.pmod(F.xxhash64("tag"), "parts").alias("part"), F.lit(1).alias("kind"), "tag", "runs")
+    firsts = parts.select("first_tag", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("first_tag").alias("tag"), F.lit(None).alias("runs"))
+    rows = partners.unionByName(firsts).join(texts, "tag").select("first_tag", "part", "kind", "tag", "runs", "text")
     schema = pa.schema([(n, pa.int64()) for n in ("tag", "start", "stop", "first_tag", "first_start", "first_stop")])
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = Words(), HashCache(64)
+    def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
 
-        def rows() -> Iterator[tuple]:
-            for part in parts:
-                for tag, first_tag, found, text, first_text in zip(*(c.to_pylist() for c in part.columns)):
+        def found() -> Iterator[tuple]:
+            first = None
+            for batch in batches_in:
+                for first_tag, _, kind, tag, runs_, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    if not kind:
+                        first = words(text)
+                        continue
                     mine = words(text)
-                    if first_tag not in known:
-                        if len(known) >= known.size:
-                            known.clear()
-                        known[first_tag] = words(first_text)
-                    for r in found:
-                        for start, stop in passages(mine, known[first_tag], r["shift"], r["places"]):
-                            yield tag, start, stop, first_tag, start - r["shift"], stop - r["shift"]
+                    for r in runs_:
+                        for start, stop in passages(mine, first, r["shift"], r["places"]):
+                            if stop - start >= LEAST:
+                                yield tag, start, stop, first_tag, start - r["shift"], stop - r["shift"]
 
-        yield from batches(rows(), schema)
+        yield from batches(found(), schema)
 
     ddl = ", ".join(f"{f.name} long" for f in schema)
-    return both.select("tag", "first_tag", "runs", "text", "first_text").mapInArrow(run, ddl)
+    out = tables.write(rows.repartition("first_tag", "part").sortWithinPartitions("first_tag", "part", "kind", "tag").mapInArrow(run, ddl), "suffix-passages")
+    tables.drop(used, texts, grouped, pairs)
+    return out
 
 
 def passages(mine: np.ndarray, other: np.ndarray, shift: int, places: list[int]) -> list[tuple[int, int]]:
@@ -177,19 +189,24 @@ class RepeatedPassages:
     """The tables of one run."""
 
     def __init__(self, docs: DataFrame):
-        self.docs = docs
+        self.docs, self.tables = docs, Tables(docs.sparkSession)
         small_batches(docs.sparkSession)
 
     def found(self) -> DataFrame:
-        """Common passages of LEAST words with the occurrence that stays."""
-        paired, pairs = runs(written(suffixes(self.docs), "suffixes"))
-        good = written(extend(pairs, self.docs).filter(F.col("stop") - F.col("start") >= LEAST), "suffix-passages")
-        left = written(self.short(paired, good), "suffix-short")
+        """Common passages of LEAST words with the occurrence that stays, written."""
+        paired, pairs = runs(self.tables.write(suffixes(self.docs), "suffixes"), self.tables)
+        good = extend(pairs, self.docs, self.tables)
+        left = self.tables.write(self.short(paired, good), "suffix-short")
         if left.isEmpty():
+            self.tables.drop(paired, left)
             return good
-        _, pairs = runs(written(self.windows(paired.join(left, "head", "left_semi")), "suffix-windows"))
-        more = extend(pairs, self.docs).filter(F.col("stop") - F.col("start") >= LEAST)
-        return good.unionByName(more).distinct()
+        again = self.tables.write(self.windows(paired.join(left, "head", "left_semi")), "suffix-windows")
+        self.tables.drop(paired, left)
+        paired, pairs = runs(again, self.tables)
+        more = extend(pairs, self.docs, self.tables)
+        out = self.tables.write(good.unionByName(more).distinct(), "suffix-found")
+        self.tables.drop(paired, good, more)
+        return out
 
     @staticmethod
     def short(paired: DataFrame, good: DataFrame) -> DataFrame:
@@ -207,7 +224,7 @@ class RepeatedPassages:
 
     def windows(self, members: DataFrame) -> DataFrame:
         """Like suffixes(): each window of LEAST words that holds the head of one of the members, at any of its places in the text."""
-        places = written(members.groupBy("tag").agg(F.min("rank").alias("rank"), F.collect_set("at").alias("places")), "suffix-members")
+        places = self.tables.write(members.groupBy("tag").agg(F.min("rank").alias("rank"), F.collect_set("at").alias("places")), "suffix-members")
         few = places.limit(FEW + 1).count() <= FEW // 10
         texts = self.docs.select(tag_of(), F.coalesce("text", F.lit("")).alias("text"))
         both = texts.join(F.broadcast(places) if few else places, "tag").select("rank", "tag", "text", "places")
@@ -228,12 +245,12 @@ class RepeatedPassages:
 
     def spans(self) -> DataFrame:
         """Per passage and document that has it: doc_id, start_word, stop_word, n_words, kept (the occurrence that stays) and first_doc_id."""
-        found = written(self.found(), "suffix-found")
+        found = self.found()
         copies = found.select("tag", "start", "stop", "first_tag", F.lit(False).alias("kept"))
         stays = found.select(F.col("first_tag").alias("tag"), F.col("first_start").alias("start"), F.col("first_stop").alias("stop"), "first_tag", F.lit(True).alias("kept")).distinct()
         names = self.docs.select(tag_of(), F.col("doc_id").cast("long").alias("doc_id")).distinct()
         all_ = copies.unionByName(stays)
-        used = written(all_.select("tag").distinct().join(names, "tag"), "suffix-names")
+        used = self.tables.write(all_.select("tag").distinct().join(names, "tag"), "suffix-names")
         out = all_.join(used, "tag").join(used.select(F.col("tag").alias("first_tag"), F.col("doc_id").alias("first_doc_id")), "first_tag")
         return out.select("doc_id", F.col("start").alias("start_word"), F.col("stop").alias("stop_word"), (F.col("stop") - F.col("start")).alias("n_words"), "kept", "first_doc_id")
 

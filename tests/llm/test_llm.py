@@ -295,6 +295,23 @@ def test_suffix_dedup_of_the_end_of_repeated_lines(spark):
     assert lost_pairs(spark, pairs) == []
 
 
+def test_suffix_dedup_deals_a_text_of_many_partners(spark, monkeypatch):
+    """All places of a passage that many documents share, by all windows of fifty words, whatever the size of a slice."""
+    shared = prose(70_000, 64)
+    rows = [(i, [*prose(70_001 + i, 20 + i % 7), *shared[: 50 + i % 15], *prose(71_000 + i, 15)]) for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(4)
+    got = []
+    for size in (4, 1024):
+        monkeypatch.setattr(suffix_dedup, "SPLIT", size)
+        got.append({(r.doc_id, r.start_word, r.stop_word, r.kept) for r in suffix_dedup.repeated_passages(df).collect()})
+    assert got[0] == got[1]
+    copies = {(i, a, b) for i, a, b, kept in got[0] if not kept}
+    first = rows[0][1]
+    for i, w in rows[1:]:
+        best = max((next((k for k in range(min(len(first) - p, len(w) - q)) if first[p + k] != w[q + k]), min(len(first) - p, len(w) - q)), -q) for p in range(len(first)) for q in range(len(w)))
+        assert (i, -best[1], -best[1] + best[0]) in copies or best[0] < 50
+
+
 def test_suffix_dedup_of_one_word_over_and_over(spark):
     """Few windows are made of a stretch that repeats itself."""
     words, powers = suffix_dedup.Words(), suffix_dedup.Powers()
