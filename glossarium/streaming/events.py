@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..session import ship
@@ -64,19 +65,50 @@ def belief_step(belief: np.ndarray, likelihood: np.ndarray, move: float) -> np.n
     return out / total if total > 0 else np.full(len(out), 1 / len(out))
 
 
-def aligned(events: DataFrame, states: int = 8, move: float = 0.3) -> DataFrame:
-    """Each user's most likely state after all of its events so far: the belief and the number of steps are kept from batch to batch."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+class Beliefs(StatefulProcessor):
+    """Of each user the belief over the states and the number of steps; with `idle`, a user without events for so many seconds of event time is ended."""
 
-    ship(events.sparkSession)
+    def __init__(self, states: int, move: float, idle: float | None):
+        self.states, self.move, self.idle = states, move, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("belief", "belief array<double>, n long")
+
+    def row(self, key: tuple, ended: bool) -> pd.DataFrame:
+        belief, n = self.kept.get()
+        return pd.DataFrame({"user_id": [key[0]], "steps": [n], "state": [int(np.argmax(belief))], "ended": [ended]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        belief, n = self.kept.get() if self.kept.exists() else (np.eye(self.states)[0], 0)
+        b = np.array(belief, float)
+        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])  # one user's events of one batch, which may come in any order
+        for value in batch.value:
+            likelihood = np.exp(-0.5 * ((np.arange(self.states) * 100 / self.states - value) / 25) ** 2)
+            b, n = belief_step(b, likelihood, self.move), n + 1
+        self.kept.update((b.tolist(), n))
+        if self.idle is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(int(batch.ts.max().timestamp() * 1000 + self.idle * 1000))
+        yield self.row(key, False)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, n = state.get if state.exists else (np.eye(states)[0].tolist(), 0)
-        b = np.array(kept)
-        for r in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
-            likelihood = np.exp(-0.5 * ((np.arange(states) * 100 / states - r.value) / 25) ** 2)
-            b, n = belief_step(b, likelihood, move), n + 1
-        state.update((b.tolist(), n))
-        yield pd.DataFrame({"user_id": [key[0]], "steps": [n], "state": [int(b.argmax())]})
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.kept.exists():
+            yield self.row(key, True)
+            self.kept.clear()
 
-    return timed(events).groupBy("user_id").applyInPandasWithState(step, "user_id long, steps long, state long", "belief array<double>, n long", "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def aligned(events: DataFrame, states: int = 8, move: float = 0.3, idle: float | None = None, late: str = "2 hours") -> DataFrame:
+    """Each user's most likely state after all of its events so far: (user_id, steps, state, ended) whenever a batch has events of the user.
+
+    The belief and the number of steps are kept from batch to batch and over restarts. With `idle`, a user's state goes when the watermark has passed its last event by so many
+    seconds, with one more row whose `ended` is true; later events begin anew. The state is in the RocksDB store, which typed state needs.
+    """
+    ship(events.sparkSession)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = timed(events) if idle is None else timed(events).withWatermark("ts", late)
+    return rows.groupBy("user_id").transformWithStateInPandas(Beliefs(states, move, idle), "user_id long, steps long, state long, ended boolean", "Update", "None" if idle is None else "EventTime")
