@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .stages import Stages
 
 #: Symbols of a joint model that are broadcast at most. There are as many as pieces of the alphabets' letters and phones, whatever the number of words.
 SYMBOLS = 1_000_000
@@ -80,6 +81,11 @@ def best_way(edges: Sequence[tuple[int, int, int, int, str]], weights: dict[str,
     return (" ".join(best[end][1]), math.exp(-best[end][0])) if end in best else (None, 0.0)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as a shuffle has: what follows takes time for each row, however few bytes rows have."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 class JointModel:
     """Weights of symbols (pieces of letters with pieces of phones) that make pairs (letters, phones, n) likely; n is how often a pair counts.
 
@@ -90,7 +96,8 @@ class JointModel:
     def __init__(self, pairs: DataFrame, letters: str, phones: str, count: str | None = None, most_letters: int = 2, most_phones: int = 2, skips: bool = True, rounds: int = 20, gain: float = 1e-4):
         ship(pairs.sparkSession)
         self.shape = (most_letters, most_phones, skips)
-        self.pairs = pairs.select(F.col(letters).alias("letters"), F.col(phones).alias("phones"), (F.col(count) if count else F.lit(1)).cast("double").alias("n")).filter("letters IS NOT NULL AND phones IS NOT NULL")
+        rows = pairs.select(F.col(letters).alias("letters"), F.col(phones).alias("phones"), (F.col(count) if count else F.lit(1)).cast("double").alias("n")).filter("letters IS NOT NULL AND phones IS NOT NULL")
+        self.pairs = Stages(pairs.sparkSession).write(spread(rows), "lattice-pairs")  # read again in each round
         self.weights, self.likelihoods = None, []
         for _ in range(rounds + 1):  # the first one finds the symbols
             rows = self._round().collect()
@@ -139,7 +146,7 @@ class JointModel:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([w for w, _ in ways], pa.string()), pa.array([p for _, p in ways], pa.float64())], [*batch.schema.names, "alignment", "likelihood"])
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        return df.mapInArrow(run, f"{kinds}, alignment string, likelihood double")
+        return spread(df).mapInArrow(run, f"{kinds}, alignment string, likelihood double")
 
 
 #: What an edit costs beside the microseconds of a word that is put in, so that of the alignments with fewest edits one with the least extra time counts.
