@@ -45,3 +45,10 @@ def test_nearest_centre_within_the_row(spark):
     centres = spark.createDataFrame([("a", [1.0, 0.1]), ("b", [0.1, 1.0])], "label string, centroid array<double>")
     assert sorted((r.k, r.predicted) for r in S.classified(df, centres, "label", "v", 0.3).collect()) == [(1, "a"), (2, "b"), (3, "UNKNOWN"), (3, "UNKNOWN")]
     assert "Exchange hash" not in S.classified(df, centres.withColumn("x", F.lit(1)).drop("x"), "label", "v", 0.3)._jdf.queryExecution().toString()
+
+
+def test_numbers_of_rows_that_are_more_than_the_ranges_sample(spark):
+    df = spark.range(60_000, numPartitions=6).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), F.col("id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("more"))
+    joined = df.join(spark.range(60_000).withColumnRenamed("id", "id2"), F.col("id") == F.col("id2"))
+    got = sorted((r.n, r.k) for r in R.numbered(joined, ["k"], "n").select("n", "k", "more").collect())
+    assert [n for n, _ in got] == list(range(1, 60_001)) and [k for _, k in got] == sorted(k for _, k in got)
