@@ -7,6 +7,7 @@ function, whose state is as large as the file.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .relational import numbered
 
 
 def ordered(by: Sequence[str], order: Sequence[str]):
@@ -218,6 +220,41 @@ def remap_phones(rows: Sequence[tuple[str, float, float]], one: dict[str, Sequen
     return out
 
 
+def remapped(df: DataFrame, by: Sequence[str], order: str, label: str, one: dict[str, Sequence[str]], many: dict[tuple[str, ...], str], size: int = 1000) -> DataFrame:
+    """remap_phones() over the whole sequence of each group, whatever its length: (by..., label, start, stop), the row in place i at [i, i + 1).
+
+    Where two neighbours stand next to each other in no joined run, none goes over their border, so what comes before doesn't matter behind it. Sequences are dealt in
+    pieces of about `size` rows that begin at such borders; a task holds a piece, and more only where such neighbours follow each other without end.
+    """
+    named = [F.col(c).alias(f"_{c}") for c in by]
+    same = lambda x, y: reduce(lambda a, b: a & b, [x[c].eqNullSafe(y[f"_{c}"]) for c in by])
+    rows = numbered(df.select(*by, F.col(order).alias("_o"), F.col(label).alias("_l")), [*by, "_o"], "_n")
+    first = rows.groupBy(*named).agg(F.min("_n").alias("_first"))
+    rows = rows.join(first, same(rows, first)).select(*by, "_l", (F.col("_n") - F.col("_first")).alias("_i"))
+    before = rows.select(*named, (F.col("_i") + 1).alias("_next"), F.col("_l").alias("_prev"))
+    met = sorted({pair for run in many for pair in zip(run, run[1:])})
+    bound = reduce(lambda a, b: a | b, [(F.col("_prev") == a) & (F.col("_l") == b) for a, b in met], F.lit(False))
+    border = F.when(F.coalesce(bound, F.lit(False)), None).otherwise(F.col("_i"))
+    cut = rows.join(before, same(rows, before) & (F.col("_i") == F.col("_next")), "left").select(*by, "_l", "_i", F.expr(f"_i div {size}").alias("_piece"), border.alias("_border"))
+    earlier = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = cut.groupBy(*by, "_piece").agg(F.max("_border").alias("_last"))  # one row a piece
+    pieces = pieces.select(*named, F.col("_piece").alias("_own"), F.max("_last").over(earlier).alias("_carried"))
+    inside = Window.partitionBy(*by, "_piece").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumn("_last", F.max("_border").over(inside))
+    dealt = cut.join(pieces, same(cut, pieces) & (F.col("_piece") == F.col("_own"))).select(*by, "_l", "_i", F.floor(F.coalesce("_last", "_carried") / size).alias("_home"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("_i")
+        found = remap_phones([(s, float(i), i + 1.0) for s, i in zip(p["_l"].tolist(), p["_i"].tolist())], one, many)
+        out = pd.DataFrame(found, columns=["label", "start", "stop"])
+        for k, c in enumerate(by):
+            out.insert(k, c, p[c].iloc[0])
+        return out
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
+    return folded(dealt, [*by, "_home"], run, f"{kinds}, label string, start double, stop double")
+
+
 def lcs_pairs(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
     """Positions of a longest common subsequence of labels, by their lowered and trimmed text; of equal ways back the one up is taken."""
     x, y = [s.strip().lower() for s in a], [s.strip().lower() for s in b]

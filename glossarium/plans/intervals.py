@@ -236,24 +236,18 @@ def utterance_durations(spark, sf):
 @plan(
     "W14",
     """
-WITH c AS (SELECT c_nationkey, c_custkey // 1000 AS block, c_custkey, c_mktsegment AS s, lead(c_mktsegment) OVER w AS next, lag(c_mktsegment) OVER w AS prev, row_number() OVER w - 1 AS i FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_custkey // 1000 ORDER BY c_custkey))
-SELECT c_nationkey, block, 'MH' AS label, CAST(i AS DOUBLE) AS start, CAST(i + 2 AS DOUBLE) AS stop FROM c WHERE s = 'MACHINERY' AND next = 'HOUSEHOLD'
-UNION ALL SELECT c_nationkey, block, 'B' || h, i + h * CAST(0.5 AS DOUBLE), i + h * CAST(0.5 AS DOUBLE) + CAST(0.5 AS DOUBLE) FROM c, (VALUES (0), (1)) AS t(h) WHERE s = 'BUILDING'
-UNION ALL SELECT c_nationkey, block, s, CAST(i AS DOUBLE), CAST(i + 1 AS DOUBLE) FROM c
+WITH c AS (SELECT c_nationkey, c_custkey, c_mktsegment AS s, lead(c_mktsegment) OVER w AS next, lag(c_mktsegment) OVER w AS prev, row_number() OVER w - 1 AS i FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey))
+SELECT c_nationkey, 'MH' AS label, CAST(i AS DOUBLE) AS start, CAST(i + 2 AS DOUBLE) AS stop FROM c WHERE s = 'MACHINERY' AND next = 'HOUSEHOLD'
+UNION ALL SELECT c_nationkey, 'B' || h, i + h * CAST(0.5 AS DOUBLE), i + h * CAST(0.5 AS DOUBLE) + CAST(0.5 AS DOUBLE) FROM c, (VALUES (0), (1)) AS t(h) WHERE s = 'BUILDING'
+UNION ALL SELECT c_nationkey, s, CAST(i AS DOUBLE), CAST(i + 1 AS DOUBLE) FROM c
 WHERE s <> 'BUILDING' AND NOT (s = 'MACHINERY' AND coalesce(next, '') = 'HOUSEHOLD') AND NOT (s = 'HOUSEHOLD' AND coalesce(prev, '') = 'MACHINERY')""",
 )
 def phones_remapped(spark, sf):
-    """Labels of sequences of a nation's customers of a thousand keys: one becomes two that share its time, two in a row become one."""
-    import pandas as pd
-
+    """Labels of each nation's sequence: one becomes two that share its time, two in a row become one."""
     from ..operators import intervals as I
 
-    def run(pdf):
-        labels = pdf.sort_values("c_custkey").c_mktsegment
-        rows = I.remap_phones([(s, float(i), i + 1.0) for i, s in enumerate(labels)], {"BUILDING": ["B0", "B1"]}, {("MACHINERY", "HOUSEHOLD"): "MH"})
-        return pd.DataFrame([(pdf.c_nationkey.iloc[0], pdf.block.iloc[0], *r) for r in rows], columns=["c_nationkey", "block", "label", "start", "stop"])
-
-    return I.folded(table(spark, sf, "customer").select("c_nationkey", F.expr("c_custkey div 1000").alias("block"), "c_custkey", "c_mktsegment"), ["c_nationkey", "block"], run, "c_nationkey int, block long, label string, start double, stop double")
+    c = table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_mktsegment")
+    return I.remapped(c, ["c_nationkey"], "c_custkey", "c_mktsegment", {"BUILDING": ["B0", "B1"]}, {("MACHINERY", "HOUSEHOLD"): "MH"})
 
 
 @plan(

@@ -52,3 +52,22 @@ def test_numbers_of_rows_that_are_more_than_the_ranges_sample(spark):
     joined = df.join(spark.range(60_000).withColumnRenamed("id", "id2"), F.col("id") == F.col("id2"))
     got = sorted((r.n, r.k) for r in R.numbered(joined, ["k"], "n").select("n", "k", "more").collect())
     assert [n for n, _ in got] == list(range(1, 60_001)) and [k for _, k in got] == sorted(k for _, k in got)
+
+
+def test_remapped_over_the_borders_of_pieces(spark):
+    rng = np.random.default_rng(3)
+    many = {("a", "b"): "ab", ("a", "b", "a"): "aba", ("c", "c"): "cc"}
+    groups = {"x": list(rng.choice(list("abcd"), 300)), "y": ["c"] * 41, None: list("ab" * 20), "z": ["d"]}
+    rows = [(g, k, s) for g, labels in groups.items() for k, s in enumerate(map(str, labels))]
+    df = spark.createDataFrame(rows, "g string, k long, s string").repartition(3)
+    want = sorted((str(g), *r) for g, labels in groups.items() for r in I.remap_phones([(str(s), float(i), i + 1.0) for i, s in enumerate(labels)], {"d": ["d0", "d1"]}, many))
+    assert sorted((str(r.g), r.label, r.start, r.stop) for r in I.remapped(df, ["g"], "k", "s", {"d": ["d0", "d1"]}, many, size=4).collect()) == want
+
+
+def test_phones_are_remapped_over_whole_sequences(spark, tmp_path):
+    from glossarium import catalog
+
+    segments = ["BUILDING", "MACHINERY", "HOUSEHOLD"]
+    spark.range(900, 1100).select(F.col("id").alias("c_custkey"), F.lit(1).alias("c_nationkey"), F.when(F.col("id") == 999, segments[1]).when(F.col("id") == 1000, segments[2]).otherwise(segments[0]).alias("c_mktsegment")).write.parquet(f"{tmp_path}/customer.parquet")
+    got = {(r.label, r.start, r.stop) for r in catalog.queries()["phones_remapped"](spark, str(tmp_path)).collect()}
+    assert ("MH", 99.0, 101.0) in got and len(got) == 2 * 198 + 1 and max(stop for _, _, stop in got) == 200.0
