@@ -93,8 +93,9 @@ class InvertedLists:
                 return r.list_rank
         return 1
 
-    def search(self, queries: DataFrame, key: str, vector: str, k: int, probes: int) -> DataFrame:
-        """(query, rank, other, distance): the k rows nearest to each query within its `probes` lists, by (distance, key); a row isn't its own neighbour."""
+    def search(self, queries: DataFrame, key: str, vector: str, k: int, probes: int, digits: int = C.DIGITS) -> DataFrame:
+        """(query, rank, other, distance): the k rows nearest to each query within its `probes` lists, by (distance, key); a row isn't its own neighbour. Distances are
+        rounded to `digits` before they are compared."""
         asked = self._dealt(self._units(queries, key, vector), min(probes, max(1, len(self.centres)))).select("cell", F.lit(False).alias("home"), "key", "v")
         rows = self.rows.select("cell", F.lit(True).alias("home"), "key", "v")
 
@@ -103,7 +104,8 @@ class InvertedLists:
 
         def pass_by(state: tuple[np.ndarray, np.ndarray], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             (v, keys), who = state, _numpy(batch, "key")
-            d = np.round(1 - C.vectors(batch, "v") @ v.T, C.DIGITS)
+            asked = C.vectors(batch, "v")
+            d = C.rounded(1 - asked @ v.T, digits, lambda i, j: 1 - C.dots(asked[i], v[j]))
             d[who[:, None] == keys[None, :]] = np.inf
             order = np.lexsort((np.broadcast_to(keys, d.shape), d), axis=1)[:, :k]
             near = np.take_along_axis(d, order, 1)

@@ -41,8 +41,7 @@ def index_neighbours_all_lists(spark: SparkSession, sf: str) -> DataFrame:
     """The same from all lists: exact."""
     e = table(spark, sf, "embeddings")
     index = I.InvertedLists(e, "vec_id", "embedding")
-    found = index.search(e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 10, len(index.centres))
-    return found.withColumn("distance", F.round("distance", 6))
+    return index.search(e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 10, len(index.centres), digits=6)
 
 
 @plan("M10")

@@ -171,3 +171,35 @@ def test_ward_clusters_of_odd_rows(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0], 5), (1, [0.0, 0.0], 6), (2, None, 7), (None, [0.0, 0.0], 8), (3, [9.0, 9.0], 9)], "k long, v array<double>, cluster long")
     assert sorted((r.k, r.cluster) for r in K.agglomerative(df, "k", "v", 1.0).collect()) == [(1, 1), (1, 1), (3, 3)]
     assert K.agglomerative(df.limit(0), "k", "v", 1.0).count() == 0
+
+
+def test_index_ranks_by_the_rounded_distance(spark):
+    """Two rows whose distances differ in the eighth digit are equal at six: the smaller key is first."""
+    at = lambda c: [c, float(np.sqrt(1 - c * c))]
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (5, at(0.5)), (3, at(0.5 - 3e-8)), (4, at(0.2))], "k long, v array<double>")
+    index = I.InvertedLists(df, "k", "v", lists=2)
+    got = [(r.rank, r.other) for r in index.search(df.filter("k = 0"), "k", "v", 3, 2, digits=6).orderBy("rank").collect()]
+    assert got == [(1, 3), (2, 5), (3, 4)]
+
+
+def test_neighbours_and_pairs_by_brute_force(spark):
+    from glossarium.operators import statistics as S
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(90, 5)).astype(np.float32)
+    v[40:50] = v[3]
+    rows = [(i + 1, x.tolist(), int(i) % 3) for i, x in enumerate(v)] + [(500, None, 1), (None, v[0].tolist(), 1), (501, [0.0] * 5, None)]
+    df = spark.createDataFrame(rows, "k long, v array<float>, label int").repartition(5)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    d = np.round(1 - u @ u.T, 9)
+    want = {(i + 1, rank, j + 1) for i in range(90) if (i + 1) % 4 == 0 for rank, j in enumerate(sorted((j for j in range(90) if j != i), key=lambda j: (abs(d[i, j]), j))[:7], 1)}
+    assert {(r.query, r.rank, r.other) for r in S.neighbours(df.filter("k % 4 = 0"), df, "k", "v", 7).collect()} == want
+    got = {(r.a, r.b): (r.same, r.score) for r in S.cosine_pairs(df.filter("k % 4 = 0"), df, "k", "v", "label").collect()}
+    asked = [k for k in [*range(1, 91), 500] if k % 4 == 0]
+    assert set(got) == {(a, b) for a in asked for b in [*range(1, 91), 500, 501] if a != b}
+    assert all(got[a, b] == ((a - 1) % 3 == (b - 1) % 3, round(float(u[a - 1] @ u[b - 1]), 6)) for a in asked if a < 91 for b in range(1, 91) if a != b)
+    assert got[4, 500][1] is None
+    counts = S.cosine_pairs(df.filter("k % 4 = 0"), df, "k", "v", "label", counted=True).groupBy("score").agg(F.sum("s").alias("s"), F.sum("d").alias("d")).collect()
+    assert {r.score: (r.s, r.d) for r in counts} == {x: tuple(sum(1 for same, y in got.values() if y == x and bool(same) is w) for w in (True, False)) for x in {y for _, y in got.values()}}
+    assert got[4, 501] == (None, None)
+    assert S.neighbours(df.limit(0), df, "k", "v", 3).count() == 0 and S.cosine_pairs(df.limit(0), df, "k", "v", "label").count() == 0
