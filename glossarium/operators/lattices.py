@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,49 +42,141 @@ def rest_of_text(decoded: str, original: str, interjections: Sequence[str], cost
     return F.when(best["c"] < 1e17, F.slice(original, 1 - best["k"], F.size(original) + best["k"]))
 
 
-def arcs(letters: Sequence[str], phones: Sequence[str], most_letters: int, most_phones: int, skips: bool) -> Iterator[tuple[int, int, int, int, str]]:
-    """(i, j, to_i, to_j, symbol) of a pair's lattice in an order in which every node follows those before it. Of both sides' pieces one has a single part at most."""
-    spell = lambda parts: PART.join(parts) if parts else SKIP
-    for i in range(len(letters) + 1):
-        for j in range(len(phones) + 1):
-            for a in range(0 if skips else 1, most_letters + 1):
-                for b in range(0 if skips else 1, most_phones + 1):
-                    if (a or b) and min(a, b) <= 1 and not (a == 0 and b > 1) and not (b == 0 and a > 1) and i + a <= len(letters) and j + b <= len(phones):
-                        yield i, j, i + a, j + b, spell(letters[i : i + a]) + SIDES + spell(phones[j : j + b])
-
-
-def expected(edges: Sequence[tuple[int, int, int, int, str]], weights: dict[str, float], end: tuple[int, int]) -> tuple[float, dict[str, float]]:
-    """A pair's likelihood and its symbols' expected counts, by sums over all ways forward and backward."""
-    forward, backward, counts = {(0, 0): 1.0}, {end: 1.0}, {}
-    for i, j, x, y, s in edges:
-        if (w := weights.get(s, 0.0)) and (i, j) in forward:
-            forward[x, y] = forward.get((x, y), 0.0) + forward[i, j] * w
-    total = forward.get(end, 0.0)
-    if not total:
-        return 0.0, counts
-    for i, j, x, y, s in reversed(edges):
-        if (w := weights.get(s, 0.0)) and (x, y) in backward:
-            backward[i, j] = backward.get((i, j), 0.0) + w * backward[x, y]
-            if (i, j) in forward:
-                counts[s] = counts.get(s, 0.0) + forward[i, j] * w * backward[x, y] / total
-    return total, counts
-
-
-def best_way(edges: Sequence[tuple[int, int, int, int, str]], weights: dict[str, float], end: tuple[int, int]) -> tuple[str | None, float]:
-    """Symbols of the likeliest way, blank between them, and its likelihood; the first by symbols of equally likely ones. None if there is no way."""
-    best: dict[tuple[int, int], tuple[float, tuple[str, ...]]] = {(0, 0): (0.0, ())}
-    for i, j, x, y, s in edges:
-        if (w := weights.get(s, 0.0)) and (i, j) in best:
-            cost, way = best[i, j]
-            new = (round(cost - math.log(w), 9), (*way, s))
-            if (x, y) not in best or new < best[x, y]:
-                best[x, y] = new
-    return (" ".join(best[end][1]), math.exp(-best[end][0])) if end in best else (None, 0.0)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df over as many tasks as a shuffle has: what follows takes time for each row, however few bytes rows have."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+#: Places of a lattice, by kinds of pieces and pairs, that are held together.
+TOGETHER = 1 << 21
+#: Cost of what no symbol leads to, in units of 1e-9 of a logarithm.
+NO_WAY = 1 << 61
+
+
+def codes_of(lists: pa.Array, n: int) -> tuple[np.ndarray, list[str]]:
+    """Lists of n strings each as rows of numbers, and the strings by number."""
+    parts = lists.flatten().dictionary_encode()
+    parts = parts.combine_chunks() if isinstance(parts, pa.ChunkedArray) else parts
+    return parts.indices.to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(lists), n), parts.dictionary.to_pylist()
+
+
+def spelled(codes: np.ndarray, parts: Sequence[str], n: int) -> tuple[np.ndarray, list[str]]:
+    """Pieces of n parts from every place of the rows, as numbers (place, row), and the pieces by number."""
+    if n == 0:
+        return np.zeros((codes.shape[1] + 1, len(codes)), np.int64), [SKIP]
+    width = max(codes.shape[1] + 1 - n, 0)
+    at, names = codes[:, :width], list(parts)
+    for k in range(1, n):
+        found, at = np.unique(at * len(parts) + codes[:, k : k + width], return_inverse=True)
+        at, names = at.reshape(len(codes), width), [names[x // len(parts)] + PART + parts[x % len(parts)] for x in found.tolist()]
+    return at.T, names
+
+
+class Lattice:
+    """The lattices of pairs of as many letters and as many phones each, place by place for all pairs at once.
+
+    A place (i, j) lies behind i letters and j phones; it has the number i * (phones + 1) + j. `symbols` has for each kind of piece (letters, phones), of whose sides one has a single
+    part at most, the number of the symbol that begins at each place of each pair, and `none` where there is none.
+    """
+
+    def __init__(self, letters: pa.Array, phones: pa.Array, size: tuple[int, int], shape: tuple[int, int, bool], number: Callable[[str], int], none: int):
+        self.size, self.end, self.none, self.pairs = size, (size[0] + 1) * (size[1] + 1) - 1, none, len(letters)
+        self.symbols: dict[tuple[int, int], np.ndarray] = {}
+        sides = [(codes_of(lists, n), most) for lists, n, most in zip((letters, phones), size, shape)]
+        pieces = [[spelled(*coded, n) for n in range(most + 1)] for coded, most in sides]
+        for a in range(0 if shape[2] else 1, shape[0] + 1):
+            for b in range(0 if shape[2] else 1, shape[1] + 1):
+                if (a or b) and min(a, b) <= 1 and not (a == 0 and b > 1) and not (b == 0 and a > 1) and a <= size[0] and b <= size[1]:
+                    (left, names), (right, said) = pieces[0][a], pieces[1][b]
+                    grid = np.full((size[0] + 1, size[1] + 1, len(letters)), none, np.int64)
+                    grid[: len(left), : len(right)] = self._numbers(left[:, None] * len(said) + right[None], names, said, number)
+                    self.symbols[a, b] = grid.reshape(self.end + 1, -1)
+
+    @staticmethod
+    def _numbers(keys: np.ndarray, names: Sequence[str], said: Sequence[str], number: Callable[[str], int]) -> np.ndarray:
+        n = len(names) * len(said)
+        if n > 4 * keys.size + 1024:
+            some, at = np.unique(keys, return_inverse=True)
+            return np.array([number(names[k // len(said)] + SIDES + said[k % len(said)]) for k in some.tolist()], np.int64)[at].reshape(keys.shape)
+        used = np.zeros(n, bool)
+        used[keys.ravel()] = True
+        of, some = np.zeros(n, np.int64), np.flatnonzero(used)
+        of[some] = [number(names[k // len(said)] + SIDES + said[k % len(said)]) for k in some.tolist()]
+        return of[keys]
+
+    def _steps(self) -> Iterator[tuple[tuple[int, int], slice, slice]]:
+        """(kind, places, places that its pieces lead to), so that every place follows those before it: by letters and phones together."""
+        for d in range(1, sum(self.size) + 1):
+            for a, b in self.symbols:
+                first, last = max(a, d - self.size[1]), min(self.size[0], d - b)
+                if first <= last:
+                    start, stop, back = first * self.size[1] + d, last * self.size[1] + d + 1, a * (self.size[1] + 1) + b
+                    yield (a, b), slice(start - back, stop - back, max(self.size[1], 1)), slice(start, stop, max(self.size[1], 1))
+
+    def expected(self, weights: np.ndarray, base: np.ndarray | float = 1.0) -> tuple[np.ndarray, dict[tuple[int, int], np.ndarray]]:
+        """Likelihoods of the pairs, times base to the power of their letters and phones, and the expected counts of the symbols of each kind from each place, by sums over all ways
+        forward and backward. With weights that are true or false: whether there is a way, and whether one takes that symbol."""
+        w = {k: weights[s] if isinstance(base, float) else weights[s] * base ** sum(k) for k, s in self.symbols.items()}
+        forward, backward = (np.zeros((self.end + 1, self.pairs), weights.dtype) for _ in range(2))
+        forward[0] = backward[self.end] = 1
+        steps = list(self._steps())
+        for k, a, b in steps:
+            forward[b] += forward[a] * w[k][a]
+        for k, a, b in reversed(steps):
+            backward[a] += backward[b] * w[k][a]
+        total, counts = forward[self.end], {}
+        share = total if weights.dtype == bool else np.divide(1.0, total, out=np.zeros_like(total), where=total > 0)
+        grid = (self.size[0] + 1, self.size[1] + 1, self.pairs)
+        for (a, b), x in w.items():
+            counts[a, b] = np.zeros(grid, weights.dtype)
+            some = (slice(0, grid[0] - a), slice(0, grid[1] - b))
+            counts[a, b][some] = forward.reshape(grid)[some] * x.reshape(grid)[some] * (backward.reshape(grid)[a:, b:] * share)
+        return total, {k: c.reshape(self.end + 1, -1) for k, c in counts.items()}
+
+    def costs(self, costs: np.ndarray) -> np.ndarray:
+        """The least sum of the symbols' costs from each place to the end; NO_WAY at least where there is no way."""
+        rest = np.full((self.end + 1, self.pairs), NO_WAY)
+        rest[self.end] = 0
+        for k, a, b in reversed(list(self._steps())):
+            rest[a] = np.minimum(rest[a], rest[b] + costs[self.symbols[k][a]])
+        return rest
+
+    def best(self, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair, symbol) of the cheapest ways in their order, the first by the symbols' numbers of equally cheap ones, and the ways' costs."""
+        rest, pair = self.costs(costs), np.arange(self.pairs)
+        at, steps = np.where(rest[0] < NO_WAY, 0, self.end), []
+        while (at < self.end).any():
+            best, to, (i, j) = np.full(self.pairs, self.none), at.copy(), np.divmod(at, self.size[1] + 1)
+            for (a, b), symbols in self.symbols.items():
+                new = np.minimum(at + a * (self.size[1] + 1) + b, self.end)
+                symbol = symbols[at, pair]
+                good = (at < self.end) & (i + a <= self.size[0]) & (j + b <= self.size[1]) & (symbol < best) & (costs[symbol] + rest[new, pair] == rest[at, pair])
+                best, to = np.where(good, symbol, best), np.where(good, new, to)
+            steps.append(best)
+            at = to
+        steps = np.array(steps, np.int64).reshape(len(steps), self.pairs).T
+        taken = steps != self.none
+        return np.stack([np.nonzero(taken)[0], steps[taken]]), rest[0]
+
+
+def nano(weights: np.ndarray) -> np.ndarray:
+    """Costs of weights as whole numbers, so that sums don't depend on their order."""
+    with np.errstate(divide="ignore"):
+        return np.where(weights > 0, np.rint(-np.log(weights) * 1e9), NO_WAY).astype(np.int64)
+
+
+def lattices(letters: pa.Array, phones: pa.Array, shape: tuple[int, int, bool], number: Callable[[str], int], none: int) -> Iterator[tuple[np.ndarray, Lattice]]:
+    """(rows, their lattice) of the pairs without a null side, those of one size together, up to TOGETHER places."""
+    sizes = np.stack([pc.list_value_length(x).fill_null(-1).to_numpy(zero_copy_only=False) for x in (letters, phones)], axis=1).astype(np.int64)
+    rows = np.flatnonzero((sizes >= 0).all(1))
+    rows = rows[np.lexsort((sizes[rows, 1], sizes[rows, 0]))]
+    for same in np.split(rows, np.flatnonzero((np.diff(sizes[rows], axis=0) != 0).any(1)) + 1):
+        if len(same):
+            size = (int(sizes[same[0], 0]), int(sizes[same[0], 1]))
+            most = max(1, TOGETHER // ((size[0] + 1) * (size[1] + 1) * (shape[0] + shape[1] + 1)))
+            for i in range(0, len(same), most):
+                some = same[i : i + most]
+                yield some, Lattice(letters.take(pa.array(some)), phones.take(pa.array(some)), size, shape, number, none)
+
+
+def spread(df: DataFrame, letters: str, phones: str) -> DataFrame:
+    """df over as many tasks as a shuffle has (what follows takes time for each row, however few bytes rows have), pairs of one size together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).sortWithinPartitions(F.size(letters), F.size(phones))
 
 
 class JointModel:
@@ -97,7 +190,7 @@ class JointModel:
         ship(pairs.sparkSession)
         self.shape = (most_letters, most_phones, skips)
         rows = pairs.select(F.col(letters).alias("letters"), F.col(phones).alias("phones"), (F.col(count) if count else F.lit(1)).cast("double").alias("n")).filter("letters IS NOT NULL AND phones IS NOT NULL")
-        self.pairs = Stages(pairs.sparkSession).write(spread(rows), "lattice-pairs")  # read again in each round
+        self.pairs = Stages(pairs.sparkSession).write(spread(rows, "letters", "phones"), "lattice-pairs")  # read again in each round
         self.weights, self.likelihoods = None, []
         for _ in range(rounds + 1):  # the first one finds the symbols
             rows = self._round().collect()
@@ -118,19 +211,39 @@ class JointModel:
         shape, weights = self.shape, self.pairs.sparkSession.sparkContext.broadcast(self.weights)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[str, float] = {}
+            known = weights.value
+            number = {s: i for i, s in enumerate(known or ())}
+            w, total, log = np.array([*(known or {}).values(), 0.0]), np.zeros(len(number) + 1), 0.0
+            costs, found = nano(w), set()
             for batch in batches:
-                for letters, phones, n in zip(*(c.to_pylist() for c in batch.columns)):
-                    edges = list(arcs(letters, phones, *shape))
-                    if weights.value is None:
-                        total |= dict.fromkeys(expected(edges, {e[4]: 1.0 for e in edges}, (len(letters), len(phones)))[1], 1.0)
-                        continue
-                    likelihood, counts = expected(edges, weights.value, (len(letters), len(phones)))
-                    if likelihood:
-                        total[""] = total.get("", 0.0) + n * math.log(likelihood)
-                        for s, c in counts.items():
-                            total[s] = total.get(s, 0.0) + n * c
-            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.float64())], ["symbol", "n"])
+                letters, phones, n = batch.columns
+                if known is None:
+                    names = {"": 0}
+                    for _, x in lattices(letters, phones, shape, lambda s: names.setdefault(s, len(names)), 0):
+                        on_a_way = np.zeros(len(names), bool)
+                        for k, taken in x.expected(np.arange(len(names)) > 0)[1].items():
+                            on_a_way[x.symbols[k][taken]] = True
+                        every = list(names)
+                        found.update(every[i] for i in np.flatnonzero(on_a_way).tolist())
+                    continue
+                for rows, x in lattices(letters, phones, shape, lambda s: number.get(s, len(number)), len(number)):
+                    base, length = np.ones(len(rows)), sum(x.size)
+                    likelihood, counts = x.expected(w)
+                    if not (likelihood > 1e-250).all():  # long pairs leave the range of numbers: a base by their best ways brings them back
+                        least = x.costs(costs)[0]
+                        base = np.where((likelihood <= 1e-250) & (least < NO_WAY), np.exp(least / 1e9 / max(length, 1)), 1.0)
+                        likelihood, counts = x.expected(w, base)
+                    some = likelihood > 0
+                    times = np.where(some, n.to_numpy(zero_copy_only=False)[rows], 0.0)
+                    log += float((times[some] * (np.log(likelihood[some]) - length * np.log(base[some]))).sum())
+                    for k, c in counts.items():
+                        total += np.bincount(x.symbols[k].ravel(), (c * times).ravel(), len(total))
+            if known is None:
+                symbols, sums = sorted(found), np.ones(len(found))
+            else:
+                every, some = list(known), np.flatnonzero(total[:-1])
+                symbols, sums = ["", *[every[i] for i in some.tolist()]], np.array([log, *total[some]])
+            yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.string()), pa.array(sums, pa.float64())], ["symbol", "n"])
 
         return self.pairs.mapInArrow(run, "symbol string, n double").groupBy("symbol").agg(F.sum("n").alias("n"))
 
@@ -140,13 +253,26 @@ class JointModel:
         at = [df.columns.index(c) for c in (letters, phones)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            symbols = sorted(weights.value)
+            number, names = {s: i for i, s in enumerate(symbols)}, pa.array(symbols, pa.string())
+            costs = nano(np.array([*[weights.value[s] for s in symbols], 0.0]))
             for batch in batches:
-                sides = zip(*(batch.column(i).to_pylist() for i in at))
-                ways = [best_way(list(arcs(a, b, *shape)), weights.value, (len(a), len(b))) if a is not None and b is not None else (None, 0.0) for a, b in sides]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([w for w, _ in ways], pa.string()), pa.array([p for _, p in ways], pa.float64())], [*batch.schema.names, "alignment", "likelihood"])
+                way, likelihood = [pa.array([], pa.string())], np.zeros(batch.num_rows)
+                order, there = [np.zeros(0, np.int64)], np.zeros(batch.num_rows, bool)
+                for rows, x in lattices(*(batch.column(i) for i in at), shape, lambda s: number.get(s, len(number)), len(number)):
+                    (pair, symbol), cost = x.best(costs)
+                    ends = np.cumsum(np.bincount(pair, minlength=len(rows)))
+                    lists = pa.ListArray.from_arrays(pa.array([0, *ends.tolist()], pa.int32()), names.take(pa.array(symbol)))
+                    way.append(pc.binary_join(lists, " "))
+                    order.append(rows)
+                    there[rows], likelihood[rows] = cost < NO_WAY, np.where(cost < NO_WAY, np.exp(-np.minimum(cost, NO_WAY) / 1e9), 0.0)
+                place = np.full(batch.num_rows, -1)
+                place[np.concatenate(order)] = np.arange(sum(map(len, order)))
+                found = pa.concat_arrays(way).take(pa.array(place, mask=~there))
+                yield pa.RecordBatch.from_arrays([*batch.columns, found, pa.array(likelihood)], [*batch.schema.names, "alignment", "likelihood"])
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        return spread(df).mapInArrow(run, f"{kinds}, alignment string, likelihood double")
+        return spread(df, letters, phones).mapInArrow(run, f"{kinds}, alignment string, likelihood double")
 
 
 #: What an edit costs beside the microseconds of a word that is put in, so that of the alignments with fewest edits one with the least extra time counts.

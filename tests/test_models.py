@@ -113,6 +113,15 @@ def test_alignment_of_conversations(spark):
     assert rows and sum("t|h}T" in a for a in th) > 0.9 * len(th)
 
 
+def test_joint_model_of_long_and_empty_pairs(spark):
+    long = "".join("abc"[i * i % 7 % 3] for i in range(400))  # its ways' products are below the least number
+    df = spark.createDataFrame([(list(long), list(long.upper()), 1), ([], [], 1), (["a"], [], 2), ([], ["A"], 2)], "l array<string>, p array<string>, n long")
+    model = A.JointModel(df, "l", "p", "n", rounds=3, gain=-1.0)
+    assert {"a}A", "b}B", "c}C"} <= set(model.weights) and model.likelihoods[-1] > model.likelihoods[0] and model.likelihoods[0] < -700
+    got = {("".join(r.l), "".join(r.p)): r.alignment for r in model.aligned(df, "l", "p").collect()}
+    assert got["", ""] == "" and got["a", ""] == "a}_" and got["", "A"] == "_}A" and "".join(x.split("}")[0].strip("_").replace("|", "") for x in got[long, long.upper()].split(" ")) == long
+
+
 def test_word_edits_by_recursion():
     import functools
     import random
