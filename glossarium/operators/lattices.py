@@ -175,8 +175,9 @@ def lattices(letters: pa.Array, phones: pa.Array, shape: tuple[int, int, bool],
 
 
 def spread(df: DataFrame, letters: str, phones: str) -> DataFrame:
-    """df over as many tasks as a shuffle has (what follows takes time for each row, however few bytes rows have), pairs of one size together."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).sortWithinPartitions(F.size(letters), F.size(phones))
+    """df over as many tasks as a shuffle has (what follows takes time for each row, however few bytes rows have): pairs of one size together, yet in up to a quarter of the tasks."""
+    n, sizes = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (F.size(letters), F.size(phones))
+    return df.repartition(n, *sizes, F.pmod(F.xxhash64(letters, phones), F.lit(max(1, n // 4)))).sortWithinPartitions(*sizes)
 
 
 class JointModel:

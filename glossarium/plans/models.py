@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import language_models as L
 from ..operators import lattices as A
+from ..operators.stages import Stages
 from ..session import new_folder, table
 from .base import plan
 
@@ -77,6 +78,7 @@ def joint_alignment(spark: SparkSession, sf: str) -> DataFrame:
     for letters, phones in (("e$", ""), ("th", "T"), ("sh", "S"), ("ou", "U"), ("ng", "N"), ("x", "ks")):
         said = F.regexp_replace(said, letters, phones)
     pairs = words.select("word", "n", F.split("word", "").alias("letters"), F.split(said, "").alias("phones")).filter("size(phones) > 0 AND phones[0] <> ''")
+    pairs = Stages(spark).write(pairs, "lattice-words")  # read twice: by the model and by what it aligns
     model = A.JointModel(pairs, "letters", "phones", "n", rounds=8)
     return model.aligned(pairs.select("word", "letters", "phones"), "letters", "phones").select("word", "alignment", F.round("likelihood", 9).alias("likelihood"))
 
