@@ -216,3 +216,43 @@ def test_neighbours_and_pairs_by_brute_force(spark):
     assert {r.score: (r.s, r.d) for r in counts} == {x: tuple(sum(1 for same, y in got.values() if y == x and bool(same) is w) for w in (True, False)) for x in {y for _, y in got.values()}}
     assert got[4, 501] == (None, None)
     assert S.neighbours(df.limit(0), df, "k", "v", 3).count() == 0 and S.cosine_pairs(df.limit(0), df, "k", "v", "label").count() == 0
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    from glossarium.operators import blocks as P
+
+    monkeypatch.setattr(P, "MOST", 40)
+    monkeypatch.setattr(P, "LEAST", 10)
+    monkeypatch.setattr(P, "PAIRS", 300)
+
+
+def odd_vectors(spark):
+    """Rows with equal vectors, equal keys, no vector, no key, no length and no label, and each row as (key, label, vector or None)."""
+    v = np.random.default_rng(6).normal(size=(130, 5)).astype(np.float32)
+    v[40:50], v[60] = v[3], -v[3]
+    rows = [(i + 1, x.tolist(), int(i) % 3 if i % 11 else None) for i, x in enumerate(v)] + [(7, v[80].tolist(), 2), (500, None, 1), (None, v[0].tolist(), 1), (501, [0.0] * 5, None)]
+    return spark.createDataFrame(rows, "k long, v array<float>, label int").repartition(5), [(k, l, None if x is None or not any(x) else np.array(x) / np.linalg.norm(x)) for k, x, l in rows if k is not None]
+
+
+def test_neighbours_of_all_by_brute_force(spark, small_blocks):
+    from glossarium.operators import statistics as S
+
+    df, rows = odd_vectors(spark)
+    for k in (1, 6):
+        want = {}
+        for a, _, u in rows:
+            if u is not None:
+                want[a] = sorted(want.get(a, []) + [(round(float(1 - u @ w), 9) + 0.0, b) for b, _, w in rows if w is not None and a != b])[:k]
+        got = S.neighbours_of_all(df, "k", "v", k).collect()
+        assert {(r.query, r.rank, r.other) for r in got} == {(a, rank, b) for a, near in want.items() for rank, (_, b) in enumerate(near, 1)}
+    assert S.neighbours_of_all(df.limit(0), "k", "v", 3).count() == 0
+
+
+def test_fifth_neighbour_of_every_vector(spark):
+    e = spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding").collect()
+    u = np.array([r.embedding for r in e], float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = np.sort(np.where(np.eye(len(u)), np.inf, 1 - u @ u.T), 1)[:, 4]
+    got = {r.query: r.distance for r in PLANS["knn_kth_distance"].run(spark, SMALL).collect()}
+    assert len(got) == len(e) and all(abs(got[r.vec_id] - d) < 6e-6 for r, d in zip(e, near))
