@@ -256,3 +256,31 @@ def test_fifth_neighbour_of_every_vector(spark):
     near = np.sort(np.where(np.eye(len(u)), np.inf, 1 - u @ u.T), 1)[:, 4]
     got = {r.query: r.distance for r in PLANS["knn_kth_distance"].run(spark, SMALL).collect()}
     assert len(got) == len(e) and all(abs(got[r.vec_id] - d) < 6e-6 for r, d in zip(e, near))
+
+
+def test_counts_of_all_pairs_by_brute_force(spark, small_blocks):
+    from glossarium.operators import statistics as S
+
+    df, rows = odd_vectors(spark)
+    want = {}
+    for a, x, u in rows:
+        for b, y, w in rows:
+            if a != b:
+                n = want.setdefault(None if u is None or w is None else round(float(np.clip(u @ w, -1, 1)), 6) + 0.0, [0, 0])
+                n[0 if x is not None and x == y else 1] += 1
+    counts = S.cosine_pairs(df, df, "k", "v", "label", counted=True).groupBy("score").agg(F.sum("s").alias("s"), F.sum("d").alias("d")).collect()
+    assert {r.score if r.score is None else r.score + 0.0: [r.s, r.d] for r in counts} == want
+
+
+def test_equal_error_rate_of_all_pairs(spark):
+    e = spark.read.parquet(f"{SMALL}/embeddings.parquet").select("embedding", "label").collect()
+    u, label = np.array([r.embedding for r in e], float), np.array([r.label for r in e])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    x, y = np.triu_indices(len(u), 1)
+    score, same = np.round((u @ u.T)[x, y], 6), label[x] == label[y]
+    at = np.unique(score)
+    frr = np.searchsorted(np.sort(score[same]), at) / same.sum()
+    far = 1 - np.searchsorted(np.sort(score[~same]), at) / (~same).sum()
+    best = np.lexsort((at, np.round(np.abs(far - frr), 12)))[0]
+    got = PLANS["equal_error_rate"].run(spark, SMALL).first()
+    assert (got.threshold, got.rate) == (round(float(at[best]), 6), round(float(far[best] + frr[best]) / 2, 6))
