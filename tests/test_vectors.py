@@ -284,3 +284,17 @@ def test_equal_error_rate_of_all_pairs(spark):
     best = np.lexsort((at, np.round(np.abs(far - frr), 12)))[0]
     got = PLANS["equal_error_rate"].run(spark, SMALL).first()
     assert (got.threshold, got.rate) == (round(float(at[best]), 6), round(float(far[best] + frr[best]) / 2, 6))
+
+
+def test_pairs_of_all_by_brute_force(spark, small_blocks):
+    from glossarium.operators import statistics as S
+
+    df, rows = odd_vectors(spark)
+    score = lambda u, w: None if u is None or w is None else round(float(np.clip(u @ w, -1, 1)), 6) + 0.0
+    want = sorted(((a, b, None if x is None or y is None else x == y, score(u, w)) for a, x, u in rows for b, y, w in rows if a != b), key=str)
+    assert sorted(((r.a, r.b, r.same, r.score if r.score is None else r.score + 0.0) for r in S.cosine_pairs(df, df, "k", "v", "label").collect()), key=str) == want
+
+
+def test_theta_pairs_are_all_pairs(spark):
+    got = PLANS["theta_pairs_cosine"].run(spark, SMALL).select("a", "b").distinct()
+    assert got.count() == 500 * 499 and got.filter("a = b").isEmpty()
